@@ -25,7 +25,6 @@ TEMPER = 0.25  # neighbouring trigrams overlap, so they count less than independ
 STRENGTH = 5.0  # rows that the level above counts as
 DECLARED = 0.9  # chance that markup declares the language of the text
 SUFFIXED = 0.7  # chance that a suffix with a language has text in it
-MIN_POSTERIOR = 0.5
 SLICE = 1_000_000
 UNKNOWN = "und"
 # Country suffixes with one main language.
@@ -146,8 +145,9 @@ def evidence(rows: DataFrame, profile: Profile) -> DataFrame:
 def fuse(found: DataFrame, profile: Profile) -> DataFrame:
     """found: as evidence() gives it. Returns key, lang, posterior, accepted.
 
-    Rows without letters are not accepted, as their text is no evidence. Rows without
-    a host share one. With no language to tell, lang is null and all are accepted.
+    Rows of no known language are not accepted, nor are rows without letters, as their
+    text is no evidence; a short text that two known languages share is. Rows without a
+    host share one. With no language to tell, lang is null and all are accepted.
     """
     names = profile.languages
     if len(names) == 1:
@@ -171,7 +171,7 @@ def fuse(found: DataFrame, profile: Profile) -> DataFrame:
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("logs", F.col("most")).cast("int"))
     posterior = F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))
     out = fused.select("key", "letters", best.alias("lang"), posterior.alias("posterior"))
-    return out.select("key", "lang", "posterior", ((F.col("letters") > 0) & (F.col("lang") != UNKNOWN) & (F.col("posterior") >= MIN_POSTERIOR)).alias("accepted"))
+    return out.select("key", "lang", "posterior", ((F.col("letters") > 0) & (F.col("lang") != UNKNOWN)).alias("accepted"))
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
