@@ -33,6 +33,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4_000_000  # of rows sent to a Python worker at once, however long the texts
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes as well as rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow where f gives the new columns of each batch as lists or arrays."""
     fields = T.DataType.fromDDL(schema)
@@ -47,7 +58,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str)
                 cols = [out[x.name] if isinstance(out[x.name], (pa.Array, pa.ChunkedArray)) else pa.array(out[x.name], x.type) for x in arrow]
                 yield pa.RecordBatch.from_arrays([c.cast(x.type) if c.type != x.type else c for c, x in zip(cols, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, keyed, map_batches
+from .common import bounded, bytes_of, keyed, map_batches
 
 GRAM = 3  # words in a seed
 SPACING = 3  # consecutive n-grams of which one is a seed
@@ -241,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         # One number for each n-gram of the block at most, however large the corpus.
         df = np.zeros(len(every.keys), np.int64)
-        for r in texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in bounded(texts.select("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
             df[r.gram] = r.n
         rare = [_rarest(df[np.searchsorted(every.keys, grams(w))]) for w in words]
         seeds = spark.sparkContext.broadcast(Items.of(ids, words, rare))
