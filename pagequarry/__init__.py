@@ -1,0 +1 @@
+"""Metadata extraction and library planning as Spark DataFrames."""
