@@ -359,3 +359,18 @@ def test_watch_timer(spark, tmp_path):
             break
     q.stop()
     assert seen == [("/in/a.mkv", "pending"), ("/in/a.mkv", "ready")]
+
+
+def test_throttle():
+    from pagequarry.sources.throttle import Throttle, pause_ms
+
+    assert pause_ms(0) == 0 and pause_ms(1000, lambda a, b: a) == 900 and pause_ms(1000, lambda a, b: b) == 1100 and pause_ms(50, lambda a, b: a) == 50
+    waits = []
+    t = Throttle(1000, waits.append)
+    assert [t.run("a", lambda x: x + 1, 1), t.run("b", len, "xy"), t.run("a", lambda: 5)] == [2, 2, 5]
+    assert len(waits) == 1 and 0.8 < waits[0] < 1.2
+    with pytest.raises(ZeroDivisionError):
+        t.run("c", lambda: 1 / 0)
+    off = Throttle(0, waits.append)
+    off.run("a", int), off.run("a", int)
+    assert len(waits) == 1
