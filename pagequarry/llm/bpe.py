@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import keyed, map_batches, texts_of
 
 LEAF = 24  # bytes merged directly
-CACHED = 300_000  # pieces kept by a worker
+CACHED = 200_000  # pieces kept by a worker
 
 
 class _Pieces(dict):

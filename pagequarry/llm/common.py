@@ -34,13 +34,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 BATCH_BYTES = 4_000_000  # of rows sent to a Python worker at once, however long the texts
+READ_ROWS = 512  # that a scan decodes at once, as texts are long
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are bounded by bytes as well as rows."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
-        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    """df, in a session that scans and sends long texts in small batches, bounded by bytes as well as rows."""
+    for name, most, default in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, 2**31 - 1), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS, 4096)):
+        if int(df.sparkSession.conf.get(name, str(default))) > most:
+            df.sparkSession.conf.set(name, str(most))
     return df
 
 
