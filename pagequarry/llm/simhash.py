@@ -1,9 +1,11 @@
 """SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
-Each text gets a 64-bit fingerprint. Equal fingerprints are one node. Six blocks
-of bits give 15 bands, one for each pair of blocks: fingerprints at four or fewer
-differing bits agree on two blocks at least, so they meet in some band, and none
-is lost. In a band a cell of equal bits is indexed as a tree: its fingerprints in
+Each text gets a 64-bit fingerprint. Equal fingerprints are one node. The bits are
+cut into blocks: fingerprints at four or fewer differing bits agree on all blocks
+but four at least. Each choice of that many blocks is a band, so linked fingerprints
+meet in some band, and none is lost. Six blocks give 15 bands of two blocks; more
+fingerprints take seven or eight, whose bands are more but hold longer agreements,
+so that a cell stays small. The links are the same for any number. In a band a cell of equal bits is indexed as a tree: its fingerprints in
 the order of their Gray rank, eight neighbours to a node, bits on which all of a
 node agree factored out as its masked pattern, and a child holding only what its
 parent lacks. All queries of a cell go down together, level by level; what they
@@ -27,7 +29,8 @@ from .common import bytes_of, connected_components, keyed, map_batches, material
 WIDTH = 4  # words in a shingle
 SEED = 42
 DISTANCE = 4
-BLOCKS = (11, 11, 11, 11, 10, 10)  # with d differing bits allowed, d + 2 blocks; two of them agree
+BLOCKS = (6, 7, 8)  # numbers of blocks to choose from
+MEAN_CELL = 256  # fingerprints in a cell of random bits, at most, unless even the last number gives more
 FANOUT = 8
 CELL = 4096  # fingerprints in a part of a cell; larger cells are compared part by part
 FRONTIER = 1_000_000  # query and node pairs held at once
@@ -91,12 +94,19 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(keyed(docs, id_col, text_col), lambda b: {"doc_id": b.column(0), "fp": fingerprints_of(bytes_of(b.column(1))).view(np.int64)}, "doc_id long, fp long")
 
 
-def _masks() -> list[int]:
-    at, blocks = 0, []
-    for n in BLOCKS:
-        blocks.append(((1 << n) - 1) << at)
-        at += n
-    return [(a | b) - (1 << 64 if (a | b) >> 63 else 0) for a, b in combinations(blocks, 2)]
+def masks(blocks: int) -> list[int]:
+    """The bits of each band, as signed longs: every choice of all blocks but DISTANCE."""
+    at, own = 0, []
+    for k in range(blocks):
+        width = 64 // blocks + (k < 64 % blocks)
+        own.append(((1 << width) - 1) << at)
+        at += width
+    return [m - (1 << 64 if m >> 63 else 0) for m in map(sum, combinations(own, blocks - DISTANCE))]
+
+
+def blocks_for(n: int) -> int:
+    """The least number of blocks whose cells are small for n fingerprints."""
+    return next((b for b in BLOCKS if n <= MEAN_CELL << (64 // b) * (b - DISTANCE)), BLOCKS[-1])
 
 
 def _gray_rank(fp: Column) -> Column:
@@ -196,9 +206,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(left, np.array([0]))
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
+def link_fingerprints(fps: DataFrame, blocks: int) -> DataFrame:
     """A forest over the links between the distinct fingerprints of fps: u, v."""
-    bands = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(_masks())])).alias("x")).select("x.band", "x.pattern", "fp")
+    bands = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(masks(blocks))])).alias("x")).select("x.band", "x.pattern", "fp")
     shared = materialize(bands.groupBy("band", "pattern").agg(F.count("*").alias("n")).where("n > 1"))
     met = bands.join(shared, ["band", "pattern"]).withColumn("q", F.ceil(F.col("n") / CELL).cast("int"))
     met = met.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("q")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
@@ -216,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = materialize(fingerprint(docs, id_col, text_col))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(link_fingerprints(nodes.select("fp")))
+    found = connected_components(link_fingerprints(nodes.select("fp"), blocks_for(nodes.count())))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     placed = materialize(placed)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))

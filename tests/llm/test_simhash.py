@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -51,7 +52,19 @@ def test_links_match_brute_force():
     assert got == want and want
 
 
-def test_near_duplicates_match_brute_force(spark, monkeypatch):
+def test_bands_lose_no_link():
+    rng = random.Random(8)
+    for blocks in S.BLOCKS:
+        own = [m % 2**64 for m in S.masks(blocks)]
+        for _ in range(500):
+            apart = sum(1 << k for k in rng.sample(range(64), 4))
+            assert any(m & apart == 0 for m in own)
+    assert [S.blocks_for(n) for n in (0, 10**8, 10**9, 10**10, 10**11, 10**13)] == [6, 6, 7, 7, 8, 8]
+
+
+@pytest.mark.parametrize("blocks", S.BLOCKS)
+def test_near_duplicates_match_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(S, "blocks_for", lambda n: blocks)
     monkeypatch.setattr(S, "CELL", 7)  # cells in parts
     rng = random.Random(5)
     base = [[rng.choice("the of and to in a is it on as be".split()) + str(rng.randrange(90)) for _ in range(60)] for _ in range(12)]
