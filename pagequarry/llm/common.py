@@ -84,7 +84,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al., "Connected
     Components in MapReduce and Beyond", until the edge set stays. Each step is a
     min aggregation (combined before the shuffle) and a join, so no task holds the
-    neighbours of a node. Returns node, component.
+    neighbours of a node. The edges are written once a round. Returns node, component.
     """
 
     def turned(e: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(turned(large))
+        large = turned(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(turned(small.unionByName(least.select("u", F.col("m").alias("v")))))
