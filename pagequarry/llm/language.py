@@ -89,7 +89,7 @@ class Profile:
 
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Profile:
     """Fits on at most SAMPLE rows of each of the LANGUAGES most frequent labels."""
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.lower(F.col(label_col).cast("string")).alias("l")).where("i is not null and t <> '' and l <> ''")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.lower(F.col(label_col).cast("string")).alias("l")).where("i is not null and l <> ''")
     found = sorted(r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect() if r.l != UNKNOWN)
     seen = np.zeros((len(found), BUCKETS), np.int64)
     if found:
@@ -97,7 +97,7 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
         for name in found:
             part = rows.where(F.col("l") == name).select("i", "l").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
             chosen = part if chosen is None else chosen.unionByName(part)
-        chosen = materialize(chosen)  # LANGUAGES * SAMPLE short rows at most, so it can be broadcast at any size
+        # LANGUAGES * SAMPLE short rows at most, so it can be broadcast at any size of the corpus.
         texts = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").select("l", "t")
 
         def count(batch):
@@ -155,7 +155,7 @@ def fuse(found: DataFrame, profile: Profile) -> DataFrame:
     k, levels = len(names), [("suffix", F.substring_index("host", ".", -1)), ("domain", F.substring_index("host", ".", -2)), ("host", F.col("host"))]
     rows = materialize(found)
     sums = [F.sum(F.get("share", F.lit(j))).alias(f"s{j}") for j in range(k)]
-    by_host = materialize(rows.where("letters > 0").groupBy("host").agg(*sums).select(*[c.alias(n) for n, c in levels], F.array(*[f"s{j}" for j in range(k)]).alias("share")))
+    by_host = rows.where("letters > 0").groupBy("host").agg(*sums).select(*[c.alias(n) for n, c in levels], F.array(*[f"s{j}" for j in range(k)]).alias("share"))
     total = [x or 0.0 for x in by_host.agg(*sums).first()]
     top = F.array(*[F.lit((x + 1 / k) / (sum(total) + 1)) for x in total])
     prior = None
@@ -165,7 +165,7 @@ def fuse(found: DataFrame, profile: Profile) -> DataFrame:
         own = own.withColumn("above", top) if prior is None else own.join(prior.withColumnRenamed("prior", "above"), keys[:-1])
         size = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) + STRENGTH
         prior = own.withColumn("size", size).select(*keys, F.zip_with("n", "above", lambda n, p: (n + STRENGTH * p) / F.col("size")).alias("prior"))
-    fused = rows.join(materialize(prior.select("host", "prior")), "host", "left")
+    fused = rows.join(prior.select("host", "prior"), "host", "left")
     logs = F.zip_with("own", F.coalesce("prior", top), lambda o, p: o + F.log(p))
     fused = fused.select("key", "letters", logs.alias("logs")).withColumn("most", F.array_max("logs"))
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("logs", F.col("most")).cast("int"))
