@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document of smallest id of each group; of repeated rows of that id, one."""
     found = materialize(simhash.near_duplicates(docs))
     kept = _without(docs, found.where("doc_id <> component_id"))
-    repeated = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
