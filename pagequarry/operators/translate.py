@@ -16,7 +16,7 @@ CONFIDENCE = 0.6
 Detect = Callable[[str], tuple[str, float]]
 Translate = Callable[[list[str]], list[str]]
 # Fields that can be translated; names compare without punctuation and case.
-KEYS = ("title", "originaltitle", "sorttitle", "director", "credits", "genre", "tag", "plot", "outline", "tagline", "studio", "country", "set.name", "set.overview", "actor.name", "actor.role", "actor.gender", "trailer", "fileinfo", "premiered")
+KEYS = ("title", "originaltitle", "sorttitle", "director", "credits", "genre", "tag", "plot", "outline", "tagline", "studio", "country", "set.name", "set.overview", "actor.name", "actor.role", "actor.gender", "trailer", "fileinfo", "dateadded")
 ALIASES = {"set": "set.name", "actor": "actor.name"}
 # Frequent words of languages, for the detector that is built in.
 WORDS = {

@@ -36,7 +36,7 @@ def targets(places: DataFrame, groups: DataFrame, subtitles: DataFrame, images:
     nfo = places.select(id_col, "output_ord", F.lit("nfo").alias("kind"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("source"), _in(base, F.lit("nfo")).alias("target"))
     out = video.unionByName(subtitle).unionByName(nfo)
     if images is not None:
-        image = places.join(images.where("is_first").select(id_col, "ord", "url", "file_name"), id_col)
+        image = places.join(images.where("is_first and action = 'fetch'").select(id_col, "ord", "url", "file_name"), id_col)
         out = out.unionByName(image.select(id_col, "output_ord", F.lit("image").alias("kind"), "ord", F.col("url").alias("source"), join_path(F.col("dir"), F.col("file_name")).alias("target")))
     return out
 

@@ -15,7 +15,7 @@ from pagequarry.functions.urls import UrlRule, check_request, image_action, imag
 from pagequarry.operators import movie as M
 from pagequarry.operators import nodes as N
 from pagequarry.operators.extract import css, extract, html_nodes, html_parse, xpath
-from pagequarry.operators.images import images_to_fetch, movie_images, name_images
+from pagequarry.operators.images import images_to_fetch, local_images, movie_images, name_images
 from pagequarry.operators.mapping import Mapper, parse_line, parse_rules
 from pagequarry.operators.parts import group_of, group_video_inputs
 from pagequarry.operators.subtitles import match_subtitles, subtitle_suffix
@@ -222,8 +222,13 @@ def test_images(spark):
     m = record(thumb={"@aspect": None, "@preview": "https://x/p.png", "$text": "https://x/a.jpg"}, fanart={"thumb": [{"@aspect": None, "@preview": None, "$text": "https://x/a.jpg"}, {"@aspect": None, "@preview": None, "$text": "http://x/c"}]})
     images = movie_images(movies(spark, m).withColumnRenamed("i", "group_id")).withColumn("base", F.lit("B"))
     rows = {(r.ord, r.role): (r.file_name, r.action, r.is_first) for r in name_images(images).collect()}
-    assert rows == {(0, "poster"): ("B-poster.jpg", "fetch", True), (1, "preview"): ("B-preview.png", "fetch", True), (2, "fanart"): ("B-poster.jpg", "fetch", False), (3, "fanart-2"): ("B-fanart-2.jpg", "refuse", True)}
-    present = spark.createDataFrame([("d", "B-preview.png")], "dir string, file_name string")
+    assert rows == {(0, "poster"): ("B-poster.jpg", "fetch", True), (1, "poster-preview"): ("B-poster-preview.png", "fetch", True), (2, "fanart"): ("B-poster.jpg", "fetch", False), (4, "fanart-2"): ("B-fanart-2.jpg", "refuse", True)}
+    own = movies(spark, m).withColumnRenamed("i", "group_id")
+    local = local_images(own, name_images(images).where("action <> 'refuse'")).first().movie
+    assert (local.thumb["$text"], local.thumb["@preview"]) == ("B-poster.jpg", "B-poster-preview.png") and [t["$text"] for t in local.fanart.thumb] == ["B-poster.jpg", "http://x/c"]
+    with pytest.raises(Exception, match="plain http"):
+        local_images(own, name_images(images)).collect()
+    present = spark.createDataFrame([("d", "B-poster-preview.png")], "dir string, file_name string")
     assert [r.file_name for r in images_to_fetch(name_images(images).withColumn("dir", F.lit("d")), present).collect()] == ["B-poster.jpg"]
 
 
@@ -290,6 +295,9 @@ def test_scan_plan_and_effects(spark, tmp_path):
     root = str(tmp_path / "in")
     n = lambda d: scan_videos(spark, root, d).count()
     assert (n(0), n(1), n(-1)) == (1, 3, 4)
+    told = plan_library(scan_files(spark, root), [Source("s", (), lambda name, path=None: {"title": "el gato de la casa", "thumb": {"@aspect": None, "@preview": None, "$text": "https://x/a.png"}})], conf.resolve({}, "dir", {"save_images": True, "translate": ["title"], "target_lang": "en", "output": "out/{title}"}), translate=lambda texts: ["T"] * len(texts))
+    assert {(r.action, r.source, r.target) for r in told.actions.where("action = 'fetch'").collect()} == {("fetch", "https://x/a.png", "out/T-poster.png")}
+    assert all("<thumb>T-poster.png</thumb>" in r.nfo for r in told.records.collect())
     for bad in (lambda: scan_files(spark, root, -2), lambda: scan_files(spark, root + "/root.mkv")):
         with pytest.raises(ConfigError):
             bad()
