@@ -214,14 +214,15 @@ def sanitize_titles(spark, sf_dir):
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths made of parts: one to three split files for each, in a thousand directories."""
+    """Paths made of parts: one to three split files for each, in a thousand directories. Numbers follow a
+    letter, so that none reads as a year, which names may leave out."""
     part = _t(spark, sf_dir, "part")
     n = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int")))
-    base = F.concat(F.lit("/in/"), (F.col("p_partkey") % 1000).cast("string"), F.lit("/"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    base = F.concat(F.lit("/in/"), (F.col("p_partkey") % 1000).cast("string"), F.lit("/"), "p_name", F.lit(" n"), F.col("p_partkey").cast("string"))
     return part.select(F.explode(n).alias("n"), base.alias("base")).select(F.concat("base", F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("-CD"), F.col("n").cast("string"))), F.lit(".mkv")).alias("path"))
 
 
-_FILES = """f AS (SELECT p_partkey AS k, p_name || ' ' || p_partkey AS stem, '/in/' || (p_partkey % 1000) || '/' AS dir,
+_FILES = """f AS (SELECT p_partkey AS k, p_name || ' n' || p_partkey AS stem, '/in/' || (p_partkey % 1000) || '/' AS dir,
   unnest(CASE WHEN p_partkey % 4 = 0 THEN [0] ELSE range(1, p_partkey % 3 + 2) END) AS n FROM part),
 g AS (SELECT *, dir || stem || CASE WHEN n = 0 THEN '' ELSE '-CD' || n END || '.mkv' AS path, count(*) OVER (PARTITION BY k) AS parts FROM f)"""
 
@@ -237,7 +238,7 @@ def part_groups(spark, sf_dir):
 
 def _subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
-    stem = F.concat(F.lit("/in/"), (F.col("p_partkey") % 1000).cast("string"), F.lit("/"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    stem = F.concat(F.lit("/in/"), (F.col("p_partkey") % 1000).cast("string"), F.lit("/"), "p_name", F.lit(" n"), F.col("p_partkey").cast("string"))
     return part.select(F.explode(F.array(*[F.concat(stem, F.lit(x)) for x in (".zh.srt", ".en-us.forced.ass", "-CD1.ger.srt", ".txt")])).alias("path"))
 
 
