@@ -45,9 +45,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _plain(sql: str) -> str:
-    """SQL that replaces the character references of the pages."""
-    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        sql = f"replace({sql}, '{a}', '{b}')"
+    """SQL that replaces the character references of the pages, whose semicolon may be missing."""
+    for a, b in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        sql = f"regexp_replace({sql}, '{a}', '{b}', 'g')"
     return sql
 
 
