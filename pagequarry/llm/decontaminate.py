@@ -30,7 +30,7 @@ MIN_WORDS = 5  # shorter items would be found everywhere, so they are not sought
 MIN_SEEDS = 2  # on one diagonal, or as many as the item has
 SLACK = 8  # words that edits may shift a passage by
 MIN_SCORE = 0.5  # matches less mismatches and gaps, for each word of the item
-BLOCK_BYTES = 32_000_000  # of item texts broadcast at once
+BLOCK_BYTES = 8_000_000  # of item texts broadcast at once; their hashes take some seven times that
 SLICE = 1_000_000  # bytes hashed at once
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
