@@ -6,7 +6,7 @@ import re
 import string
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RuleError
@@ -86,6 +86,18 @@ def union_list(*lists: Column) -> Column:
     return F.filter(flat, lambda x, i: F.array_position(keys, ascii_lower(x)) == i + 1)
 
 
+def union_list_agg(rows: DataFrame, group: list[str], value: str, order: list[str], name: str = "values") -> DataFrame:
+    """union_list() over the rows of each group, in their order: the group's columns and the list.
+
+    Equal keys are reduced to their first row before the lists are gathered, on both sides
+    of the first shuffle, so a group of very many rows costs no task more than its distinct
+    values.
+    """
+    text = blank_to_null(F.col(value))
+    first = rows.where(text.isNotNull()).groupBy(*group, ascii_lower(text).alias("_key")).agg(F.min(F.struct(*order, text.alias("_value"))).alias("_first"))
+    return first.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list("_first")), lambda x: x["_value"]).alias(name))
+
+
 def number_text(c: Column) -> Column:
     """A float as text, whole numbers without a fraction."""
     return F.regexp_replace(c.cast("string"), r"\.0\z", "")

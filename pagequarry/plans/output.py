@@ -65,7 +65,8 @@ def conflicts(plan: DataFrame, existing: DataFrame, id_col: str = "group_id") ->
     A step whose source is its target is none."""
     real = plan.where("source is null or source <> target")
     there = real.join(existing.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select(id_col, "target", F.lit("exists").alias("reason"))
-    twice = real.withColumn("n", F.count("*").over(Window.partitionBy("target"))).where("n > 1").select(id_col, "target", F.lit("shared").alias("reason"))
+    shared = real.groupBy("target").count().where("count > 1").select("target")
+    twice = real.join(shared, "target", "left_semi").select(id_col, "target", F.lit("shared").alias("reason"))
     return there.unionByName(twice).distinct()
 
 

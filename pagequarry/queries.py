@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import json as js
 from .functions.languages import language_prefix
-from .functions.text import format_input_name, sanitize_component, union_list
+from .functions.text import format_input_name, sanitize_component, union_list_agg
 from .functions.urls import check_request, image_extension, is_trusted
 from .operators import nodes as N
 from .operators.extract import css, extract, html_nodes, xpath
@@ -308,9 +308,9 @@ def merge_priority(spark, sf_dir):
     SELECT o_custkey, trim(o_orderpriority) AS v, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1"""
 )
 def merge_lists(spark, sf_dir):
-    own = F.array_sort(F.collect_list(F.struct("o_orderkey", F.array(F.concat(F.lit(" "), "o_orderpriority"), F.lower("o_orderpriority"), F.lit(" ")).alias("v"))))
-    orders = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(own.alias("o"))
-    return orders.select("o_custkey", F.array_join(union_list(F.flatten(F.transform("o", lambda x: x["v"]))), "|").alias("priorities"))
+    spelled = F.posexplode(F.array(F.concat(F.lit(" "), "o_orderpriority"), F.lower("o_orderpriority"), F.lit(" "))).alias("pos", "v")
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", spelled)
+    return union_list_agg(rows, ["o_custkey"], "v", ["o_orderkey", "pos"]).select("o_custkey", F.array_join("values", "|").alias("priorities"))
 
 
 @query(

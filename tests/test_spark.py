@@ -10,7 +10,7 @@ from pagequarry import config as conf
 from pagequarry.errors import ConfigError, MappingError, NotEnabled, PlanError, RuleError, SourceError, TemplateError, TranslationError, UnknownFieldError, UrlRuleError
 from pagequarry.functions import json as js
 from pagequarry.functions.languages import language_code
-from pagequarry.functions.text import file_extension, file_stem, format_input_name, key, parent_dir, sanitize_component, trim_u, union_list, user_template
+from pagequarry.functions.text import file_extension, file_stem, format_input_name, key, parent_dir, sanitize_component, trim_u, union_list, union_list_agg, user_template
 from pagequarry.functions.urls import UrlRule, check_request, image_action, image_extension, is_trusted
 from pagequarry.operators import movie as M
 from pagequarry.operators import nodes as N
@@ -46,6 +46,12 @@ def test_text(spark):
     assert values(spark, lambda d: union_list(F.split("a", ","), F.split("b", ",")), [("a, B ,,b", "A,c,C ")]) == [["a", "B", "c"]]
 
 
+def test_union_list_agg(spark):
+    rows = [(1, 2, " b "), (1, 1, "A"), (1, 3, "a"), (1, 4, " "), (2, 1, None), (3, 9, "x"), (3, 8, "X ")]
+    df = spark.createDataFrame(rows, "g int, o int, v string")
+    assert {r.g: r["values"] for r in union_list_agg(df, ["g"], "v", ["o"]).collect()} == {1: ["A", "b"], 3: ["X"]}
+
+
 def test_name_rules(spark):
     run = lambda name, *rules: values(spark, lambda d: format_input_name("a", list(rules)), [name])[0]
     assert run("Movie_2024_1080p", r"regex-replace:_(\d+)_=> ", r"regex:\d{4}$") == "Movie 1080p"
