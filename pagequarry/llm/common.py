@@ -83,8 +83,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges: columns u and v (long); self loops, nulls and repeated rows are ignored.
     Alternates the large-star and small-star steps of Kiveris et al., "Connected
     Components in MapReduce and Beyond", until the edge set stays. Each step is a
-    min aggregation (combined before the shuffle) and a join, so no task holds the
-    neighbours of a node. The edges are written once a round. Returns node, component.
+    min aggregation (combined before the shuffle) and a join. The minima are dealt anew
+    before the join, so both its sides are exchanges and Spark can split the rows of a
+    node that has very many neighbours; no task has to read them all. The edges are written once a round. Returns node, component.
     """
 
     def turned(e: DataFrame) -> DataFrame:
@@ -97,11 +98,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = turned(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("rebalance"), "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(turned(small.unionByName(least.select("u", F.col("m").alias("v")))))
         now = mark(e)
         if now == seen:

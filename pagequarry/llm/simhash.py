@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(link_fingerprints(nodes.select("fp"), blocks_for(nodes.count())))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id")).hint("rebalance")  # so that a huge component's rows can be split
     return marked.join(placed.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 

@@ -88,3 +88,30 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, blocks):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_huge_component_is_split(spark, monkeypatch):
+    """The joins of the components' steps take the rows of a hot node apart."""
+    from pagequarry.llm import common
+
+    conf = {
+        "spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before, split, write = {k: spark.conf.get(k, None) for k in conf}, [], common.materialize
+
+    def watched(df):
+        df.collect()
+        split.append(df._jdf.queryExecution().executedPlan().toString().count("skew=true"))
+        return write(df)
+
+    monkeypatch.setattr(common, "materialize", watched)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 100_000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+        assert common.connected_components(star).groupBy("component").count().collect() == [(0, 100_000)]
+        assert max(split) > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
