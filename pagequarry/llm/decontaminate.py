@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment.
 
-Every n-gram of every test item is counted over all documents. Of each few
-consecutive n-grams of an item the one in the fewest documents is a seed, so a
-copy of any short run of an item holds a seed however often it is copied. A
-document's seeds are looked up, grouped by their diagonal against the item, and
-the passage there is aligned with the item word by word; edits, gaps and swaps
-lower the score but do not hide a copy. A document is reported with each item
-whose score per word reaches the limit.
+An alignment that reaches the limit has so few errors that a fixed number of the
+item's word pairs stay intact in it: with m matches and e errors its matches form at
+most e + 1 runs, so m - e - 1 pairs at least, its score less one. Every pair of every
+item is counted over all documents, and of each item as many of the rarest pairs are
+seeds as it takes for every such alignment to hold one, whatever the edits. Around a
+document's seeds, as far as the errors can shift, the passage is aligned with the item
+word by word if enough of the pairs are there. So each document is reported with each
+item whose score per word reaches the limit, and none is lost to the choice of seeds.
 
 Items go in blocks of bounded size, each broadcast and held against all documents.
 Documents are read twice for a block, and nothing of them is shuffled.
@@ -14,6 +15,7 @@ Documents are read twice for a block, and nothing of them is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, bytes_of, keyed, map_batches
 
-GRAM = 3  # words in a seed
-SPACING = 3  # consecutive n-grams of which one is a seed
+GRAM = 2  # words in a seed; the count of intact ones holds for pairs only
 MIN_WORDS = 5  # shorter items would be found everywhere, so they are not sought
-MIN_SEEDS = 2  # on one diagonal, or as many as the item has
-SLACK = 8  # words that edits may shift a passage by
 MIN_SCORE = 0.5  # matches less mismatches and gaps, for each word of the item
 BLOCK_BYTES = 8_000_000  # of item texts broadcast at once; their hashes take some seven times that
 SLICE = 1_000_000  # bytes hashed at once
@@ -164,25 +163,32 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def least(n: int) -> int:
+    """The least score that an item of n words is reported with."""
+    return math.ceil(MIN_SCORE * n)
+
+
 def matches(seeds: Items, words: np.ndarray) -> list[tuple[int, float, int, int]]:
     """(item, score, start, end) of the best aligned passage of each item that a text's words hold."""
-    hit, key = seeds.found(grams(words))
+    g = grams(words)
+    hit, key = seeds.found(g)
     if not len(hit):
         return []
     n = seeds.first[key + 1] - seeds.first[key]
     place = np.repeat(seeds.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, diagonal = seeds.item[place], np.repeat(hit, n) - seeds.offset[place]
     order = np.lexsort((diagonal, item))
-    item, diagonal, offset = item[order], diagonal[order], seeds.offset[place][order]
-    cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > SLACK)) + 1
-    best: dict[int, tuple[float, int, int]] = {}
-    sizes = np.bincount(seeds.item, minlength=len(seeds.ids))
+    item, diagonal = item[order], diagonal[order]
+    size = np.array([len(w) for w in seeds.words])[item]
+    slack = size - np.ceil(MIN_SCORE * size).astype(np.int64)  # errors of a match at most, so its diagonals differ by no more
+    cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > (size + 2 * slack)[1:])) + 1
+    best: dict[int, tuple[int, int, int]] = {}
     for a, b in zip(np.append(0, cuts), np.append(cuts, len(item))):
         which = int(item[a])
-        if len(np.unique(offset[a:b])) < min(MIN_SEEDS, sizes[which]):
-            continue
         own = seeds.words[which]
-        start, stop = max(0, int(diagonal[a]) - SLACK), min(len(words), int(diagonal[b - 1]) + len(own) + SLACK)
+        start, stop = max(0, int(diagonal[a] - slack[a])), min(len(words), int(diagonal[b - 1] + slack[a]) + len(own))
+        if np.isin(grams(own), g[start : max(start, stop - GRAM + 1)]).sum() < least(len(own)) - 1:
+            continue
         score, end = align(own, words[start:stop])
         if score > best.get(which, (0,))[0]:
             best[which] = score, start, start + end
@@ -204,12 +210,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
 
 
 def _rarest(counts: np.ndarray) -> np.ndarray:
-    """Offsets of the rarest of each SPACING consecutive n-grams, the first of equals."""
-    n = len(counts) - SPACING + 1
-    if n <= 0:
-        return np.arange(len(counts))
-    windows = np.lib.stride_tricks.sliding_window_view(counts, SPACING)
-    return np.unique(windows.argmin(1) + np.arange(n))
+    """Offsets of the rarest pairs, the first of equals, so many that fewer are left than a match keeps intact."""
+    n = len(counts) + GRAM - 1
+    return np.sort(np.argsort(counts, kind="stable")[: len(counts) - (least(n) - 1) + 1])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

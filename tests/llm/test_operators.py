@@ -312,6 +312,29 @@ def test_contaminated(spark, monkeypatch):
     assert decontaminate.contaminated(df.limit(0), bench).collect() == [] and decontaminate.contaminated(df, bench.limit(0)).collect() == []
 
 
+def test_edited_copies_are_found_whatever_the_edits(spark):
+    """Where the corpus holds only an edited copy, every item that aligns well enough is found, by brute force over all pairs."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items, docs = [], []
+    for n in (5, 6, 8, 8, 8, 12, 13, 20, 30, 60, 200):
+        own = [word() for _ in range(n)]
+        swapped = [word() if k % 5 == 4 else w for k, w in enumerate(own)]
+        random_edits = [x for w in own for x in rng.choice([[w]] * 8 + [[word()], [w, word()], []])]
+        parted = [x for k, w in enumerate(own) for x in ([w] if k % 2 == 0 or k > n - 3 else [w, word()])]  # no three words in a row
+        torn = own[: n // 2] + [word() for _ in range(n // 3)] + own[n // 2 :]
+        for copy in (swapped, random_edits, parted, torn):
+            items.append(own if copy is swapped else [word() for _ in range(n)])
+            mapped = dict(zip(own, items[-1]))
+            docs.append([word() for _ in range(30)] + [mapped.get(w, w) for w in copy] + [word() for _ in range(30)])
+    number: dict = {}
+    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], np.uint64)
+    want = {(d, i) for d, x in enumerate(docs) for i, y in enumerate(items) if decontaminate.align(code(y), code(x))[0] >= decontaminate.MIN_SCORE * len(y)}
+    assert len(want) > 38
+    df, bench = (spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(t)], f"{c} long, text string") for t, c in ((docs, "doc_id"), (items, "item_id")))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
+
+
 # Chat
 
 
