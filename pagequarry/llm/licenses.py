@@ -1,14 +1,18 @@
 """Licence recognition by sentences, with DataFrame functions only.
 
 A text is cut into sentences, which are normalised to lower-case words. Known
-sentences have identifiers; the text becomes the sequence of those it holds.
+sentences have identifiers; the text becomes the sequence of those it holds. Known
+texts are cut and normalised in the same way, so one that the cut parts is known as
+the sequence of its pieces.
 Ordered rules, longer ones first, then match runs of identifiers and use them up,
 so a licence that contains another's sentences is not reported as both.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +64,32 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "mpl-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "public-domain": "this is free and unencumbered software released into the public domain",
 }
+_BLANKS = "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+# Other punctuation of these; blank lines of a comment begin with its sign, so they do not cut.
+WORDINGS = {
+    "apache-copy": (_BLANKS,),
+    **{
+        key: tuple(
+            f"This program is free software{a} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{b} either version {n} of the License, or (at your option) any later version."
+            for a in ":," for b in ";,"
+        )
+        for key, n in (("gpl-free", 3), ("gpl2-free", 2))
+    },
+    # After other words without a full stop, such as a line of copyright, only the rest of the notice stands alone.
+    **{
+        key: tuple(
+            f"you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{b} either version {n} of the License, or (at your option) any later version."
+            for b in ";,"
+        )
+        for key, n in (("gpl-rest", 3), ("gpl2-rest", 2))
+    },
+}
+SENTENCES["apache-copy-warranty"] = f"{SENTENCES['apache-copy']} {SENTENCES['apache-warranty']}"
 # Sequences of identifiers, tried in this order; each match is used up.
 SEQUENCES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
@@ -74,27 +99,62 @@ SEQUENCES = (
     ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("apache-grant", "apache-terms", "apache-copy", "apache-warranty", "apache-limits")),
+    ("Apache-2.0", ("apache-grant", "apache-terms", "apache-copy-warranty", "apache-limits")),
     ("Apache-2.0", ("apache-grant", "apache-terms")),
     ("Apache-2.0", ("apache-grant",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-3.0-or-later", ("gpl-rest",)),
+    ("GPL-2.0-or-later", ("gpl2-rest",)),
     ("MPL-2.0", ("mpl-terms",)),
     ("Unlicense", ("public-domain",)),
 )
 # Each known sentence holds one of these, so a text without them has none.
-ANCHORS = ("licens", "licenc", "permi", "redistribut", "public domain", "copyright", "warranty", "free software", "released under", "distributed under", "published under", "available under")
+ANCHORS = ("licens", "licenc", "permi", "redistribut", "public domain", "copyright", "warranty", "free software", "released under", "distributed under", "published under", "available under", "2.0")
 BREAK = r"[.!?;:]+(?:\s+|\z)|\n\s*\n"
 
 
+def pieces(text: str) -> tuple[str, ...]:
+    """A known text as the sentences that sentence_ids() makes of it."""
+    normal = (re.sub(r"\.+ ", " ", re.sub("[^a-z0-9.]+", " ", x) + " ").strip() for x in re.split(BREAK.replace(r"\z", r"\Z"), text.lower()))
+    return tuple(x for x in normal if x)
+
+
+def _wordings(key: str) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(map(pieces, (*([SENTENCES[key]] if key in SENTENCES else []), *WORDINGS.get(key, ())))))
+
+
+def _notices() -> list[tuple[str, tuple[str, ...]]]:
+    """Licence and pieces of each notice that names it."""
+    return [(spdx, pieces(f"{stem} {name}")) for spdx, names in NAMES.items() for name in names for stem in STEMS]
+
+
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence to identifier; a notice's identifier is the licence it names."""
-    known = {f"{stem} {name}": spdx for spdx, names in NAMES.items() for name in names for stem in STEMS}
+    """Normalised sentence to identifier; a notice's identifier is the licence it names.
+
+    The pieces of a text that is cut have numbers; one that several texts share has the identifier of the first.
+    """
+    known: dict[str, str] = {}
+    for spdx, run in _notices():
+        for k, x in enumerate(run):
+            known.setdefault(x, spdx if len(run) == 1 else f"{spdx}-{k + 1}")
     known |= {f"spdx license identifier {spdx.lower().replace('-', ' ')}": spdx for spdx in NAMES}
-    return known | {text: key for key, text in SENTENCES.items()}
+    for key in dict.fromkeys((*SENTENCES, *WORDINGS)):
+        count = 0
+        for run in _wordings(key):
+            for x in run:
+                if x not in known:
+                    count += 1
+                    known[x] = key if len(run) == 1 else f"{key}-{count}"
+    return known
 
 
 def rules() -> list[tuple[str, tuple[str, ...]]]:
-    return [*SEQUENCES, *((spdx, (spdx,)) for spdx in NAMES)]
+    known = known_sentences()
+    ids = lambda run: tuple(known[x] for x in run)
+    runs = [(name, ids(x for part in parts for x in part)) for name, keys in SEQUENCES for parts in product(*map(_wordings, keys))]
+    named = [(spdx, ids(run)) for spdx, run in _notices() if len(run) > 1]
+    return list(dict.fromkeys([*runs, *named, *((spdx, (spdx,)) for spdx in NAMES)]))
 
 
 def _normal(sentences: Column) -> Column:

@@ -239,6 +239,26 @@ def test_licenses(spark):
     assert all(any(a in s for a in low) for s in licenses.known_sentences())
 
 
+def test_every_rule_finds_its_notice(spark):
+    gpl = "{} is free software{} you can redistribute it and/or modify\n{c}it under the terms of the GNU General Public License as published by\n{c}the Free Software Foundation{} either version {} of the License, or\n{c}(at your option) any later version.\n{c}\n{c}This program is distributed in the hope that it will be useful,\n{c}but WITHOUT ANY WARRANTY; without even the implied warranty of\n{c}MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n{c}GNU General Public License for more details.\n"
+    mpl = "{c}This Source Code Form is subject to the terms of the Mozilla Public\n{c}License, v. 2.0. If a copy of the MPL was not distributed with this\n{c}file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    apache = '{c}Licensed under the Apache License, Version 2.0 (the "License");\n{c}you may not use this file except in compliance with the License.\n{c}You may obtain a copy of the License at\n{c}\n{c}    http://www.apache.org/licenses/LICENSE-2.0\n{c}\n{c}Unless required by applicable law or agreed to in writing, software\n{c}distributed under the License is distributed on an "AS IS" BASIS,\n{c}WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n{c}See the License for the specific language governing permissions and\n{c}limitations under the License.\n'
+    cases = []
+    for c in ("", "# ", " * "):
+        cases += [(c + gpl.format("This program", ":", ",", 3, c=c), "GPL-3.0-or-later"), (c + gpl.format("This program", ";", ";", 2, c=c), "GPL-2.0-or-later"), (c + gpl.format("This program", ",", ",", 2, c=c), "GPL-2.0-or-later")]
+        cases += [(f"{c}Copyright (C) 2020 A. Name\n{c}\n{c}" + gpl.format("This program", ";", ";", 3, c=c), "GPL-3.0-or-later"), (mpl.format(c=c), "MPL-2.0"), (apache.format(c=c), "Apache-2.0")]
+    cases += [("Released under the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("Released under the Mozilla Public License, v. 2.0\nby us", "MPL-2.0"), ("Released under the Mozilla Public License, v. 1.1.", ""), ("Free software. It is version 2.0. Yes", "")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[k].licenses for k in range(len(cases))] == [w for _, w in cases]
+    assert all("apache-limits" in got[k].sentence_ids and "apache-copy" in got[k].sentence_ids for k in (5, 11, 17))
+    # Every rule, on the texts it is made of.
+    known = {i: s for s, i in licenses.known_sentences().items()}
+    runs = licenses.rules()
+    held = licenses.scan(spark.createDataFrame([(k, ". ".join(known[i] for i in run) + ".") for k, (_, run) in enumerate(runs)], "doc_id long, text string")).collect()
+    assert all(r.licenses == runs[r.doc_id][0] and r.sentence_ids == "|".join(runs[r.doc_id][1]) for r in held)
+    assert all(licenses.pieces(s) == (s,) for s in licenses.known_sentences())
+
+
 # Secrets
 
 
