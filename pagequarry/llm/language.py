@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import bytes_of, map_batches, materialize
 
 SAMPLE = 1000  # labelled rows of a language to fit on at most: those of smallest hash of the id
-LANGUAGES = 64  # fitted at most: the most frequent labels
 BUCKETS = 1 << 14
 MIXED = 0.1  # of each language's chances go evenly to all buckets
 TEMPER = 0.25  # neighbouring trigrams overlap, so they count less than independent ones
@@ -88,17 +87,20 @@ class Profile:
 
 
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Profile:
-    """Fits on at most SAMPLE rows of each of the LANGUAGES most frequent labels."""
+    """Fits every label, on at most SAMPLE ids of each."""
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.lower(F.col(label_col).cast("string")).alias("l")).where("i is not null and l <> ''")
-    found = sorted(r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect() if r.l != UNKNOWN)
+    rows = rows.where(F.col("l") != UNKNOWN).withColumn("h", F.xxhash64("i"))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("i").alias("n")).collect()}
+    found = sorted(sizes)
     seen = np.zeros((len(found), BUCKETS), np.int64)
     if found:
-        chosen = None
-        for name in found:
-            part = rows.where(F.col("l") == name).select("i", "l").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
-            chosen = part if chosen is None else chosen.unionByName(part)
-        # LANGUAGES * SAMPLE short rows at most, so it can be broadcast at any size of the corpus.
-        texts = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").select("l", "t")
+        spark, schema = docs.sparkSession, "l string, most long"
+        # Hashes below which about twice SAMPLE ids lie, then those that SAMPLE ids reach: two short values for each label.
+        near = spark.createDataFrame([(x, min((1 << 63) - 1, (2 * SAMPLE << 64) // max(1, n) - (1 << 63))) for x, n in sizes.items()], schema)
+        lowest = F.array_sort(F.collect_set("h"))
+        ends = rows.join(F.broadcast(near), "l").where("h <= most").groupBy("l").agg(lowest.alias("hs"), F.first("most").alias("near"))
+        ends = ends.select("l", F.coalesce(F.get("hs", F.lit(SAMPLE - 1)), "near").alias("most")).collect()
+        texts = rows.join(F.broadcast(spark.createDataFrame([tuple(r) for r in ends], schema)), "l").where("h <= most").select("l", "t")
 
         def count(batch):
             names = batch.column(0).to_pylist()
@@ -113,8 +115,9 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
                 n += c[at].tolist()
             return {"l": l, "b": b, "n": n}
 
-        for r in map_batches(texts, count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():
-            seen[found.index(r.l), r.b] = r.n
+        place = {x: k for k, x in enumerate(found)}
+        for r in map_batches(texts, count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toLocalIterator():
+            seen[place[r.l], r.b] = r.n
     return Profile(found, seen)
 
 

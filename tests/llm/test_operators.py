@@ -189,6 +189,29 @@ def test_language(spark):
     assert {(r.lang, r.accepted) for r in language.identify(odd(spark), none).collect()} == {(None, True)}
 
 
+def test_every_label_is_fitted(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = []
+    for k in range(70):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        parts = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(9)]
+        docs += [(len(docs) + j, " ".join(rng.choice(parts) + rng.choice(parts) for _ in range(60)), f"l{k:02}", None) for j in range(2 if k > 65 else 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").cache()
+    profile = language.train(df)
+    assert profile.languages == [f"l{k:02}" for k in range(70)] + ["und"]
+    rows = language.identify(df, profile).collect()
+    assert len(rows) == len(docs) and all(r.accepted and r.lang == docs[int(r.key)][2] for r in rows)
+    # The sample of a label: its ids of smallest hash, each with all its rows.
+    monkeypatch.setattr(language, "SAMPLE", 7)
+    few = spark.createDataFrame([(k % 50, f"text of {k} " + "abc" * k, "x" if k % 50 < 45 else "Y") for k in range(60)], "doc_id long, text string, lang string")
+    least = few.where("doc_id < 45").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(7)
+    want = language.counts([b"\n".join([r.text.encode()]) for r in few.join(least, "doc_id").collect()])
+    seen = []
+    monkeypatch.setattr(language, "Profile", lambda found, table: seen.append((found, table)))
+    language.train(few)
+    assert seen[0][0] == ["x", "y"] and abs(seen[0][1][0] - want).sum() <= 6 * 10  # joins of texts in a batch
+
+
 def test_language_priors_match_plain(spark):
     """Priors and fusion against loops over the rows."""
     profile = language.Profile(["aa", "bb"], np.zeros((2, language.BUCKETS), np.int64))
