@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,20 +18,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder if all of
+    Spark runs in one process; on a cluster executors would not share it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: dict[str, set[str]] = {}  # tables of each application that still stand
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: it cuts the
-    lineage, is computed once, and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/pagequarry-{uuid.uuid4().hex}"
+    lineage, is computed once, and outlives any executor. The table stands until
+    discard() or discard_all(), as results that read it may be used at any time."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pagequarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pagequarry_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._pagequarry_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all tables that materialize() wrote for this application; call it when the results are used up."""
+    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
 
 
 BATCH_BYTES = 4_000_000  # of rows sent to a Python worker at once, however long the texts
@@ -72,9 +102,15 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def id_type(df: DataFrame, id_col: str) -> str:
+    """The type that an operator returns ids in: long for numbers, else their own (a struct as a row key)."""
+    own = df.select(id_col).schema[0].dataType
+    return "long" if isinstance(own, (T.NumericType, T.NullType)) else own.simpleString()
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs, so no other name can clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(F.col(id_col).cast(id_type(df, id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -103,7 +139,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = turned(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("rebalance"), "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(turned(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        before, e = e, materialize(turned(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        discard(before)
         now = mark(e)
         if now == seen:
             break
