@@ -64,29 +64,58 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "mpl-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "epl-short": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "public-domain": "this is free and unencumbered software released into the public domain",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "apache-title": "apache license version 2.0 january 2004 http www.apache.org licenses",
+    "gpl-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2.1 february 1999",
+    "agpl-title": "gnu affero general public license version 3 19 november 2007",
+    "mpl-title": "mozilla public license version 2.0",
+    "epl-title": "eclipse public license v 2.0",
+    "cc-by-title": "creative commons attribution 4.0 international public license",
+    "cc-by-sa-title": "creative commons attribution sharealike 4.0 international public license",
+    "cc-by-nc-title": "creative commons attribution noncommercial 4.0 international public license",
 }
+# Notices of the Free Software Foundation by subject, licence and version.
+FOUNDATION = {
+    "gpl": ("GPL-3.0-or-later", ("program",), "General", "3"),
+    "gpl2": ("GPL-2.0-or-later", ("program",), "General", "2"),
+    "lgpl": ("LGPL-3.0-or-later", ("library", "program"), "Lesser General", "3"),
+    "lgpl21": ("LGPL-2.1-or-later", ("library", "program"), "Lesser General", "2.1"),
+    "lgpl2": ("LGPL-2.0-or-later", ("library",), "Library General", "2"),
+    "agpl": ("AGPL-3.0-or-later", ("program",), "Affero General", "3"),
+}
+# Identifiers that tags name, besides those of NAMES.
+TAGGED = (
+    "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "0BSD", "Apache-1.1", "Artistic-1.0", "Artistic-2.0",
+    "BSD-1-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-SA-3.0", "CDDL-1.0", "CDDL-1.1", "CPL-1.0", "EPL-1.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.3-or-later",
+    "IPL-1.0", "LPPL-1.3c", "MIT-0", "MPL-1.1", "MS-PL", "MS-RL", "NCSA", "OFL-1.1", "OpenSSL", "PHP-3.01", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "UPL-1.0", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
 _BLANKS = "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
 # Other punctuation of these; blank lines of a comment begin with its sign, so they do not cut.
 WORDINGS = {
     "apache-copy": (_BLANKS,),
     **{
-        key: tuple(
-            f"This program is free software{a} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{b} either version {n} of the License, or (at your option) any later version."
-            for a in ":," for b in ";,"
+        f"{key}-free": tuple(
+            f"This {subject} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation{b} either version {n} of the License, or (at your option) any later version."
+            for subject in subjects for a in ":;," for b in ";,"
         )
-        for key, n in (("gpl-free", 3), ("gpl2-free", 2))
+        for key, (_, subjects, name, n) in FOUNDATION.items()
     },
     # After other words without a full stop, such as a line of copyright, only the rest of the notice stands alone.
     **{
-        key: tuple(
-            f"you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{b} either version {n} of the License, or (at your option) any later version."
+        f"{key}-rest": tuple(
+            f"you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation{b} either version {n} of the License, or (at your option) any later version."
             for b in ";,"
         )
-        for key, n in (("gpl-rest", 3), ("gpl2-rest", 2))
+        for key, (_, _, name, n) in FOUNDATION.items()
     },
 }
 SENTENCES["apache-copy-warranty"] = f"{SENTENCES['apache-copy']} {SENTENCES['apache-warranty']}"
@@ -102,15 +131,29 @@ SEQUENCES = (
     ("Apache-2.0", ("apache-grant", "apache-terms", "apache-copy-warranty", "apache-limits")),
     ("Apache-2.0", ("apache-grant", "apache-terms")),
     ("Apache-2.0", ("apache-grant",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("GPL-2.0-or-later", ("gpl2-free",)),
-    ("GPL-3.0-or-later", ("gpl-rest",)),
-    ("GPL-2.0-or-later", ("gpl2-rest",)),
+    *((spdx, (f"{key}-{part}",)) for part in ("free", "rest") for key, (spdx, *_) in FOUNDATION.items()),
     ("MPL-2.0", ("mpl-terms",)),
+    ("EPL-2.0", ("epl-terms",)),
+    ("EPL-2.0", ("epl-short",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("GPL-3.0", ("gpl-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("LGPL-3.0", ("lgpl-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("AGPL-3.0", ("agpl-title",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("EPL-2.0", ("epl-title",)),
+    ("CC-BY-4.0", ("cc-by-title",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-title",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-title",)),
     ("Unlicense", ("public-domain",)),
 )
-# Each known sentence holds one of these, so a text without them has none.
-ANCHORS = ("licens", "licenc", "permi", "redistribut", "public domain", "copyright", "warranty", "free software", "released under", "distributed under", "published under", "available under", "2.0")
+# Each known sentence holds one of these, however its words are parted, so a text without them has none.
+ANCHORS = r"licen[sc]|permi|redistribut|warranty|2[.]0|(?:released|distributed|published|available)[^a-z0-9.]+under|public[^a-z0-9.]+domain|free[^a-z0-9.]+software"
+TAG = r"spdx-license-identifier[: \t]+([a-z0-9.+() \t-]+)"  # an expression of identifiers, in lower case
+TAG_NAME = "[a-z0-9.+-]+"
 BREAK = r"[.!?;:]+(?:\s+|\z)|\n\s*\n"
 
 
@@ -138,7 +181,6 @@ def known_sentences() -> dict[str, str]:
     for spdx, run in _notices():
         for k, x in enumerate(run):
             known.setdefault(x, spdx if len(run) == 1 else f"{spdx}-{k + 1}")
-    known |= {f"spdx license identifier {spdx.lower().replace('-', ' ')}": spdx for spdx in NAMES}
     for key in dict.fromkeys((*SENTENCES, *WORDINGS)):
         count = 0
         for run in _wordings(key):
@@ -149,12 +191,18 @@ def known_sentences() -> dict[str, str]:
     return known
 
 
+def tagged_names() -> dict[str, str]:
+    """Names in tags, in lower case, to identifiers; a plus stands for later versions."""
+    named = {x.lower(): x for x in (*NAMES, *TAGGED)}
+    return named | {f"{x.removesuffix('-or-later')}+": full for x, full in named.items() if x.endswith("-or-later")}
+
+
 def rules() -> list[tuple[str, tuple[str, ...]]]:
     known = known_sentences()
     ids = lambda run: tuple(known[x] for x in run)
     runs = [(name, ids(x for part in parts for x in part)) for name, keys in SEQUENCES for parts in product(*map(_wordings, keys))]
     named = [(spdx, ids(run)) for spdx, run in _notices() if len(run) > 1]
-    return list(dict.fromkeys([*runs, *named, *((spdx, (spdx,)) for spdx in NAMES)]))
+    return list(dict.fromkeys([*runs, *named, *((spdx, (spdx,)) for spdx in (*NAMES, *TAGGED))]))
 
 
 def _normal(sentences: Column) -> Column:
@@ -163,19 +211,25 @@ def _normal(sentences: Column) -> Column:
     return F.transform(sentences, words)
 
 
+def _looked_up(names: Column, known: dict[str, str]) -> Column:
+    """What known names stand for, in order; a hashed set leaves out the others before the map is searched."""
+    # One literal that the optimizer folds to a map, as thousands of them would take seconds to plan.
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in known.items())), F.lit("\x01"), F.lit("\x02"))
+    return F.transform(F.filter(names, lambda x: x.isin(*known)), lambda x: F.element_at(table, x))
+
+
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order.
+    """Identifiers of the known sentences of a text, in order, then those that its tags name.
 
     Sentences may run over line ends; those of single lines, for notices after a line
     without a full stop, follow if the longer reading did not find them.
     """
-    low = F.lower(F.replace(text, F.lit("SPDX-License-Identifier:"), F.lit("spdx-license-identifier")))
-    table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    ids = lambda s: F.filter(F.transform(_normal(s), lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())
-    whole, lines = ids(F.split(low, BREAK)), ids(F.split(low, BREAK + r"|\n"))
-    both = F.concat(whole, F.filter(lines, lambda x: ~F.array_contains(whole, x)))
-    anchored = reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in ANCHORS])
-    return F.when(anchored, both).otherwise(F.array().cast("array<string>"))
+    low = F.lower(text)
+    both = F.transform(F.array(F.split(low, BREAK), F.split(low, BREAK + r"|\n")), lambda s: _looked_up(_normal(s), known_sentences()))
+    whole, lines = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+    tags = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TAG), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(TAG_NAME), F.lit(0))))
+    every = F.concat(whole, F.filter(lines, lambda x: ~F.array_contains(whole, x)), _looked_up(tags, tagged_names()))
+    return F.when(F.rlike(low, F.lit(ANCHORS)), every).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column) -> Column:
@@ -198,7 +252,9 @@ def match_rules(ids: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentence_ids and licenses (each joined by |) and n_licenses of every row.
 
-    Null and empty texts have none; repeated rows and null ids stay as they are.
+    Null and empty texts have none; repeated rows and null ids stay as they are, each
+    with its result; very long texts are cut in one task's memory, as any row is; an
+    empty table gives no rows. Of rules that could use the same sentence the first wins.
     """
     left = docs.select(F.col(id_col).cast("long").alias("doc_id"), sentence_ids(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("ids"))
     return left.select("doc_id", F.array_join("ids", "|").alias("sentence_ids"), match_rules(F.col("ids")).alias("l")).select("doc_id", "sentence_ids", F.array_join("l", "|").alias("licenses"), F.size("l").cast("long").alias("n_licenses"))

@@ -121,7 +121,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _licence_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({q(a)}, {q(b)})" for a, b in licenses.known_sentences().items())
+    known, tags = (", ".join(f"({q(a)}, {q(b)})" for a, b in x.items()) for x in (licenses.known_sentences(), licenses.tagged_names()))
     rest, n = "'|' || ids || '|'", 0
     ctes = [f"r0 AS (SELECT r, doc_id, ids, {rest} AS rest, []::VARCHAR[] AS found FROM j)"]
     for n, (name, run) in enumerate(licenses.rules(), 1):
@@ -132,11 +132,15 @@ def _licence_sql() -> str:
     wide, narrow = r"[.!?;:]+(?:\s+|\z)|\n\s*\n", r"[.!?;:]+(?:\s+|\z)|\n\s*\n|\n"
     return f"""
 WITH known(s, id) AS (VALUES {known}),
-d AS (SELECT row_number() OVER () AS r, doc_id, lower(replace(replace(coalesce(text, ''), chr(1), ' '), 'SPDX-License-Identifier:', 'spdx-license-identifier')) AS low FROM documents),
+tags(s, id) AS (VALUES {tags}),
+d AS (SELECT row_number() OVER () AS r, doc_id, lower(replace(coalesce(text, ''), chr(1), ' ')) AS low FROM documents),
 c AS (SELECT r, {cut(wide)} AS a, {cut(narrow)} AS b FROM d),
 u AS (SELECT r, 1 AS part, i, a[i] AS s FROM (SELECT r, a, unnest(range(1, len(a) + 1)) AS i FROM c) UNION ALL SELECT r, 2, i, b[i] FROM (SELECT r, b, unnest(range(1, len(b) + 1)) AS i FROM c)),
 h AS (SELECT r, part, i, id FROM u JOIN known USING (s)),
-k AS (SELECT * FROM h WHERE part = 1 OR NOT EXISTS (SELECT 1 FROM h g WHERE g.r = h.r AND g.part = 1 AND g.id = h.id)),
+e AS (SELECT r, es, unnest(range(1, len(es) + 1)) AS i FROM (SELECT r, regexp_extract_all(low, '{licenses.TAG}', 1) AS es FROM d)),
+n AS (SELECT r, i, ns, unnest(range(1, len(ns) + 1)) AS j FROM (SELECT r, i, regexp_extract_all(es[i], '{licenses.TAG_NAME}') AS ns FROM e)),
+k AS (SELECT * FROM h WHERE part = 1 OR NOT EXISTS (SELECT 1 FROM h g WHERE g.r = h.r AND g.part = 1 AND g.id = h.id)
+  UNION ALL SELECT r, 3, i * 1000000 + j, id FROM (SELECT r, i, j, ns[j] AS s FROM n) JOIN tags USING (s)),
 j AS (SELECT d.r, doc_id, coalesce(string_agg(id, '|' ORDER BY part, i), '') AS ids FROM d LEFT JOIN k USING (r) GROUP BY d.r, doc_id),
 {", ".join(ctes)}
 SELECT doc_id, ids AS sentence_ids, array_to_string(found, '|') AS licenses, len(found) AS n_licenses FROM r{n}"""
