@@ -6,7 +6,7 @@ primed with a dictionary of identifiers: a fixed list, and those that occur most
 in the whole corpus, found by one aggregation. It compresses the surrounding code
 without and with the candidate; the bytes it adds are its novelty. Words, identifiers
 and repeats of what stands nearby add little; a random key adds nearly its own length,
-and is reported. Letters alone are not, unless there are many. A long candidate is measured in parts of like size, each after the one
+and is reported. What reads as a name is not, unless a word of it is very long. A long candidate is measured in parts of like size, each after the one
 before it, as a compressor finds a cheaper code for a long string of few characters,
 however random, and against what a random string of its characters would hold at least.
 README gives the measured shares that are found.
@@ -32,9 +32,9 @@ NOVEL = "novel"
 AROUND = 256  # code points of context on either side
 SENSITIVE_WITHIN = 40  # code points before a candidate
 # Least added bytes for each byte: with digits a share of what a random string of the same signs holds, as no code
-# can take less for those. Letters alone are words as a rule, and short words add as much as random letters do: under
-# SOME_LETTERS they are not reported, under ALL_LETTERS they have to add LETTERS, and longer ones their share. What
-# reads as a name, with digits at its end at most, counts as letters, as many as the longest of its words has.
+# can take less for those. What reads as a name (words of one case each, parted by signs or capitals, with digits at
+# its end at most) adds as much as random letters do when it is short: with no word of SOME_LETTERS it is not reported,
+# with none of ALL_LETTERS it has to add LETTERS, and beyond that its share as all other strings.
 SHARE = 0.92
 SOME_LETTERS, ALL_LETTERS, LETTERS = 16, 32, 0.95
 LEVEL, MATCH = 3, 5  # a match of fewer bytes would be chance
@@ -58,10 +58,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, as a run's first place matches
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SENSITIVE = re.compile(r"pass|pwd|secret|token|api|key|auth|bearer|cred|private|signature|session", re.I | re.A)
 _SIGNS = [(re.compile(own), size) for own, size in (("[0-9]", 10), ("[a-z]", 26), ("[A-Z]", 26), ("[+/_-]", 2))]
-_NAME = re.compile(r"[+/_-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[+/_-]+|(?=[A-Z][a-z])|(?=[0-9]{0,4}=*\Z)))+[0-9]{0,4}=*")
+_NAME = re.compile(r"[+/_-]*[a-z]?(?:(?:[A-Z]?[a-z]{2,}|[A-Z]+)(?:[+/_-]+|(?=[A-Z][a-z])|(?=[0-9]{0,4}=*\Z)))+[0-9]{0,4}=*")
 _LETTERS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _IDENTIFIER = re.compile(r"[A-Za-z_]{4,24}(?![A-Za-z_])")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}={0,2}")  # as short as a value that ASSIGN has
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_À-ɏ-])[A-Za-z0-9+/_-]{8,}+(?![À-ɏ])={0,2}")  # no piece of a word with accents; as short as a value that ASSIGN has
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -120,8 +120,9 @@ def novelty(before: str, candidate: str, after: str, learnt: tuple[str, ...] = (
 
 def least_novelty(candidate: str) -> float:
     named = _NAME.fullmatch(candidate)
-    size = max(map(len, _LETTERS.findall(candidate))) if named else sum(c.isalnum() for c in candidate)
-    if size < ALL_LETTERS and (named or not re.search("[0-9]", candidate)):
+    if not re.search("[A-Za-z0-9]", candidate):
+        return math.inf
+    if named and (size := max(map(len, _LETTERS.findall(candidate)))) < ALL_LETTERS:
         return LETTERS if size >= SOME_LETTERS else math.inf
     signs = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", candidate) else sum(n for own, n in _SIGNS if own.search(candidate))
     return SHARE * math.log2(signs) / 8
