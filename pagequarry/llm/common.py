@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +19,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_TEMPORARY: dict[str, str] = {}  # the folder of each application that has no other
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder if all of
     Spark runs in one process; on a cluster executors would not share it, so that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    own = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _TEMPORARY.get(own)
     if not found:
         if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _TEMPORARY[own] = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
     return found.rstrip("/")
 
 
 _WRITTEN: dict[str, set[str]] = {}  # tables of each application that still stand
+_COLLECTED: ContextVar[list | None] = ContextVar("collected", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[list[DataFrame]]:
+    """The list of tables that materialize() writes inside, so that they can be discarded."""
+    made: list[DataFrame] = []
+    token = _COLLECTED.set(made)
+    try:
+        yield made
+    finally:
+        _COLLECTED.reset(token)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -42,6 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
     _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagequarry_path = path
+    if (made := _COLLECTED.get()) is not None:
+        made.append(out)
     return out
 
 

@@ -87,7 +87,12 @@ class Profile:
 
 
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Profile:
-    """Fits every label, on at most SAMPLE ids of each."""
+    """Fits every label, on at most SAMPLE ids of each: those of smallest hash, with all rows of each of them.
+
+    Rows with a null id or without a label are not learnt from, null and empty texts tell
+    nothing, very long ones are read in full; labels that differ in case are one. Ids of
+    equal hash are one id. An empty table, or one without labels, gives a profile of no language.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.lower(F.col(label_col).cast("string")).alias("l")).where("i is not null and l <> ''")
     rows = rows.where(F.col("l") != UNKNOWN).withColumn("h", F.xxhash64("i"))
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("i").alias("n")).collect()}
@@ -150,7 +155,9 @@ def fuse(found: DataFrame, profile: Profile) -> DataFrame:
 
     Rows of no known language are not accepted, nor are rows without letters, as their
     text is no evidence; a short text that two known languages share is. Rows without a
-    host share one. With no language to tell, lang is null and all are accepted.
+    host share one. With no language to tell, lang is null and all are accepted. Of
+    languages of equal chance the first by name is told. Repeated rows count each in the
+    priors and are each returned; an empty table gives none.
     """
     names = profile.languages
     if len(names) == 1:
@@ -195,7 +202,7 @@ def _markup(html: Column) -> Column:
     return F.when(F.substring(F.ltrim(html), 1, 1) == "<", F.lower(found)).otherwise(F.lit(""))
 
 
-def identify(docs: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """key (the id as text), lang, posterior and accepted of every document."""
+def identify(docs: DataFrame, profile: Profile | None = None, id_col: str = "doc_id") -> DataFrame:
+    """key (the id as text), lang, posterior and accepted of every document, as fuse() gives them."""
     profile = profile or train(docs)
-    return fuse(evidence(document_rows(docs), profile), profile)
+    return fuse(evidence(document_rows(docs, id_col), profile), profile)

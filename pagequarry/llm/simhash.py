@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, connected_components, keyed, map_batches, materialize
+from .common import bytes_of, connected_components, id_type, keyed, map_batches, materialize
 
 WIDTH = 4  # words in a shingle
 SEED = 42
@@ -91,7 +91,7 @@ def fingerprints_of(raws: list[bytes], width: int = WIDTH, seed: int = SEED) ->
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row; null is the empty text."""
-    return map_batches(keyed(docs, id_col, text_col), lambda b: {"doc_id": b.column(0), "fp": fingerprints_of(bytes_of(b.column(1))).view(np.int64)}, "doc_id long, fp long")
+    return map_batches(keyed(docs, id_col, text_col), lambda b: {"doc_id": b.column(0), "fp": fingerprints_of(bytes_of(b.column(1))).view(np.int64)}, f"doc_id {id_type(docs, id_col)}, fp long")
 
 
 def masks(blocks: int) -> list[int]:
@@ -222,7 +222,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts share fingerprint zero and link like any other. Repeated
     rows each get their row. Rows with a null id are returned with the component of
-    their text, whose id is null if no row in it has one. An empty table gives none.
+    their text, whose id is null if no row in it has one. An empty table gives none. Ids
+    may be of any type that has an order, as a struct that stands for a whole row. Very
+    long texts are hashed in full, one after the other.
     """
     marked = materialize(fingerprint(docs, id_col, text_col))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
