@@ -1,47 +1,75 @@
 """A corpus pipeline of five stages, each a call of one operator.
 
 Each stage takes (spark, docs, sf_dir) with docs as the stage before left it; all but
-the last return the columns of documents. Rows with a null doc_id cannot be named
-by a decision and pass every filtering stage. ORACLE_SQL is None, as SQL expresses
-neither the language model nor the fingerprints; tests hold each stage against
-brute force.
+the last return the columns of documents. Decisions are about rows, not about ids: a row
+is named by its id and a hash of all its columns, so rows that share an id or have none
+are judged each by itself, and only rows that are alike in every column share a fate
+(of those that are near-duplicates one stays). Null and empty texts have no letters, so the
+language stage drops them; in the stages after it they would be kept, once. Very long
+texts are read in full by every stage; an empty table stays empty. Among near-duplicates
+the smallest id stays, of equal ids the row of smallest hash. Extra columns are carried
+along, whatever they are called.
+
+ORACLE_SQL is None, as SQL expresses neither the language model nor the fingerprints;
+tests hold each stage against brute force.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.llm import bpe, decontaminate, language, pii, simhash
-from pagequarry.llm.common import materialize, read
+from pagequarry.llm.common import collecting, discard, materialize, read
 from pagequarry.llm.queries import vocabulary
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the ids, which Spark broadcasts only if their written size is small."""
-    return docs.join(materialize(ids.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
+def _row_key(docs: DataFrame) -> Column:
+    """Whether the id is absent, the id, and 128 bits of hash of all columns, in this order."""
+    told = [x for f in docs.schema for x in (F.col(f.name).isNull(), F.col(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(f.name)))]
+    own = F.col("doc_id").cast("long")
+    return F.struct(own.isNull().alias("absent"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(*told).alias("a"), F.xxhash64(F.lit(1), *told).alias("b"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the row key, and the name of its column, which no other has."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, _row_key(docs)), name
+
+
+def _without(docs: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """Rows but for those with the keys, which Spark broadcasts only if their written size is small."""
+    gone = materialize(keys.select(F.col(keys.columns[0]).alias(name)).distinct())
+    return docs.join(gone, name, "left_anti")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is of no language that the labels know, or without letters."""
-    found = language.identify(docs)
-    return _without(docs, found.where("not accepted").select(F.col("key").cast("long").alias("doc_id")))
+    rows, name = _keyed(docs)
+    found = language.identify(rows, id_col=name)
+    return _without(rows.withColumn(name, F.col(name).cast("string")), name, found.where("not accepted").select("key")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group; of repeated rows of that id, one."""
-    found = materialize(simhash.near_duplicates(docs))
-    kept = _without(docs, found.where("doc_id <> component_id"))
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Keeps the row of smallest key of each group; of rows that are alike in all columns, one."""
+    rows, name = _keyed(docs)
+    found = materialize(simhash.near_duplicates(rows, id_col=name))
+    kept = _without(rows, name, found.where("doc_id <> component_id").select("doc_id"))
+    repeated = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once)
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, name, "left_semi").dropDuplicates([name])
+    return kept.join(repeated, name, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item or an edited copy of one."""
-    return _without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
+    rows, name = _keyed(docs)
+    found = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col=name)
+    return _without(rows, name, found.select("doc_id")).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +95,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result but the last is written and read again."""
+    """Applies the stages to documents; each result but the last is written and read again.
+
+    What a stage wrote is deleted when its result is; the table that the last stage reads stands until discard_all().
+    """
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with collecting() as made:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(*[t for t in made if t is not docs], *([before] if k else []))
+    return STAGES[-1][1](spark, docs, sf_dir)
