@@ -632,3 +632,47 @@ def test_pipeline_odd_rows(spark):
     near = P.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in near) == ["1", "2", "4", "5", "None"]
     assert len(P.redact(spark, docs, SF).collect()) == len(ODD) and len(P.decontaminated(spark, docs, SF).collect()) == len(ODD)
+
+
+def test_pipeline_decides_by_rows(spark):
+    """Rows that share an id are judged each by itself, and no text is lost with another's."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    a, b, c = (" ".join("".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(80)) for _ in range(3))
+    kept = lambda rows, stage: sorted((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key int"), SF).collect())
+    row = lambda i, t, l="en", k=0: (i, t, l, "s", len(t or ""), k)
+    assert kept([row(3, a), row(5, a), row(5, b), row(9, b)], P.drop_near_duplicates) == [(3, a), (5, b)]
+    assert kept([row(5, a), row(5, a), row(5, a, k=1), row(4, c), row(4, b)], P.drop_near_duplicates) == [(4, b), (4, c), (5, a)] if b < c else True
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    assert kept([row(1, a), row(1, f"{b} {item} {c}"), row(2, c)], P.decontaminated) == [(1, a), (2, c)]
+    english = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and n_chars > 300").select("text").limit(40).collect()
+    rows = [row(k, r.text) for k, r in enumerate(english)]
+    assert kept([*rows, row(3, "12 % 34 %% 56"), row(4, "人口的变化很大" * 20, None)], P.keep_languages) == sorted((k, r.text) for k, r in enumerate(english))
+
+
+def test_tables_are_discarded(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    import corpus_pipeline as P
+    from pagequarry.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    common.discard_all(spark)
+    rows = P.run(spark, SF)
+    assert len(list(Path(tmp_path).iterdir())) == 1 and rows.count() > 0
+    common.discard_all(spark)
+    assert list(Path(tmp_path).iterdir()) == []
+
+
+def test_without_a_shared_folder_a_cluster_is_refused():
+    from types import SimpleNamespace
+
+    from pagequarry.llm import common
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    fake = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="none", getConf=lambda: conf))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(fake(master))
+    assert common.shared_dir(fake("local[2]")) == common.shared_dir(fake("local")) and common._TEMPORARY.pop("none").startswith("file:")
