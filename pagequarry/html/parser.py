@@ -17,6 +17,7 @@ SPECIAL = frozenset(
 )
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
+BUTTON_SCOPE, TABLE_SCOPE = SCOPE | {"button"}, frozenset(("html", "table", "template"))
 MATH_SCOPE = frozenset("mi mo mn ms mtext annotation-xml".split())
 SVG_SCOPE = frozenset("foreignObject desc title".split())
 IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
@@ -221,15 +222,109 @@ class _Tokens:
         return len(text)
 
 
+class _Open(list):
+    """The stack of open elements, which knows where each name is open last, so that
+    questions about scopes cost no walk over deeply nested elements."""
+
+    def __init__(self, tree: Tree):
+        super().__init__()
+        self.tree = tree
+        self.names: dict[tuple[str | None, str | None], list[int]] = {}
+        self.lower: dict[str, list[int]] = {}
+        self.html: list[int] = []
+        self.special: list[int] = []
+        self.walls: list[int] = []  # special ones that also end the search for an open list item
+        self.held: set[int] = set()
+
+    def _enter(self, at: int, node: int) -> None:
+        key = self.tree.ns[node], self.tree.name[node]
+        self.names.setdefault(key, []).append(at)
+        self.lower.setdefault(ascii_lower(key[1] or ""), []).append(at)
+        if key[0] == HTML:
+            self.html.append(at)
+        self.held.add(node)
+        if is_special(*key):
+            self.special.append(at)
+            if key[0] != HTML or key[1] not in ("address", "div", "p"):
+                self.walls.append(at)
+
+    def _rebuild(self) -> None:
+        self.names, self.lower, self.html, self.special, self.walls, self.held = {}, {}, [], [], [], set()
+        for at, node in enumerate(self):
+            self._enter(at, node)
+
+    def append(self, node: int) -> None:
+        self._enter(len(self), node)
+        super().append(node)
+
+    def pop(self) -> int:
+        node, at = super().pop(), len(self)
+        self.names[self.tree.ns[node], self.tree.name[node]].pop()
+        self.lower[ascii_lower(self.tree.name[node] or "")].pop()
+        self.held.discard(node)
+        for places in (self.html, self.special, self.walls):
+            if places and places[-1] == at:
+                places.pop()
+        return node
+
+    def __contains__(self, node: object) -> bool:
+        return node in self.held
+
+    def __delitem__(self, at) -> None:
+        if isinstance(at, slice) and at.stop is None and at.step is None:
+            while len(self) > at.start:
+                self.pop()
+        else:
+            super().__delitem__(at)
+            self._rebuild()
+
+    def __setitem__(self, at, node) -> None:
+        super().__setitem__(at, node)
+        self._rebuild()
+
+    def insert(self, at: int, node: int) -> None:
+        super().insert(at, node)
+        self._rebuild()
+
+    def remove(self, node: int) -> None:
+        if self and self[-1] == node:
+            self.pop()
+        else:
+            super().remove(node)
+            self._rebuild()
+
+    def place(self, node: int) -> int:
+        """Where the node is, -1 if it is not open."""
+        if node not in self.held:
+            return -1
+        return next(at for at in reversed(self.names[self.tree.ns[node], self.tree.name[node]]) if self[at] == node)
+
+    def last(self, names, ns: str = HTML) -> int:
+        """The highest place of an element of one of the names, -1 without one."""
+        return max((places[-1] for n in names if (places := self.names.get((ns, n)))), default=-1)
+
+    def within(self, names, stop: frozenset, foreign: bool = True) -> bool:
+        """Whether one of the names is open above all elements that bound the scope."""
+        return self.above(self.last(names), stop, foreign)
+
+    def above(self, at: int, stop: frozenset, foreign: bool = True) -> bool:
+        return at >= 0 and at >= self.last(stop) and not (foreign and max(self.last(MATH_SCOPE, MATH), self.last(SVG_SCOPE, SVG)) > at)
+
+
+def is_special(ns: str | None, name: str | None) -> bool:
+    return ns == HTML and name in SPECIAL or ns == MATH and name in MATH_SCOPE or ns == SVG and name in SVG_SCOPE
+
+
 class _Builder:
     """Tree construction: the stack of open elements, the list of active formatting elements, the insertion mode."""
 
     def __init__(self, text: str):
         self.tree = Tree()
         self.tokens = _Tokens(text, self.tree.errors)
-        self.stack: list[int] = []
+        self.stack = _Open(self.tree)
         self.active: list[int | None] = []  # None is a marker
         self.tags: dict[int, tuple] = {}
+        self.pushed: dict[tuple, int] = {}  # how many of each have ever been active
         self.mode = self.initial
         self.original = self.mode
         self.templates: list = []
@@ -292,20 +387,13 @@ class _Builder:
 
     def has(self, names, stop: frozenset = SCOPE, foreign: bool = True) -> bool:
         """Whether one of names is open within a scope."""
-        names = (names,) if isinstance(names, str) else names
-        for node in reversed(self.stack):
-            if self.tag(node) in names:
-                return True
-            ns, name = self.tree.ns[node], self.tree.name[node]
-            if ns == HTML and name in stop or foreign and (ns == MATH and name in MATH_SCOPE or ns == SVG and name in SVG_SCOPE):
-                return False
-        return False
+        return self.stack.within((names,) if isinstance(names, str) else names, stop, foreign)
 
     def in_button(self, names) -> bool:
-        return self.has(names, SCOPE | {"button"})
+        return self.has(names, BUTTON_SCOPE)
 
     def in_table_scope(self, names) -> bool:
-        return self.has(names, frozenset(("html", "table", "template")), False)
+        return self.has(names, TABLE_SCOPE, False)
 
     def in_select_scope(self, name: str) -> bool:
         for node in reversed(self.stack):
@@ -392,12 +480,13 @@ class _Builder:
 
     def push_active(self, node: int, token: tuple) -> None:
         """At most three alike since the last marker."""
-        alike, key = [], (token[1], sorted(token[2]))
-        for k in range(len(self.active) - 1, -1, -1):
+        alike, key = [], (token[1], tuple(sorted(token[2])))
+        self.pushed[key] = self.pushed.get(key, 0) + 1
+        for k in range(len(self.active) - 1, -1, -1) if self.pushed[key] > 3 else ():
             if self.active[k] is None:
                 break
             other = self.tags[self.active[k]]
-            if (other[1], sorted(other[2])) == key:
+            if other[1] == key[0] and tuple(sorted(other[2])) == key[1]:
                 alike.append(k)
         if len(alike) >= 3:
             del self.active[alike[-1]]
@@ -490,29 +579,20 @@ class _Builder:
             self.stack.insert(self.stack.index(furthest) + 1, new)
 
     def has_node(self, node: int) -> bool:
-        for n in reversed(self.stack):
-            if n == node:
-                return True
-            if self.tag(n) in SCOPE or self.tree.ns[n] == MATH and self.tree.name[n] in MATH_SCOPE or self.tree.ns[n] == SVG and self.tree.name[n] in SVG_SCOPE:
-                return False
-        return False
+        return self.stack.above(self.stack.place(node), SCOPE)
 
     def special(self, node: int) -> bool:
-        ns, name = self.tree.ns[node], self.tree.name[node]
-        return ns == HTML and name in SPECIAL or ns == MATH and name in MATH_SCOPE or ns == SVG and name in SVG_SCOPE
+        return is_special(self.tree.ns[node], self.tree.name[node])
 
     def any_other_end(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            node = self.stack[k]
-            if self.tag(node) == name:
-                self.implied(name)
-                if node != self.current:
-                    self.error(f"unexpected end tag {name}")
-                del self.stack[self.stack.index(node) :]
-                return
-            if self.special(node):
-                self.error(f"unexpected end tag {name}")
-                return
+        at = self.stack.last((name,))
+        if at < (self.stack.special[-1] if self.stack.special else 0):
+            self.error(f"unexpected end tag {name}")
+            return
+        self.implied(name)
+        if at != len(self.stack) - 1:
+            self.error(f"unexpected end tag {name}")
+        del self.stack[at:]
 
     # The loop
 
@@ -657,7 +737,7 @@ class _Builder:
         self.mode(token)
 
     def end_template(self) -> None:
-        if not any(self.tag(n) == "template" for n in self.stack):
+        if self.stack.last(("template",)) < 0:
             return self.error("unexpected end tag template")
         self.implied(names=IMPLIED_ALL)
         if self.tag(self.current) != "template":
@@ -732,13 +812,13 @@ class _Builder:
     def body_start(self, token: tuple, name: str, attrs: list) -> None:
         if name == "html":
             self.error("unexpected html")
-            if not any(self.tag(n) == "template" for n in self.stack):
+            if self.stack.last(("template",)) < 0:
                 self.add_attrs(self.stack[0], attrs)
         elif name in HEAD_TAGS:
             self.in_head(token)
         elif name == "body":
             self.error("unexpected body")
-            if len(self.stack) > 1 and self.tag(self.stack[1]) == "body" and not any(self.tag(n) == "template" for n in self.stack):
+            if len(self.stack) > 1 and self.tag(self.stack[1]) == "body" and self.stack.last(("template",)) < 0:
                 self.frameset_ok = False
                 self.add_attrs(self.stack[1], attrs)
         elif name == "frameset":
@@ -762,7 +842,7 @@ class _Builder:
             self.put(name, attrs)
             self.skip_newline, self.frameset_ok = True, False
         elif name == "form":
-            in_template = any(self.tag(n) == "template" for n in self.stack)
+            in_template = self.stack.last(("template",)) >= 0
             if self.form is not None and not in_template:
                 return self.error("form in a form")
             self.close_p()
@@ -772,14 +852,11 @@ class _Builder:
         elif name in ("li", "dd", "dt"):
             self.frameset_ok = False
             same = ("li",) if name == "li" else ("dd", "dt")
-            for node in reversed(self.stack):
-                own = self.tag(node)
-                if own in same:
-                    self.implied(own)
-                    self.pop_until(own)
-                    break
-                if self.special(node) and own not in ("address", "div", "p"):
-                    break
+            at = self.stack.last(same)
+            if at >= 0 and at == self.stack.walls[-1]:
+                own = self.tag(self.stack[at])
+                self.implied(own)
+                self.pop_until(own)
             self.close_p()
             self.put(name, attrs)
         elif name == "plaintext":
@@ -891,7 +968,7 @@ class _Builder:
                 self.error(f"open elements in {name}")
             self.pop_until(name)
         elif name == "form":
-            if any(self.tag(n) == "template" for n in self.stack):
+            if self.stack.last(("template",)) >= 0:
                 if self.has("form"):
                     self.implied()
                     self.pop_until("form")
@@ -992,7 +1069,7 @@ class _Builder:
                 return
             if name == "form":
                 self.error("form in a table")
-                if self.form is None and not any(self.tag(n) == "template" for n in self.stack):
+                if self.form is None and self.stack.last(("template",)) < 0:
                     self.form = self.put(name, attrs)
                     self.stack.pop()
                 return
@@ -1214,7 +1291,7 @@ class _Builder:
             return self.mode(token)
         if kind == "end":
             return self.error(f"unexpected end tag {name}")
-        if any(self.tag(n) == "template" for n in self.stack):
+        if self.stack.last(("template",)) >= 0:
             self.error("template without an end")
             self.pop_until("template")
             self.clear_active()
@@ -1328,12 +1405,11 @@ class _Builder:
                 while self.tree.ns[self.current] != HTML:
                     self.stack.pop()
                 return self.process(token)
-            for k in range(len(self.stack) - 1, 0, -1):
-                if ascii_lower(self.tree.name[self.stack[k]]) == token[1]:
-                    del self.stack[k:]
-                    return
-                if self.tree.ns[self.stack[k - 1]] == HTML:
-                    return self.mode(token)
+            places = self.stack.lower.get(token[1])
+            if places and places[-1] > self.stack.html[-1]:
+                del self.stack[places[-1] :]
+            else:
+                return self.mode(token)
 
 
 def parse(html: str | bytes) -> Tree:

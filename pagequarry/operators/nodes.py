@@ -1,15 +1,19 @@
 """Relational operators over the node table of html_nodes().
 
-pre and post number nodes on entering and leaving, so each axis is a comparison of
-numbers within a document: the joins are on the document, with the range as a filter.
+pre and post number nodes on entering and leaving. Axes among neighbours are equality
+joins; those up and down the tree are one pass over a document's nodes in order, which
+holds the open ancestors only, so no document costs its nodes times its contexts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import UnsupportedXPath
 from ..functions.text import ascii_lower
@@ -116,11 +120,50 @@ def with_ends(nodes: DataFrame, doc: str = "page_id") -> DataFrame:
 _COLUMNS = ("node_id", "parent_id", "pre", "post", "sibling_ord")
 
 
+def _pairs(above: DataFrame, below: DataFrame, doc: str, with_self: bool, first: bool = False) -> DataFrame:
+    """doc, up and down: ids of each node of below with those of above that it lies in; first: with the nearest only.
+
+    Both are sorted by document and place together; a document is read in one task, and only
+    the nodes of above that are open at a place are held.
+    """
+    kind = above.schema[doc].dataType
+    side = lambda df, up: df.select(F.col(doc), F.lit(up).alias("up"), "pre", "post", "node_id")
+    both = side(above, 0).unionByName(side(below, 1)).repartition(F.col(doc)).sortWithinPartitions(doc, "pre", "up")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, open_ = None, []
+        for batch in batches:
+            docs, up, down = [], [], []
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(up, pa.int64()), pa.array(down, pa.int64())], [doc, "up", "down"])
+
+            for d, below_, pre, post, node in zip(*(c.to_pylist() for c in batch.columns)):
+                if d != here:
+                    here, open_ = d, []
+                while open_ and open_[-1][1] < post:
+                    open_.pop()
+                if not below_:
+                    open_.append((pre, post, node))
+                    continue
+                fits = [n for p, _, n in (open_[:-3:-1] if first else open_) if with_self or p < pre]
+                for n in fits[:1] if first else fits:
+                    docs.append(d)
+                    up.append(n)
+                    down.append(node)
+                if len(docs) >= 65536:
+                    yield told()
+                    docs, up, down = [], [], []
+            yield told()
+
+    return both.mapInArrow(run, T.StructType([T.StructField(doc, kind), T.StructField("up", T.LongType()), T.StructField("down", T.LongType())]))
+
+
 def axis(nodes: DataFrame, context: DataFrame, name: str, doc: str = "page_id") -> DataFrame:
-    """Nodes on an axis of each context node: doc, context_id, and the node's columns.
+    """Nodes on an axis of each context node: context_id, and the node's columns.
 
-    Equality joins where the axis allows one (child, parent, siblings, self), else the
-    range of pre and post within the document.
+    Equality joins where the axis allows one (child, parent, siblings, self), else one
+    ordered pass over each document.
     """
     c = context.select(F.col(doc), *[F.col(x).alias(f"c_{x}") for x in _COLUMNS])
     n = nodes
@@ -134,14 +177,25 @@ def axis(nodes: DataFrame, context: DataFrame, name: str, doc: str = "page_id")
         later = F.col("sibling_ord") > F.col("c_sibling_ord") if name[0] == "f" else F.col("sibling_ord") < F.col("c_sibling_ord")
         met = n.join(c.withColumn("parent_id", F.col("c_parent_id")), [doc, "parent_id"]).where(later)
     elif name in ("descendant", "descendant-or-self", "ancestor", "ancestor-or-self"):
-        inside = (F.col("pre") > F.col("c_pre")) & (F.col("post") < F.col("c_post"))
-        outside = (F.col("pre") < F.col("c_pre")) & (F.col("post") > F.col("c_post"))
-        met = n.join(c, doc).where((inside if name[0] == "d" else outside) | ((F.col("node_id") == F.col("c_node_id")) if name.endswith("self") else F.lit(False)))
+        down = name[0] == "d"
+        pairs = _pairs(context, nodes, doc, name.endswith("self")) if down else _pairs(nodes, context, doc, name.endswith("self"))
+        met = n.join(pairs.select(doc, F.col("down" if down else "up").alias("node_id"), F.col("up" if down else "down").alias("c_node_id")), [doc, "node_id"])
     else:
         raise UnsupportedXPath("axis", name)
     return met.select(F.col("c_node_id").alias("context_id"), *nodes.columns)
 
 
+def on_axis(nodes: DataFrame, context: DataFrame, name: str, doc: str = "page_id") -> DataFrame:
+    """Nodes that are child, descendant or following-sibling of any context node, each once: no pairs are made."""
+    if name == "child":
+        return nodes.join(context.select(doc, F.col("node_id").alias("parent_id")).distinct(), [doc, "parent_id"], "left_semi").select(*nodes.columns)
+    if name == "descendant":
+        found = _pairs(context, nodes, doc, False, first=True).select(doc, F.col("down").alias("node_id"))
+        return nodes.join(found, [doc, "node_id"], "left_semi").select(*nodes.columns)
+    first = context.groupBy(doc, "parent_id").agg(F.min("sibling_ord").alias("from"))
+    return nodes.join(first, [doc, "parent_id"]).where("sibling_ord > `from`").select(*nodes.columns)
+
+
 def text_content(nodes: DataFrame, context: DataFrame, doc: str = "page_id") -> DataFrame:
     """Text of the subtree of each context node: doc, node_id, text_content."""
     texts = axis(nodes.where("kind = 'text'"), context, "descendant-or-self", doc)
@@ -158,13 +212,16 @@ def _test(t: tuple) -> Column:
     if kind == "class":
         return has_class(t[1])
     if kind == "attr" and not t[4]:
-        value, op, wanted = attr(t[1]), t[2], t[3]
+        # Names of HTML elements' attributes are in lower case, others as written; without *| those of no namespace.
+        name = F.when(F.col("ns") == "html", F.lit(t[1].lower())).otherwise(F.lit(t[1]))
+        own = F.filter("attrs", lambda a: (a["name"] == name) & (F.lit(t[5]) | (F.coalesce(a["ns"], F.lit("")) == "")))
+        value, op, wanted = F.get(own, F.lit(0))["value"], t[2], t[3]
         if not op:
-            return has_attr(t[1])
+            return F.size(own) > 0
         if op == "=":
             return value == wanted
         if op == "~=":
-            return F.array_contains(attr_tokens(t[1]), wanted)
+            return F.array_contains(F.split(value, SPACE), wanted) & F.lit(wanted != "")
         if op == "|=":
             return (value == wanted) | F.startswith(value, F.lit(wanted + "-"))
         return {"^=": F.startswith, "$=": F.endswith, "*=": F.contains}[op](value, F.lit(wanted))
@@ -191,6 +248,6 @@ def select(nodes: DataFrame, query: str | Selector, doc: str = "page_id") -> Dat
                 have = own.join(ranked, [doc, "node_id"]).join(left, [doc, "parent_id", "rank"], "left_semi").select(*nodes.columns)
             else:
                 name = {" ": "descendant", ">": "child", "~": "following-sibling"}[c.combinator]
-                have = axis(own, have, name, doc).drop("context_id").dropDuplicates([doc, "node_id"])
+                have = on_axis(own, have, name, doc)
         found.append(have)
     return reduce(DataFrame.unionByName, found).dropDuplicates([doc, "node_id"]) if len(found) > 1 else found[0]

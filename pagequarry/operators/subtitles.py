@@ -68,13 +68,22 @@ def subtitle_suffix(video_stem: Column, subtitle_stem: Column) -> Column:
     return F.when(video_stem == subtitle_stem, "").otherwise(suffix_of(variants(video_stem), variants(subtitle_stem)))
 
 
+def _meeting(stem: Column, words: Column, video: bool) -> Column:
+    """Keys that two names share if suffix_of() can relate them: all words of one are the first of the other's."""
+    lower = F.transform(words, lambda v: F.transform(v, F.lower))
+    full = F.transform(lower, lambda v: F.array_join(v, " "))
+    firsts = F.flatten(F.transform(lower, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda k: F.array_join(F.slice(v, 1, k), " "))))
+    tagged = lambda sign, of: F.transform(of, lambda x: F.concat(F.lit(sign), x))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), stem)), tagged("v", full if video else firsts), tagged("s", firsts if video else full)))
+
+
 def match_subtitles(groups: DataFrame, files: DataFrame, path_col: str = "path") -> DataFrame:
     """Subtitles of each group in the order of its plan: group_id, path, target_base, sort_key.
 
     A subtitle is matched to a part first, then to the group; of several only the
     first counts. In split groups a part takes only subtitles with a split marker; a
-    group takes only those without. The join is on the directory, with the names'
-    match as a filter, so it is as wide as one directory's videos and subtitles.
+    group takes only those without. The join is on the directory and on words that
+    related names share, so a directory of many files costs its matches, not its pairs.
     """
     path = F.col(path_col)
     subs = files.where(is_subtitle(path)).select(parent_dir(path).alias("dir"), path.alias("path"), file_stem(path).alias("sub_stem"), ascii_lower(file_name(path)).alias("low")).distinct()
@@ -85,7 +94,9 @@ def match_subtitles(groups: DataFrame, files: DataFrame, path_col: str = "path")
     whole = groups.select("group_id", split.alias("split"), F.lit(0).alias("rank"), F.lit(1).alias("level"), parent_dir(F.col("group_id")).alias("dir"), F.col("input_stem").alias("stem"), F.lit("").alias("part_base"))
     sides = part.unionByName(whole).withColumn("words", variants(F.col("stem")))
     fits = F.when(F.col("level") == 0, ~F.col("split") | F.col("marked")).otherwise(~F.col("marked"))
-    met = sides.join(subs, "dir").where(fits).withColumn("suffix", F.when(F.col("stem") == F.col("sub_stem"), "").otherwise(suffix_of(F.col("words"), F.col("sub_words")))).where("suffix is not null")
+    keys = lambda df, name, video: df.withColumn("key", F.explode(_meeting(F.col(name), F.col("words" if video else "sub_words"), video)))
+    met = keys(sides, "stem", True).join(keys(subs, "sub_stem", False), ["dir", "key"]).where(fits).withColumn("suffix", F.when(F.col("stem") == F.col("sub_stem"), "").otherwise(suffix_of(F.col("words"), F.col("sub_words")))).where("suffix is not null")
+    # A pair that meets by several keys counts once, too.
     first = Window.partitionBy("group_id", "path").orderBy("level", "rank")
     met = met.withColumn("n", F.row_number().over(first)).where("n = 1")
     key = F.when(F.col("level") == 0, F.concat(F.lit("0:"), "low", F.lit(":"), "part_base")).otherwise(F.concat(F.lit("1:"), "low"))

@@ -54,7 +54,7 @@ def _shown(c: Compound) -> str:
         elif kind == "class":
             out += "." + v[0]
         elif kind == "attr":
-            out += f"[{v[0]}{v[1]}{'"' + v[2] + '"' if v[1] else ''}]"
+            out += f"[{'*|' * v[4]}{v[0]}{v[1]}{'"' + v[2] + '"' if v[1] else ''}]"
         elif kind == "nth":
             out += f":{v[0]}({v[1]}n{v[2]:+d})"
         elif kind == "list":
@@ -172,7 +172,8 @@ class _Parser:
     def attribute(self) -> tuple:
         self.at += 1
         self.skip()
-        if self.peek(2) == "*|":
+        spaces = self.peek(2) == "*|"  # attributes of any namespace, else of none
+        if spaces:
             self.at += 2
         elif self.peek() == "|":
             self.at += 1
@@ -180,7 +181,7 @@ class _Parser:
         self.skip()
         if self.peek() == "]":
             self.at += 1
-            return "attr", ascii_lower(name), "", "", ""
+            return "attr", name, "", "", "", spaces
         m = self.take(re.compile(r"[~|^$*]?="))
         if not m:
             raise self.fail("bad attribute", repr(self.peek()))
@@ -195,7 +196,7 @@ class _Parser:
         if self.peek() != "]":
             raise self.fail("bad attribute", repr(self.peek()))
         self.at += 1
-        return "attr", ascii_lower(name), m[0], value, flag[0].lower() if flag else ""
+        return "attr", name, m[0], value, flag[0].lower() if flag else "", spaces
 
     def pseudo(self) -> tuple:
         start = self.at
@@ -284,7 +285,8 @@ class Matcher:
             own = tokens(t.attr(node, "class") or "")
             return test[1] in own or self.fold and ascii_lower(test[1]) in map(ascii_lower, own)
         if kind == "attr":
-            return any(n == test[1] and self.value_fits(node, v, test) for n, _, v in t.attrs[node])
+            name = ascii_lower(test[1]) if t.ns[node] == HTML else test[1]
+            return any(n == name and (test[5] or not ns) and self.value_fits(node, v, test) for n, ns, v in t.attrs[node])
         if kind == "nth":
             return self.nth(node, *test[1:])
         if kind == "list":
@@ -305,10 +307,10 @@ class Matcher:
         return all(self.nth(node, f"nth{s}-{'of-type' if name.endswith('of-type') else 'child'}", 0, 1) for s in side)
 
     def value_fits(self, node: int, value: str, test: tuple) -> bool:
-        _, name, op, wanted, flag = test
+        _, name, op, wanted, flag, _ = test
         if not op:
             return True
-        if flag == "i" or not flag and name in CASELESS and self.tree.ns[node] == HTML:
+        if flag == "i" or not flag and ascii_lower(name) in CASELESS and self.tree.ns[node] == HTML:
             value, wanted = ascii_lower(value), ascii_lower(wanted)
         if op == "=":
             return value == wanted

@@ -2,6 +2,8 @@
 
 import random
 
+import time
+
 import pytest
 
 from pagequarry.errors import HtmlParseError, QueryError, UnsupportedXPath
@@ -169,3 +171,19 @@ def test_properties():
             if r["parent_id"] is not None:
                 p = rows[r["parent_id"]]
                 assert p["pre"] < r["pre"] and p["post"] > r["post"] and r["depth"] == p["depth"] + 1
+
+
+def test_foreign_attributes_keep_their_case():
+    tree = parse("<svg viewBox='0 0' xlink:href='#x' viewbox2=y><g Data-K=1></g></svg><div DATA-k=1 viewBox=2>")
+    found = lambda q: [tree.name[n] for n in find_css(tree, parse_css(q))]
+    assert found("svg[viewBox]") == ["svg"] and found("svg[viewbox]") == [] and found("[VIEWBOX]") == ["div"]
+    assert found("[href]") == [] and found("[*|href='#x']") == ["svg"] and found("[data-K]") == ["div"] and found("[data-k]") == ["g", "div"]
+    assert parse_css("[*|href='#x']").to_css() == '[*|href="#x"]'
+
+
+def test_deep_nesting_costs_no_square():
+    n = 20_000
+    for page in ("<div>" * n, "<p><button>" + "<div>" * n, "<span>" * n + "</x>" * n, "<ul><li>" * n, "<svg>" + "<g>" * n + "</x>" * n, "<div>" * n + "<form></form>" * n, "".join(f"<b id={k}>" for k in range(n))):
+        began = time.process_time()
+        parse(page)
+        assert time.process_time() - began < 8, page[:20]
