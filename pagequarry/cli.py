@@ -11,8 +11,9 @@ import sys
 from . import config as conf
 from .errors import QuarryError
 from .plans.library import plan_library, plan_names
-from .sources.files import existing_targets, scan_files
-from .sources.registry import SOURCES, counts, listing
+from .operators.movie import unknown_aliases
+from .sources.files import existing_below, scan_files
+from .sources.registry import SOURCES, counts, fetch, listing, trusted_union
 
 log = logging.getLogger("pagequarry")
 
@@ -36,6 +37,9 @@ def _parser() -> argparse.ArgumentParser:
         m = modes.add_parser(mode, parents=[shared], help=text)
         m.add_argument("input")
         m.add_argument("--apply", metavar="ROOT", help="carry the plan out below this directory")
+        if mode == "watch":
+            m.add_argument("--state", metavar="DIR", help="where the state of the watched directory is kept between runs")
+            m.add_argument("--seconds", type=float, help="stop after some time")
     modes.add_parser("scripts", parents=[shared], help="list the sources")
     return p
 
@@ -49,6 +53,15 @@ def main(argv: list[str] | None = None) -> int:
         return e.exit_code
 
 
+def warn_unknown(spark, settings: conf.Settings) -> None:
+    """Logs aliases of the priorities that no source has."""
+    for what, wanted in (("images", settings.priority_images), ("details", settings.priority_details)):
+        if wanted:
+            rows = spark.createDataFrame(list(enumerate(wanted)), "ord int, alias string")
+            if found := [r.alias for r in unknown_aliases(rows, listing(spark, SOURCES)).collect()]:
+                log.warning("priority of %s names sources that there are not: %s", what, ", ".join(found))
+
+
 def _run(args: dict) -> int:
     import os
 
@@ -67,6 +80,7 @@ def _run(args: dict) -> int:
         for r in [*counts(listed).toJSON().collect(), *listed.orderBy("ord").toJSON().collect()]:
             print(r)
         return 0
+    warn_unknown(spark, settings)
     if mode == "name":
         print(plan_names(spark.createDataFrame([(args["name"], args["name"], None)], "entity_id string, name string, path string"), SOURCES, settings).first().nfo)
         return 0
@@ -74,21 +88,24 @@ def _run(args: dict) -> int:
     if mode == "watch":
         from .streaming.local import watch_directory
 
-        return watch_directory(spark, root, SOURCES, settings, args["apply"])
+        return watch_directory(spark, root, SOURCES, settings, args["apply"], args["seconds"], args["state"])
     files = scan_files(spark, os.path.dirname(root) if mode == "file" else root, 0 if mode == "file" else settings.max_depth)
-    done = plan_library(files, SOURCES, settings, only=root if mode == "file" else None)
+    existing = existing_below(spark, args["apply"]) if args["apply"] else None
+    done = plan_library(files, SOURCES, settings, only=root if mode == "file" else None, existing=existing)
     if args["apply"]:
         from .plans.effects import carry_out
         from .plans.output import preflight
 
-        preflight(done.actions, existing_targets(spark, [args["apply"]]))
-        records = {r.group_id: r.nfo for r in done.records.select("group_id", "nfo").toLocalIterator()}
-        results = carry_out(done.actions, args["apply"], records)
+        preflight(done.actions, existing)
+        trusted = trusted_union(SOURCES)
+        results = carry_out(done.actions, args["apply"], done.records, lambda url: fetch(url, trusted), keep_going=False)
+        done.release()
         for group, steps, error in results:
             print(json.dumps({"group": group, "steps": steps, "error": error}))
         return int(any(error for _, _, error in results))
     for r in done.actions.orderBy("group_id", "step").toJSON().toLocalIterator():
         print(r)
+    done.release()
     return 0
 
 

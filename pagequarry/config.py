@@ -32,6 +32,7 @@ class Settings:
     save_images: bool = False
     max_depth: int = -1
     fetch_threads: int = 1
+    throttle: bool = False  # pause between runs of one source
     throttle_ms: int = 1000
     translate: list[str] = field(default_factory=list)
     target_lang: str = ""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import QueryError, UnsupportedXPath
 from ..html.parser import parse, parse_checked
 from ..html.serialize import inner_html, outer_html
 from ..html.tree import Tree, ascii_lower, tokens
@@ -121,6 +122,41 @@ def extract(html: Column, fields: dict[str, Spec], checked: bool = False) -> Col
     return run(html)
 
 
+def _told(query: Column, how) -> Column:
+    """What how() gives for each query text; null for null."""
+
+    @F.arrow_udf("string")
+    def run(queries: pa.Array) -> pa.Array:
+        return pa.array([None if q is None else how(q) for q in queries.to_pylist()], pa.string())
+
+    return run(query)
+
+
+def _error(parsed, q: str) -> str | None:
+    try:
+        parsed(q)
+    except QueryError as e:
+        return e.kind
+    except UnsupportedXPath as e:
+        return f"unsupported {e.feature}: {e.detail}"
+    return None
+
+
+def css_error(query: Column) -> Column:
+    """Why a selector does not parse, null if it does."""
+    return _told(query, lambda q: _error(parse_css, q))
+
+
+def xpath_error(query: Column) -> Column:
+    """Why a path does not parse or is outside what is evaluated, null if neither."""
+    return _told(query, lambda q: _error(parse_xpath, q))
+
+
+def css_text(query: Column) -> Column:
+    """Selectors in one spelling; null for those that do not parse."""
+    return _told(query, lambda q: None if _error(parse_css, q) else parse_css(q).to_css())
+
+
 def node_rows(tree: Tree) -> list[dict]:
     """Rows of the nodes that the document holds, in document order; pre and post number them for ranges."""
     out: list[dict] = []

@@ -150,6 +150,11 @@ def _numbers() -> tuple:
     return (_folded(merge_ratings, lambda: None, RATINGS), _folded(merge_unique_ids, list, UNIQUE_IDS), _folded(merge_actors, list, ACTORS))
 
 
+def fanarts(lists: Column) -> Column:
+    """One list of thumbs from a list for each source, in order; for sources whose images may mix."""
+    return _folded(merge_fanart, lambda: None, f"array<{_THUMB}>")(lists)
+
+
 def _first(values: Column, ok: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(values, ok), F.lit(0))
 

@@ -17,29 +17,35 @@ from ..operators.parts import group_of, group_video_inputs
 from ..operators.subtitles import match_subtitles
 from ..operators.translate import Translate, endpoint, resolve_keys, translate_movies
 from ..sources.registry import Source, run_sources
-from .output import actions, outputs, targets
+from .output import actions, outputs, targets, without_present
 
 
 @dataclass
 class Planned:
-    """groups, records (group_id, movie, nfo), failures (group_id, error) and the steps."""
+    """groups, records (group_id, movie, nfo), failures (group_id, error) and the steps. held: what is kept in
+    memory for them until release()."""
 
     groups: DataFrame
     records: DataFrame
     failures: DataFrame
     actions: DataFrame
+    held: tuple[DataFrame, ...] = ()
 
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
-def resolve_records(names: DataFrame, sources: list[Source], settings: Settings, translate: Translate | None = None) -> tuple[DataFrame, DataFrame]:
-    """Runs the sources on names (entity_id, name, path), then merges, maps and translates: (entity_id, movie, nfo), failures.
 
-    Sources run once: the attempts are kept, as runs may fetch.
+def resolve_records(names: DataFrame, sources: list[Source], settings: Settings, translate: Translate | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs the sources on names (entity_id, name, path), then merges, maps and translates: (entity_id, movie, nfo), failures, attempts.
+
+    Sources run once: the attempts are kept in memory, as runs may fetch, until the caller unpersists them.
     """
     configured = bool(settings.priority_details or settings.priority_images)
     limit = success_limit(settings.multi_source, settings.multi_source_max_sources, configured)
     width = settings.fetch_threads
     spread = names.repartition(width) if width > 1 else names
-    tried = run_sources(spread, sources, limit).persist()
+    tried = run_sources(spread, sources, limit, settings.throttle_ms if settings.throttle else 0).persist()
     good = limit_sources(tried, limit)
     good = good.withColumn("movie", F.coalesce("movie", from_nfo(F.col("raw_xml"))))
     merged = merge_sources(good, settings.priority_details, settings.priority_images, settings.multi_source)
@@ -58,18 +64,21 @@ def resolve_records(names: DataFrame, sources: list[Source], settings: Settings,
         changed = F.col("_changed") | F.col("changed")
     out = out.select("entity_id", "movie", nfo_output(F.col("raw"), F.col("movie"), changed).alias("nfo"))
     failed = tried.join(good.select("entity_id").distinct(), "entity_id", "left_anti").groupBy("entity_id").agg(F.max_by("error", "source_ord").alias("error"))
-    return out, failed
+    return out, failed, tried
 
 
 def plan_names(names: DataFrame, sources: list[Source], settings: Settings, translate: Translate | None = None) -> DataFrame:
     return resolve_records(names, sources, settings, translate)[0]
 
 
-def plan_library(files: DataFrame, sources: list[Source], settings: Settings, only: str | None = None, listed: DataFrame | None = None, translate: Translate | None = None) -> Planned:
-    """Steps for all video groups among the files (path), or for the group of one path. listed: where subtitles are sought, if not there."""
+def plan_library(
+    files: DataFrame, sources: list[Source], settings: Settings, only: str | None = None, listed: DataFrame | None = None, translate: Translate | None = None, existing: DataFrame | None = None
+) -> Planned:
+    """Steps for all video groups among the files (path), or for the group of one path. listed: where subtitles
+    are sought, if not there. existing: path of each file that is there, as targets are written; images among them are not fetched again."""
     groups = group_video_inputs(files) if only is None else group_of(files, files.sparkSession.createDataFrame([(only,)], "path string"))
     names = groups.select(F.col("group_id").alias("entity_id"), format_input_name("input_stem", settings.input_name_rules).alias("name"), F.col("group_id").alias("path"))
-    records, failed = resolve_records(names, sources, settings, translate)
+    records, failed, tried = resolve_records(names, sources, settings, translate)
     records = records.withColumnRenamed("entity_id", "group_id").join(groups.select("group_id", "input_stem"), "group_id")
     places = outputs(records, settings.output, settings.multi_folder)
     images = None
@@ -78,4 +87,6 @@ def plan_library(files: DataFrame, sources: list[Source], settings: Settings, on
         images = name_images(movie_images(records).join(base, "group_id"))
         records = local_images(records, images).withColumn("nfo", to_nfo(F.col("movie")))
     steps = actions(targets(places, groups, match_subtitles(groups, files if listed is None else listed), images), settings.multi_folder)
-    return Planned(groups, records, failed.withColumnRenamed("entity_id", "group_id"), steps)
+    if existing is not None:
+        steps = without_present(steps, existing)
+    return Planned(groups, records, failed.withColumnRenamed("entity_id", "group_id"), steps, (tried,))

@@ -59,6 +59,16 @@ def actions(all_targets: DataFrame, strategy: str = "first", id_col: str = "grou
     return done.select(id_col, step.cast("long").alias("step"), "action", "source", "target")
 
 
+def without_present(plan: DataFrame, existing: DataFrame, id_col: str = "group_id") -> DataFrame:
+    """The plan without fetches of images whose target exists (existing: path); steps are numbered anew."""
+    from ..operators.images import images_to_fetch
+
+    fetches = plan.where("action = 'fetch'").select(*plan.columns, F.lit(True).alias("is_first"), parent_dir(F.col("target")).alias("dir"), file_name(F.col("target")).alias("file_name"))
+    present = existing.select(parent_dir(F.col("path")).alias("dir"), file_name(F.col("path")).alias("file_name")).distinct()
+    left = plan.where("action <> 'fetch'").unionByName(images_to_fetch(fetches, present).select(*plan.columns))
+    return left.withColumn("step", F.row_number().over(Window.partitionBy(id_col).orderBy("step")).cast("long") - 1)
+
+
 def conflicts(plan: DataFrame, existing: DataFrame, id_col: str = "group_id") -> DataFrame:
     """Targets that exist already (existing: path) or that several steps share: id, target, reason.
 

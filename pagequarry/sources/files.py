@@ -37,6 +37,13 @@ def scan_videos(spark: SparkSession, root: str, max_depth: int = -1) -> DataFram
     return scan_files(spark, root, max_depth).where(is_video(F.col("path")))
 
 
+def existing_below(spark: SparkSession, root: str) -> DataFrame:
+    """path of every file below the root, relative to it and absolute, as targets may be either."""
+    top = os.path.abspath(root).rstrip("/") + "/"
+    found = existing_targets(spark, [top])
+    return found.unionByName(found.select(F.substr("path", F.lit(len(top) + 1)).alias("path")))
+
+
 def existing_targets(spark: SparkSession, roots: list[str]) -> DataFrame:
     """path of every file under the roots that exist."""
     out = spark.createDataFrame([], "path string")

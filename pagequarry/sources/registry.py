@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import NotEnabled, SourceError
-from ..functions.urls import UrlRule
+from ..errors import NotEnabled, SourceError, status_hint
+from ..functions.urls import UrlRule, refuse, why_refused
 from ..operators.extract import Spec, extract
 from ..operators.movie import MOVIE
+from .tasklog import task
+from .throttle import Throttle
 
 USER_AGENT = "pagequarry/0.1"
 
@@ -78,11 +83,16 @@ def counts(listed: DataFrame) -> DataFrame:
 ATTEMPT = f"source_ord int, alias string, ok boolean, error string, raw_xml string, movie {MOVIE}"
 
 
-def run_sources(names: DataFrame, sources: list[Source], limit: int | None) -> DataFrame:
+_THROTTLES: dict[int, Throttle] = {}  # of each pause, in this worker
+
+
+def run_sources(names: DataFrame, sources: list[Source], limit: int | None, throttle_ms: int = 0, kind: str = "batch") -> DataFrame:
     """Runs function sources on every name (entity_id, name, path), in order, until the limit of successes.
 
     One row for each attempt: entity_id and ATTEMPT. A failure is a row with its error, so
     one entity never stops another. A record or XML text is a success; None is an error.
+    throttle_ms: the pause between runs of one source in a worker, about; 0 for none. What a
+    source logs names its entity and the kind of task.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -109,7 +119,9 @@ def run_sources(names: DataFrame, sources: list[Source], limit: int | None) -> D
                         break
                     out = {"entity_id": row["entity_id"], "source_ord": k, "alias": s.alias, "ok": True, "error": None, "raw_xml": None, "movie": None}
                     try:
-                        got = decode_output(s.alias, s.run(row["name"], row["path"]) if row.get("path") else s.run(row["name"]))
+                        args = (row["name"], row["path"]) if row.get("path") else (row["name"],)
+                        with task(row["entity_id"], kind):
+                            got = decode_output(s.alias, _THROTTLES.setdefault(throttle_ms, Throttle(throttle_ms)).run(s.alias, s.run, *args))
                         out |= {"raw_xml": got} if isinstance(got, str) else {"movie": empty | got}
                         done += 1
                     except Exception as e:
@@ -151,10 +163,44 @@ class Request:
         return cls(tuple(headers.items()), known[str(version).strip().lower()] if version is not None else None)
 
 
-def fetch(url: str, trusted: list[str], options: dict | None = None, post: bytes | None = None) -> bytes:
-    """There is no network here: raises after the options are checked. Use lookup() on a table of pages."""
-    Request.of(options)
-    raise NotEnabled(f"fetching {url} needs a network; look pages up in a table instead")
+CHECKING: ContextVar[bool] = ContextVar("checking", default=False)  # while a source is only being looked at
+
+
+def fetch(url: str, trusted: list[str], options: dict | None = None, post: bytes | None = None, timeout: float = 30.0) -> bytes:
+    """The bytes of a trusted address, by GET, or by POST of some bytes; raises for any status but 2xx.
+
+    Redirects have to be trusted, too. Protocol version 2 has no client here and raises, as
+    does any fetch while a source is only being checked. For pages that are in a table already use lookup().
+    """
+    request = Request.of(options)
+    if CHECKING.get():
+        raise NotEnabled("no fetches while a source is only being checked")
+    if request.version == "2":
+        raise NotEnabled("protocol version 2 is not enabled")
+
+    class Redirects(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, req, fp, code, msg, headers, newurl):
+            if why := why_refused(newurl, trusted):
+                raise refuse(f"redirect, {why}", newurl)
+            return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+    if why := why_refused(url, trusted):
+        raise refuse(why, url)
+    asked = urllib.request.Request(url, data=post, headers={"User-Agent": USER_AGENT, **dict(request.headers)})
+    try:
+        with urllib.request.build_opener(urllib.request.ProxyHandler({}), Redirects).open(asked, timeout=timeout) as answer:
+            if not 200 <= answer.status < 300:
+                raise SourceError(f"{url}: status {answer.status}, {status_hint(answer.status)}")
+            return answer.read()
+    except urllib.error.HTTPError as e:
+        raise SourceError(f"{url}: status {e.code}, {status_hint(e.code)}") from None
+    except OSError as e:
+        raise SourceError(f"{url}: {e}") from None
+
+
+def fetch_text(url: str, trusted: list[str], options: dict | None = None, post: bytes | None = None, timeout: float = 30.0) -> str:
+    """As fetch(), read as UTF-8."""
+    return fetch(url, trusted, options, post, timeout).decode("utf-8", "replace")
 
 
 def lookup(wanted: DataFrame, pages: DataFrame, trusted: list[str]) -> DataFrame:
@@ -163,7 +209,3 @@ def lookup(wanted: DataFrame, pages: DataFrame, trusted: list[str]) -> DataFrame
 
     checked = wanted.withColumn("refused", check_request(F.col("url"), trusted))
     return checked.join(pages.select("url", "html").dropDuplicates(["url"]), "url", "left").withColumn("html", F.when(F.col("refused").isNull(), F.col("html")))
-
-
-def browser(*_, **__):
-    raise NotEnabled("browser sessions are not enabled")

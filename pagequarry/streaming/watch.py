@@ -7,8 +7,10 @@ once, and never again until they are removed; failures wait before they are retr
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +24,15 @@ STABLE_MS = 3000
 TICK_MS = 1000
 RETRY_MS = 5000
 OUTPUT = "path string, status string, length long, at_ms long"
+_KINDS = ("create", "modify", "remove", "startup", "failed", "busy", "done")
 _STATE = "length long, changed_ms long, retry_ms long, seen boolean"
 
 
 def relevant(events: DataFrame, root: str, max_depth: int = -1) -> DataFrame:
-    """Events (path, kind, length, at_ms) of video files under the root: created, modified, removed, startup, or failed."""
+    """Events (path, kind, length, at_ms) of video files under the root: created, modified, removed, startup, failed, busy (locked when it was due) or done."""
     deep = depth_under(F.col("path"), root)
     fits = (deep >= 0) if max_depth < 0 else (deep >= 0) & (deep <= max_depth)
-    return events.where(F.col("kind").isin("create", "modify", "remove", "startup", "failed", "done") & fits & is_video(F.col("path")))
+    return events.where(F.col("kind").isin(*_KINDS) & fits & is_video(F.col("path")))
 
 
 def step(state: tuple | None, kind: str, length: int | None, at: int) -> tuple[tuple | None, str | None]:
@@ -38,6 +41,8 @@ def step(state: tuple | None, kind: str, length: int | None, at: int) -> tuple[t
         return None, "removed" if state else None
     if kind == "done":
         return (state and (state[0], state[1], 0, True)), None
+    if kind == "busy":
+        return (state and (state[0], state[1], at + TICK_MS, False)), None
     if kind == "failed":
         return (state[0] if state else length or 0, state[1] if state else at, at + RETRY_MS, False), "retry"
     if state and state[3]:
@@ -70,14 +75,19 @@ class _Watch(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         path, out = key[0], []
-        events = pd.concat(list(rows)).sort_values("at_ms", kind="stable")
+        # Of a path's events in a batch only three short numbers each are held, as chunks come in any order.
+        at_ms, kinds, lengths = array("q"), array("b"), array("q")
+        for chunk in rows:
+            at_ms.extend(chunk["at_ms"].astype("int64"))
+            kinds.extend(chunk["kind"].map(_KINDS.index))
+            lengths.extend(chunk["length"].fillna(-1).astype("int64"))
         state = tuple(self.file.get()) if self.file.exists() else None
-        for e in events.itertuples():
-            at = int(e.at_ms)
+        for k in np.argsort(np.frombuffer(at_ms, np.int64), kind="stable"):
+            at, kind, length = at_ms[k], _KINDS[kinds[k]], None if lengths[k] < 0 else lengths[k]
             if self.tick_by_events and state and not state[3] and due(state) <= at:
                 out.append((path, "ready", state[0], due(state)))
                 state = (*state[:3], True)
-            state, told = step(state, e.kind, None if pd.isna(e.length) else int(e.length), at)
+            state, told = step(state, kind, length, at)
             if told:
                 out.append((path, told, state[0] if state else 0, at))
         if state is None:

@@ -317,8 +317,7 @@ def test_scan_plan_and_effects(spark, tmp_path):
     with pytest.raises(PlanError):
         preflight(done.actions, spark.createDataFrame([("A/T root.mkv",)], "path string"))
     out = tmp_path / "out"
-    records = {r.group_id: r.nfo for r in done.records.collect()}
-    results = carry_out(done.actions, str(out), records)
+    results = carry_out(done.actions, str(out), done.records)
     assert len(results) == 3 and all(e is None for _, _, e in results)
     assert (out / "B/T Movie.part02.MKV").read_text() == "child/Show-CD2.MKV" and "<title>T Movie</title>" in (out / "A/T Movie.nfo").read_text() and not os.path.exists(root + "/root.mkv")
     outside = spark.createDataFrame([("g", 0, "move", root + "/note.txt", "/elsewhere/x")], "group_id string, step long, action string, source string, target string")
