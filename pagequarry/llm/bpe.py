@@ -32,24 +32,29 @@ from pyspark.sql import DataFrame
 
 from .common import keyed, map_batches, texts_of
 
-LEAF = 24  # bytes merged directly
-CACHED = 200_000  # pieces kept by a worker
+LEAF = 3  # bytes merged directly
+HEAPED = 96  # bytes from which on a direct merge keeps its pairs in a heap
+SHARED = 16  # bytes of halves and windows whose encodings are kept, as words share theirs
+CACHED = 200_000  # pieces, and as many halves and pairs, kept by a worker
 
 
-class _Pieces(dict):
-    """Ids of pieces; filled on demand and emptied when full, so memory is bounded."""
+class _Kept(dict):
+    """What a function gives, filled on demand. When CACHED values are held they become the older ones, of which
+    those that are asked for again are kept, so memory is bounded and frequent keys stay."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, of):
         super().__init__()
-        self.codec = codec
+        self.of, self.older = of, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.of(key)
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        ids = tuple(self.codec.encode_piece(piece.encode()))
-        if len(piece) <= 4 * LEAF:
-            self[piece] = ids
-        return ids
+        self[key] = value
+        return value
 
 
 class Codec:
@@ -64,13 +69,15 @@ class Codec:
         self.names = [str(i) for i in range(len(self.bytes))]
         # White space as the Unicode property, which leaves out the separators U+001C to U+001F.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
-        self.pieces = _Pieces(self)
-        self._stable: dict[tuple[int, int], bool] = {}
+        # Ids of pieces and of halves, and which neighbours are stable. Long pieces are not kept; nobody may change a value.
+        self.pieces = _Kept(lambda piece: tuple(self.encode_piece(piece.encode())))
+        self.halves, self.windows = _Kept(self.reduce), _Kept(self.merge)
+        self.stable = _Kept(lambda pair: self.merge(self.bytes[pair[0]] + self.bytes[pair[1]]) == [*pair])
 
     def merge(self, raw: bytes) -> list[int]:
         """Merges from single bytes, lowest rank first, the leftmost of equals."""
         ranks = self.ranks
-        if len(raw) > 4 * LEAF:
+        if len(raw) > HEAPED:
             return self._merge_long(raw)
         parts = [raw[i : i + 1] for i in range(len(raw))]
         near = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
@@ -109,22 +116,18 @@ class Codec:
             i = end[i]
         return out
 
-    def stable(self, x: int, y: int) -> bool:
-        """Whether the two tokens stay when only their bytes are merged."""
-        if (found := self._stable.get((x, y))) is None:
-            if len(self._stable) >= CACHED:
-                self._stable.clear()
-            found = self._stable[x, y] = self.merge(self.bytes[x] + self.bytes[y]) == [x, y]
-        return found
-
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of the bytes of two encodings."""
+        """The encoding of the bytes of two encodings. Neighbours are stable if they stay when only their bytes are merged."""
+        stable = self.stable
+        if stable[left[-1], right[0]]:
+            return left + right
         i = j = 1
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            window = self.merge(b"".join(map(self.bytes.__getitem__, left[len(left) - i :] + right[:j])))
-            left_holds = i == len(left) or self.stable(left[-i - 1], window[0])
-            right_holds = j == len(right) or self.stable(window[-1], right[j])
+            raw = b"".join(map(self.bytes.__getitem__, left[len(left) - i :] + right[:j]))
+            window = self.windows[raw] if len(raw) <= SHARED else self.merge(raw)
+            left_holds = i == len(left) or stable[left[-i - 1], window[0]]
+            right_holds = j == len(right) or stable[window[-1], right[j]]
             if left_holds and right_holds:
                 return left[: len(left) - i] + window + right[j:]
             i, j = i if left_holds else 2 * i, j if right_holds else 2 * j
@@ -133,6 +136,8 @@ class Codec:
         if len(raw) <= LEAF:
             return self.merge(raw)
         half = len(raw) // 2
+        if half < SHARED:
+            return self.join(self.halves[raw[:half]], self.halves[raw[half:]])
         return self.join(self.reduce(raw[:half]), self.reduce(raw[half:]))
 
     def encode_piece(self, raw: bytes) -> list[int]:
@@ -141,7 +146,10 @@ class Codec:
         return [whole] if whole is not None else self.reduce(raw)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
+        found = self.split.findall(text)
+        if len(text) > HEAPED and len(max(found, key=len, default="")) > HEAPED:
+            return list(chain.from_iterable(self.pieces[p] if len(p) <= HEAPED else self.encode_piece(p.encode()) for p in found))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
