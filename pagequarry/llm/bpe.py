@@ -193,7 +193,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes every text and decodes the ids: doc_id, n_tokens, and SHA-256 of the ids as decimals
     joined by commas and of the decoded bytes; with_ids adds the ids. Texts that are null or empty
-    have no tokens."""
+    have no tokens; repeated rows and null ids are rows like any other; very long texts are encoded in full,
+    in one worker's memory; an empty table gives no rows."""
 
     def run(batch):
         c = codec(path, pattern)

@@ -64,6 +64,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+BROADCAST_ROWS = 500_000  # of narrow rows that may be broadcast, some hundred bytes each in memory
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows as a side of a join: broadcast if a count shows that it is small, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, map_batches, materialize
+from .common import bytes_of, map_batches, materialize, small_side
 
 SAMPLE = 1000  # labelled rows of a language to fit on at most: those of smallest hash of the id
 BUCKETS = 1 << 14
@@ -66,8 +66,8 @@ def likelihoods(raws: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.nd
     """Summed log chances of each text's trigrams, (texts, classes), and the number of its letters."""
     out, letters = np.zeros((len(raws), len(table))), np.zeros(len(raws), np.int64)
     for at, part in _parts(raws):
-        buffer = np.frombuffer(b"".join(b" " + x + b"  " for x in part), np.uint8)
-        starts = np.cumsum([0, *(len(x) + 3 for x in part[:-1])])
+        buffer = np.frombuffer(b"".join(b"  " + x + b"  " for x in part), np.uint8)
+        starts = np.cumsum([0, *(len(x) + 4 for x in part[:-1])])
         code = codes(buffer)  # places that reach into the next text see white space only
         for k, row in enumerate(table):
             out[at : at + len(part), k] = np.add.reduceat(row[code], starts)
@@ -175,7 +175,8 @@ def fuse(found: DataFrame, profile: Profile) -> DataFrame:
         own = own.withColumn("above", top) if prior is None else own.join(prior.withColumnRenamed("prior", "above"), keys[:-1])
         size = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) + STRENGTH
         prior = own.withColumn("size", size).select(*keys, F.zip_with("n", "above", lambda n, p: (n + STRENGTH * p) / F.col("size")).alias("prior"))
-    fused = rows.join(prior.select("host", "prior"), "host", "left")
+    # Rows of one host may be very many: they stay where they are if the hosts are few, and else Spark can split them, as both sides are exchanges.
+    fused = rows.join(small_side(materialize(prior.select("host", "prior"))), "host", "left")
     logs = F.zip_with("own", F.coalesce("prior", top), lambda o, p: o + F.log(p))
     fused = fused.select("key", "letters", logs.alias("logs")).withColumn("most", F.array_max("logs"))
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("logs", F.col("most")).cast("int"))

@@ -9,6 +9,7 @@ expression over the statistics, so scoring is a projection in the JVM.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -57,7 +58,7 @@ def stats_of(raw: bytes) -> tuple:
         math.log1p(n), size / n, float(hist[_UPPER].sum()) / letters, float(hist[_DIGIT].sum()) / size, float(hist[_SYMBOL].sum()) / size,
         hist[124] / n, hist[33] / n, (hist[46] + hist[44]) / n, float(hist[128:].sum()) / size, len(lines) / n,
         1 - len(set(lines)) / len(lines), len(distinct) / n, 1 - len(set(windows)) / len(windows) if windows else 0.0,
-        n / len(lines), sum(x < 4 for x in by_line) / len(lines), max(map(words.count, sorted(distinct, key=len)[:3])) / n, float(max(map(len, distinct))),
+        n / len(lines), sum(x < 4 for x in by_line) / len(lines), max(Counter(words).values()) / n, float(max(map(len, distinct))),
     )
 
 
@@ -189,7 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
 
 def classify(docs: DataFrame, ensemble: Ensemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and predicted of every row; null and empty texts are scored by statistics of zero."""
+    """doc_id, score and predicted of every row; null and empty texts are scored by statistics of zero.
+
+    Repeated rows and null ids each get a score; very long texts are measured in full;
+    an empty table gives no rows.
+    """
     scored = statistics(docs, id_col, text_col).select("doc_id", ensemble.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
