@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.llm import bpe, decontaminate, language, pii, simhash
-from pagequarry.llm.common import collecting, discard, materialize, read
+from pagequarry.llm.common import collecting, discard, materialize, read, small_side
 from pagequarry.llm.queries import vocabulary
 
 
@@ -41,9 +41,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _without(docs: DataFrame, name: str, keys: DataFrame) -> DataFrame:
-    """Rows but for those with the keys, which Spark broadcasts only if their written size is small."""
+    """Rows but for those with the keys, which are broadcast only if a count shows that they are few."""
     gone = materialize(keys.select(F.col(keys.columns[0]).alias(name)).distinct())
-    return docs.join(gone, name, "left_anti")
+    return docs.join(small_side(gone), name, "left_anti")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
