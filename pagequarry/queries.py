@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from .operators.subtitles import match_subtitles
 from .operators.template import output_paths
 from .operators.translate import translate_movies
 from .plans.output import actions, outputs, targets
-from .streaming.watch import watch
+from .streaming.watch import shared_folder, watch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -144,7 +143,7 @@ def nodes_by_tag(spark, sf_dir):
     SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)"""
 )
 def axes_relational(spark, sf_dir):
-    nodes = html_nodes(_t(spark, sf_dir, "pages"), "page_id", "html").persist()
+    nodes = html_nodes(_t(spark, sf_dir, "pages"), "page_id", "html")
     navs = N.by_tag(nodes, "nav")
     links = N.axis(N.by_tag(nodes, "a"), navs, "descendant").groupBy("page_id").agg(F.count("*").alias("links"))
     return links.join(N.text_content(nodes, navs).select("page_id", F.col("text_content").alias("nav_text")), "page_id")
@@ -152,7 +151,7 @@ def axes_relational(spark, sf_dir):
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<li><a href="')) AS n FROM pages""")
 def selector_relational(spark, sf_dir):
-    nodes = html_nodes(_t(spark, sf_dir, "pages"), "page_id", "html").persist()
+    nodes = html_nodes(_t(spark, sf_dir, "pages"), "page_id", "html")
     return N.select(nodes, "nav > ul li > a[href^='/']").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
@@ -254,11 +253,18 @@ def subtitle_matches(spark, sf_dir):
     return match_subtitles(group_video_inputs(files), files.unionByName(_subtitles(spark, sf_dir))).select("group_id", "path", "target_base")
 
 
-@query("SELECT * FROM (VALUES ('zh.hans.forced', 'zh-CN', 2), ('eng', 'en', 1), ('PT BR', 'pt-BR', 2), ('pt', 'pt', 1), ('nothing', NULL, 0), ('jp.2', 'ja', 1)) v(words, language, consumed)")
+_MARKED = (("zh.hans.forced", "zh-CN", 2), ("eng", "en", 1), ("PT BR", "pt-BR", 2), ("pt", "pt", 1), ("nothing", None, 0), ("jp.2", "ja", 1))
+
+
+@query(
+    "SELECT c_custkey, w || '.' || lower(c_mktsegment) AS words, language, consumed FROM customer JOIN (VALUES "
+    + ", ".join(f"({k}, '{w}', {'NULL' if lang is None else repr(lang)}, {n})" for k, (w, lang, n) in enumerate(_MARKED))
+    + ") v(k, w, language, consumed) ON c_custkey % 6 = k"
+)
 def language_suffix(spark, sf_dir):
-    words = F.explode(F.array(*map(F.lit, ("zh.hans.forced", "eng", "PT BR", "pt", "nothing", "jp.2")))).alias("words")
-    one = spark.range(1).select(words).withColumn("x", language_prefix(F.split(F.lower("words"), "[. ]")))
-    return one.select("words", "x.language", "x.consumed")
+    words = F.concat(F.element_at(F.array(*[F.lit(w) for w, _, _ in _MARKED]), (F.col("c_custkey") % 6 + 1).cast("int")), F.lit("."), F.lower("c_mktsegment"))
+    one = _t(spark, sf_dir, "customer").select("c_custkey", words.alias("words")).withColumn("x", language_prefix(F.split(F.lower("words"), "[. ]")))
+    return one.select("c_custkey", "words", "x.language", "x.consumed")
 
 
 # Records
@@ -444,8 +450,7 @@ UNION ALL SELECT '/in/u' || user_id || '.mkv', 'removed', 0, t FROM f WHERE gone
 def watch_replay(spark, sf_dir):
     """Events of users as events of files, replayed by their own clock until all are read."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="pagequarry-")
-    where = f"{where.rstrip('/')}/watch-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
     stored = _t(spark, sf_dir, "events")
     stream = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream of a lone file is refused
     kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "create").otherwise("modify")

@@ -12,11 +12,10 @@ import json
 import logging
 import os
 import re
-import tempfile
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from ..errors import ConfigError
 from ..plans.library import plan_library
 from ..sources.files import existing_below, scan_files
 from ..sources.registry import Source, fetch, trusted_union
-from .watch import TICK_MS, ready_groups, relevant, start, watch
+from .watch import TICK_MS, ready_groups, relevant, shared_folder, start, watch
 
 log = logging.getLogger("pagequarry.watch")
 EVENT = "path string, kind string, length long, at_ms long"
@@ -109,18 +108,19 @@ def in_use(path: str) -> bool:
 def _state_folder(spark: SparkSession, folder: str | None) -> str:
     if folder:
         return os.path.abspath(folder)
-    if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
-        raise ConfigError("on a cluster a watched directory needs a state folder that all of it shares")
-    return tempfile.mkdtemp(prefix="pagequarry-watch-")
+    where = shared_folder(spark)
+    if not where.startswith(("file:", "/")):
+        raise ConfigError("the log of a watched directory needs a folder that the driver can write to; name one by --state")
+    return os.path.join(re.sub(r"^file:/*(?=/)", "", where), f"watch-{uuid.uuid4().hex}")
 
 
-def watch_directory(spark: SparkSession, root: str, sources: list[Source], settings: Settings, apply_root: str | None, seconds: float | None = None, state: str | None = None) -> int:
+def watch_directory(spark: SparkSession, root: str, sources: list[Source], settings: Settings, apply_root: str | None, seconds: float | None = None, state: str | None = None, enough: Callable[[], bool] | None = None) -> int:
     """Prints (or carries out) the steps for groups as they become ready; runs until stopped, or for some seconds.
 
     Files that are there at the start are ready at once. A file that another process has
     locked is looked at again after a tick; a group that fails is reported and tried
     again later, and the others go on. Errors of single files are logged; that the
-    root is gone ends the watch. state: a folder for the log, the listing and the stream's
+    root is gone ends the watch, as enough() does when it holds. state: a folder for the log, the listing and the stream's
     checkpoint; without one they are temporary.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -180,7 +180,7 @@ def watch_directory(spark: SparkSession, root: str, sources: list[Source], setti
     poller.start()
     until = None if seconds is None else time.monotonic() + seconds
     try:
-        while query.isActive and not wrong and (until is None or time.monotonic() < until):
+        while query.isActive and not wrong and (until is None or time.monotonic() < until) and not (enough and enough()):
             query.awaitTermination(1)
     finally:
         stop.set()
