@@ -111,7 +111,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row for each row: the id, counts, the cleaned text and the verdict.
 
     A null text has no words, so it fails the base rules and stays unkept; a null id
-    stays null; repeated rows are judged alike and all returned.
+    stays null; repeated rows are judged alike and all returned. Very long texts are read
+    in full, line by line; an empty table gives no rows. A line that several rules fail is told by the first.
     """
 
     def judged(batch):

@@ -676,3 +676,82 @@ def test_without_a_shared_folder_a_cluster_is_refused():
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             common.shared_dir(fake(master))
     assert common.shared_dir(fake("local[2]")) == common.shared_dir(fake("local")) and common._TEMPORARY.pop("none").startswith("file:")
+
+
+# Brute force for what SQL cannot express
+
+
+def test_statistics_match_plain_loops(spark):
+    """The classifier's statistics by loops over characters and words."""
+    rng = random.Random(13)
+    texts = ["", " \n\t", "one", "a a a a", "Überall | ist! es, gut.\nÜberall | ist! es, gut.\n\nx"]
+    texts += ["".join(rng.choice(["ab ", "CD ", "é", "9", "!", "| ", ".", ",", "\n", "\t", "#", "word ", "longerword "]) for _ in range(rng.randrange(120))) for _ in range(60)]
+
+    def plain(text):
+        words, part = [], b""
+        for b in text.encode():
+            if b in b" \t\n\r\x0b\x0c":
+                words += [part] if part else []
+                part = b""
+            else:
+                part += bytes([b])
+        words += [part] if part else []
+        n = len(words)
+        if not n:
+            return [0.0] * len(rule_ensemble.STATS)
+        raw = text.encode()
+        of = lambda signs: sum(b in signs for b in raw)
+        size = sum(len(w) for w in words)
+        high = sum(b >= 128 for b in raw)
+        upper, lower = (sum(a <= b <= z for b in raw) for a, z in ((65, 90), (97, 122)))
+        lines = [line for line in raw.split(b"\n") if any(c not in b" \t\n\r\x0b\x0c" for c in line)]
+        counts = [sum(1 for w in line.split()) for line in lines]
+        windows = [tuple(words[k : k + 3]) for k in range(n - 2)]
+        return [
+            np.log1p(n), size / n, upper / max(1, upper + lower + high), of(b"0123456789") / size, of(b"#*$%&<>{}[]\\^~_=") / size, of(b"|") / n, of(b"!") / n, of(b".,") / n, high / size, len(lines) / n,
+            1 - len(set(lines)) / len(lines), len(set(words)) / n, 1 - len(set(windows)) / len(windows) if windows else 0.0, n / len(lines), sum(c < 4 for c in counts) / len(lines), max(words.count(w) for w in words) / n, max(map(len, words)),
+        ]
+
+    for r in rule_ensemble.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert [r[c] for c in rule_ensemble.STATS] == pytest.approx(plain(texts[r.doc_id])), texts[r.doc_id]
+
+
+def test_likelihoods_match_plain_loops():
+    """Summed log chances of trigrams, one at a time."""
+    rng = random.Random(14)
+    seen = np.array([[rng.randrange(5) for _ in range(language.BUCKETS)] for _ in range(3)])
+    profile = language.Profile(["a", "b", "c"], seen)
+    texts = [b"", b"x", "Ünd 12 gut!".encode(), b"  ", b"The quick, brown FOX"] + [bytes(rng.choice(b"ab Z9\xc3\xa9.") for _ in range(rng.randrange(60))) for _ in range(40)]
+    got, letters = language.likelihoods(texts, profile.table)
+    for k, text in enumerate(texts):
+        folded = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b"  " + text + b"  "]
+        want, gap = np.zeros(4), ((32 << 16 | 32 << 8 | 32) * 2654435761 % (1 << 32)) >> 18
+        for x, y, z in zip(folded, folded[1:], folded[2:]):
+            bucket = ((x << 16 | y << 8 | z) * 2654435761 % (1 << 32)) >> 18
+            if bucket != gap:
+                want[:3] += [np.log(0.9 * (s[bucket] + 1 / language.BUCKETS) / (s.sum() + 1) + 0.1 / language.BUCKETS) for s in seen]
+                want[3] -= np.log(language.BUCKETS)
+        assert got[k] == pytest.approx(want) and letters[k] == sum(chr(c).isascii() and chr(c).isalpha() or c >= 128 for c in text)
+
+
+def test_languages_of_equal_chance_and_repeated_rows(spark):
+    profile = language.Profile(["bb", "aa"], np.ones((2, language.BUCKETS), np.int64))
+    rows = [(1, "same words", "s")] * 3 + [(None, "same words", "s")]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, source string"), profile).collect()
+    assert len(got) == 4 and {r.lang for r in got} == {"bb"}  # the first of the profile, whose order is the labels' by name
+
+
+def test_long_and_odd_conversations(spark):
+    rows = [(1, None, "user", "a"), (1, 0, "assistant", "b"), (2, 0, "user", "x" * 2_000_000 + "<|end|>"), (2, 1, "assistant", "\\" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("valid", F.lit("clash")).withColumn("turns", F.lit(2))
+    got = {r.conv_id: r for r in chat.digest(df).collect()}
+    assert got[1].n_turns == 2 and got[1].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()  # a null turn comes first
+    assert got[2].loss_chars == 300_000 and got[2].loss_sha256 == hashlib.sha256(b"\\" * 300_000).hexdigest()
+
+
+def test_long_text_holds_items(spark):
+    words = " ".join(f"w{k % 977}" for k in range(400_000))
+    item = " ".join(f"i{k}" for k in range(25))
+    df = spark.createDataFrame([(1, f"{words} {item} {words}"), (2, words)], "doc_id long, text string")
+    got = decontaminate.contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.start_word, r.end_word) for r in got] == [(1, 7, 1.0, 400_000, 400_025)]
