@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .plans.output import conflicts, targets, without_present
 from .queries import _FILES, _files, _subtitles, _t, query
 from .sources.files import depth_under
 from .sources.registry import Source, run_sources
+from .streaming.watch import relevant, shared_folder, watch
 
 # A page for each part; every part of it is known to SQL by construction.
 
@@ -353,3 +356,27 @@ def translated_lists(spark, sf_dir):
     told = lambda text: ("deu" if text.startswith("de") else "eng", 1.0)
     out = translate_movies(_t(spark, sf_dir, "part").select("p_partkey", record.alias("movie")), ["genre", "actor.name", "actor.role"], "de", lambda texts: [t.upper() for t in texts], told)
     return out.select("p_partkey", F.array_join("movie.genre", "|").alias("genre"), F.array_join(F.transform("movie.actor", lambda a: F.concat(a["name"], F.lit(":"), a["role"])), "|").alias("actor"), "changed")
+
+
+# The watched directory
+
+_T0 = "c_custkey * 1000000"
+
+
+@query(
+    f"""SELECT '/in/d/c' || c_custkey || '.mkv' AS path, status, CASE WHEN status = 'removed' THEN 0 ELSE c_custkey END AS length, {_T0} + d AS at_ms
+    FROM customer, (VALUES ('pending', 0), ('ready', 0), ('retry', 2000), ('ready', 7000), ('removed', 21000)) v(status, d)"""
+)
+def watch_retries(spark, sf_dir):
+    """Files that are there at the start are ready at once; one that fails waits, is ready again, and is done until it goes."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    where = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_t(spark, sf_dir, "customer").schema).parquet(f"{sf_dir}/custome[r].parquet")  # a pattern, as a stream of a lone file is refused
+    moments = (("startup", 0), ("modify", 1000), ("failed", 2000), ("access", 3000), ("modify", 4000), ("modify", 9000), ("done", 9500), ("modify", 20000), ("remove", 21000))
+    event = lambda path, kind, at: F.struct(path.alias("path"), F.lit(kind).alias("kind"), F.col("c_custkey").alias("length"), (F.col("c_custkey") * 1000000 + at).alias("at_ms"))
+    path = lambda before, after: F.concat(F.lit(before), F.col("c_custkey").cast("string"), F.lit(after))
+    elsewhere = [event(path(*p), "create", 0) for p in (("/in/d/c", ".txt"), ("/other/c", ".mkv"), ("/in/d/e/c", ".mkv"))]
+    rows = stream.select(F.explode(F.array(*[event(path("/in/d/c", ".mkv"), k, at) for k, at in moments], *elsewhere)).alias("e")).select("e.*")
+    done = watch(relevant(rows, "/in", 1), tick_by_events=True).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema("path string, status string, length long, at_ms long").parquet(f"{where}/out")
