@@ -94,7 +94,7 @@ def match_subtitles(groups: DataFrame, files: DataFrame, path_col: str = "path")
     whole = groups.select("group_id", split.alias("split"), F.lit(0).alias("rank"), F.lit(1).alias("level"), parent_dir(F.col("group_id")).alias("dir"), F.col("input_stem").alias("stem"), F.lit("").alias("part_base"))
     sides = part.unionByName(whole).withColumn("words", variants(F.col("stem")))
     fits = F.when(F.col("level") == 0, ~F.col("split") | F.col("marked")).otherwise(~F.col("marked"))
-    keys = lambda df, name, video: df.withColumn("key", F.explode(_meeting(F.col(name), F.col("words" if video else "sub_words"), video)))
+    keys = lambda df, name, video: df.withColumn("key", F.explode_outer(_meeting(F.col(name), F.col("words" if video else "sub_words"), video)))
     met = keys(sides, "stem", True).join(keys(subs, "sub_stem", False), ["dir", "key"]).where(fits).withColumn("suffix", F.when(F.col("stem") == F.col("sub_stem"), "").otherwise(suffix_of(F.col("words"), F.col("sub_words")))).where("suffix is not null")
     # A pair that meets by several keys counts once, too.
     first = Window.partitionBy("group_id", "path").orderBy("level", "rank")

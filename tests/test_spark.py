@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry import config as conf
-from pagequarry.errors import ConfigError, MappingError, NotEnabled, PlanError, RuleError, SourceError, TemplateError, TranslationError, UnknownFieldError, UrlRuleError
+from pagequarry.errors import ConfigError, MappingError, NotEnabled, PlanError, RequestRefused, RuleError, SourceError, TemplateError, TranslationError, UnknownFieldError, UrlRuleError
 from pagequarry.functions import json as js
 from pagequarry.functions.languages import language_code
 from pagequarry.functions.text import file_extension, file_stem, format_input_name, key, parent_dir, sanitize_component, trim_u, union_list, union_list_agg, user_template
@@ -288,7 +288,7 @@ def test_sources(spark):
     assert Request.of({"headers": {"a": "b"}, "version": "h2"}) == Request((("a", "b"),), "2") and Request.of({"a": "b"}).headers == (("a", "b"),)
     with pytest.raises(SourceError):
         Request.of({"version": "9"})
-    with pytest.raises(NotEnabled):
+    with pytest.raises(RequestRefused):
         fetch("https://a/", [])
     assert M.unknown_aliases(spark.createDataFrame([("x", 0), ("b", 1), ("x", 2)], "alias string, ord int"), listed).collect() == [("x", 0)]
 
