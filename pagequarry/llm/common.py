@@ -102,9 +102,9 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str | T.StructType) -> DataFrame:
     """mapInArrow where f gives the new columns of each batch as lists or arrays."""
-    fields = T.DataType.fromDDL(schema)
+    fields = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, licenses, pii, quality_rules, rule_ensemble, secrets, simhash
+from . import align, bpe, chat, decontaminate, language, licenses, line_dedup, negatives, pii, quality_rules, rule_ensemble, secrets, simhash
 from .common import read
 
 
@@ -69,6 +69,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(turns.unionByName(own))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +101,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_alignment": op12_alignment,
+    "op13_line_dedup": op13_line_dedup,
     "pipeline": pipeline,
 }
 
@@ -165,8 +183,33 @@ c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, valid FROM c"""
 
 
+def _negatives_sql() -> str:
+    low, high = negatives.BAND
+    order = "ORDER BY score DESC, vec_id"
+    return f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, x.vec_id, x.label, list_inner_product(a.q, x.q)::BIGINT AS score FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id {order}) <= {negatives.POSITIVES}),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id {order}) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
+
+
+def _lines_sql() -> str:
+    blank = " || ".join(f"chr({ord(c)})" for c in line_dedup.BLANK)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT r, doc_id, i, ls[i] AS l, {_LOW.format(f"trim(ls[i], {blank})")} AS key FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+t AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+g AS (SELECT r, k.doc_id, i, l, t.key IS NOT NULL AND k.doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN t USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r, doc_id"""
+
+
 ORACLE_SQL = {
     "op2_quality_rules": _quality_sql(),
     "op7_licenses": _licence_sql(),
     "op10_chat": _chat_sql(),
+    "op11_hard_negatives": _negatives_sql(),
+    "op13_line_dedup": _lines_sql(),
 }
