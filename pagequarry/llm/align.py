@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, bounded, id_type, keyed, materialize, texts_of
 
-BLOCK_BYTES = 8_000_000  # of texts whose words are tokenised once
+BLOCK_BYTES = 2_000_000  # of texts whose words are tokenised once; a task's JVM holds some fifty times as much
 PART_CHARS = 50_000  # given to a tokenizer at once
 
 # Fixed: the split pattern of byte-level pre-tokenizers.
@@ -177,12 +177,13 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            ids += batch.column("doc_id").to_pylist()
-            texts += texts_of(batch.column("text"))
-            size += batch.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield made(ids, texts)
-                ids, texts, size = [], [], 0
+            for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
+                if ids and size + len(text) > BLOCK_BYTES:
+                    yield made(ids, texts)
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
         if ids:
             yield made(ids, texts)
 
