@@ -6,6 +6,12 @@ texts are cut and normalised in the same way, so one that the cut parts is known
 the sequence of its pieces.
 Ordered rules, longer ones first, then match runs of identifiers and use them up,
 so a licence that contains another's sentences is not reported as both.
+
+Before that, signs of comments go from the starts of lines, and sentences that begin
+licence texts are parted from what stands before them, such as a line of copyright. A
+clause that names an organisation is read as the known one. Phrases inside other sentences
+("is licensed under the MIT License - see ..."), fields that name a licence
+(license: MIT) and addresses of licences follow as identifiers that name it.
 """
 
 from __future__ import annotations
@@ -91,6 +97,7 @@ FOUNDATION = {
     "lgpl2": ("LGPL-2.0-or-later", ("library",), "Library General", "2"),
     "agpl": ("AGPL-3.0-or-later", ("program",), "Affero General", "3"),
 }
+ONLY = ("gpl", "gpl2", "lgpl21")  # notices of one version alone
 # Identifiers that tags name, besides those of NAMES.
 TAGGED = (
     "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later",
@@ -117,6 +124,15 @@ WORDINGS = {
         )
         for key, (_, _, name, n) in FOUNDATION.items()
     },
+    **{
+        f"{key}-only{part}": tuple(
+            f"{head}you can redistribute it and/or modify it under the terms of the GNU {name} Public License {tail}"
+            for head in heads
+            for tail in (f"version {n} as published by the Free Software Foundation.", *(f"as published by the Free Software Foundation{b} version {n} of the License." for b in ";,"))
+        )
+        for key in ONLY for _, subjects, name, n in [FOUNDATION[key]]
+        for part, heads in (("", [f"This {x} is free software{a} " for x in subjects for a in ";,"]), ("-rest", [""]))
+    },
 }
 SENTENCES["apache-copy-warranty"] = f"{SENTENCES['apache-copy']} {SENTENCES['apache-warranty']}"
 # Sequences of identifiers, tried in this order; each match is used up.
@@ -126,12 +142,14 @@ SEQUENCES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant",)),
+    ("MIT", ("mit-notice", "mit-warranty")),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("apache-grant", "apache-terms", "apache-copy", "apache-warranty", "apache-limits")),
     ("Apache-2.0", ("apache-grant", "apache-terms", "apache-copy-warranty", "apache-limits")),
     ("Apache-2.0", ("apache-grant", "apache-terms")),
     ("Apache-2.0", ("apache-grant",)),
     *((spdx, (f"{key}-{part}",)) for part in ("free", "rest") for key, (spdx, *_) in FOUNDATION.items()),
+    *((FOUNDATION[key][0].replace("or-later", "only"), (f"{key}-only{part}",)) for part in ("", "-rest") for key in ONLY),
     ("MPL-2.0", ("mpl-terms",)),
     ("EPL-2.0", ("epl-terms",)),
     ("EPL-2.0", ("epl-short",)),
@@ -154,6 +172,21 @@ SEQUENCES = (
 ANCHORS = r"licen[sc]|permi|redistribut|warranty|2[.]0|(?:released|distributed|published|available)[^a-z0-9.]+under|public[^a-z0-9.]+domain|free[^a-z0-9.]+software"
 TAG = r"spdx-license-identifier[: \t]+([a-z0-9.+() \t-]+)"  # an expression of identifiers, in lower case
 TAG_NAME = "[a-z0-9.+-]+"
+FIELD = r"""(?:\blicen[sc]e["']?\s*[:=]\s*["']?|(?:opensource|spdx)\.org/licenses?/)([a-z0-9.+-]+)"""  # one name
+FIELD_END = r"(?:\.(?:html|php|txt))?\.*$"
+COMMENT = r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|!+|<!--|dnl\b|rem\b)[ \t]*"
+# How sentences of licence texts begin.
+STARTS = (
+    "permission is hereby granted", "permission to use", "permission is granted to anyone", "redistribution and use in source", "redistributions of source code",
+    "redistributions in binary form", "neither the name", "this program is free software", "this library is free software", "the software is provided",
+    "the above copyright notice and this permission notice shall", "this source code form is subject",
+)
+START = rf"\b({'|'.join(STARTS)})\b".replace(" ", r"\s+")
+# An organisation's dot ("Inc.") may cut the sentence before "nor".
+NAMED = "^(?:neither the names? of .+|nor the names? of .+ contributors) may be used to endorse or promote products derived from this software without specific prior written permission$"
+_GNU = {"GPL-2.0": ("general", "gpl", "2"), "GPL-3.0": ("general", "gpl", "3"), "LGPL-2.1": ("lesser general", "lgpl", "2.1"), "LGPL-3.0": ("lesser general", "lgpl", "3"), "AGPL-3.0": ("affero general", "agpl", "3")}
+_LATER = ("or later", "or any later", "or at your option any later")
+_ARTICLE = r"^(?:the|an?) "
 BREAK = r"[.!?;:]+(?:\s+|\z)|\n\s*\n"
 
 
@@ -181,6 +214,10 @@ def known_sentences() -> dict[str, str]:
     for spdx, run in _notices():
         for k, x in enumerate(run):
             known.setdefault(x, spdx if len(run) == 1 else f"{spdx}-{k + 1}")
+    for spdx, names in NAMES.items():
+        for run in (pieces(x) for x in names if "licen" in x):
+            if len(run) == 1:
+                known.setdefault(run[0], spdx)
     for key in dict.fromkeys((*SENTENCES, *WORDINGS)):
         count = 0
         for run in _wordings(key):
@@ -191,6 +228,26 @@ def known_sentences() -> dict[str, str]:
     return known
 
 
+def phrase_names() -> dict[str, str]:
+    """Names of licences inside sentences, without articles, to identifiers."""
+    out = {re.sub(_ARTICLE, "", x).replace("v. ", "v "): spdx for spdx, names in NAMES.items() for x in names}
+    out |= {"apache license v2.0": "Apache-2.0", "apache license v2": "Apache-2.0", "apache license version 2": "Apache-2.0", "mozilla public license v2.0": "MPL-2.0"}
+    for spdx, (name, short, n) in _GNU.items():
+        for number in {n, f"{n}.0" if "." not in n else n}:
+            forms = [f"{x}{v}{number}" for x in (f"gnu {name} public license", f"gnu {short}", short) for v in (" v", " version ", " ", " v ")] + [f"{short}v{number}"]
+            for form in forms:
+                out[form] = spdx
+                out |= {f"{form} {more}": f"{spdx}-or-later" for more in _LATER}
+    return out
+
+
+def phrase() -> str:
+    """Pattern of a verb and a name; longer names first."""
+    gap = r"[^a-z0-9.+;!?]{1,4}"
+    names = "|".join(re.escape(x).replace(r"\ ", gap) for x in sorted(phrase_names(), key=lambda x: (-len(x), x)))
+    return rf"\b(?:licen[sc]ed|released|distributed|published|available|provided|covered)\s+(?:under|by)\s+(?:(?:the\s+)?terms\s+(?:and\s+conditions\s+)?of\s+)?(?:(?:the|an?)\s+)?({names})(?:[^a-z0-9+-]|-\s|\z)"
+
+
 def tagged_names() -> dict[str, str]:
     """Names in tags, in lower case, to identifiers; a plus stands for later versions."""
     named = {x.lower(): x for x in (*NAMES, *TAGGED)}
@@ -208,7 +265,12 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
 def _normal(sentences: Column) -> Column:
     """Runs of other characters become a space, dots before a space or the end go."""
     words = lambda s: F.trim(F.regexp_replace(F.concat(F.regexp_replace(s, "[^a-z0-9.]+", " "), F.lit(" ")), r"\.+ ", " "))
-    return F.transform(sentences, words)
+    return F.transform(sentences, lambda s: F.regexp_replace(words(s), NAMED, SENTENCES["bsd-names"]))
+
+
+def _prepared(text: Column) -> Column:
+    """Lower case, without signs of comments, cut before sentences that begin licence texts."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), COMMENT, "$1"), START, "\n\n$1")
 
 
 def _looked_up(names: Column, known: dict[str, str]) -> Column:
@@ -222,13 +284,17 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, then those that its tags name.
 
     Sentences may run over line ends; those of single lines, for notices after a line
-    without a full stop, follow if the longer reading did not find them.
+    without a full stop, follow if the longer reading did not find them. Last come
+    names in fields, addresses and phrases, if nothing before gave them.
     """
-    low = F.lower(text)
+    low = _prepared(text)
     both = F.transform(F.array(F.split(low, BREAK), F.split(low, BREAK + r"|\n")), lambda s: _looked_up(_normal(s), known_sentences()))
     whole, lines = F.get(both, F.lit(0)), F.get(both, F.lit(1))
     tags = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TAG), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(TAG_NAME), F.lit(0))))
     every = F.concat(whole, F.filter(lines, lambda x: ~F.array_contains(whole, x)), _looked_up(tags, tagged_names()))
+    fields = F.transform(F.regexp_extract_all(low, F.lit(FIELD), F.lit(1)), lambda x: F.regexp_replace(x, FIELD_END, ""))
+    named = F.concat(_looked_up(fields, tagged_names()), _looked_up(_normal(F.regexp_extract_all(low, F.lit(phrase()), F.lit(1))), phrase_names()))
+    every = F.get(F.transform(F.array(every), lambda e: F.concat(e, F.filter(named, lambda x: ~F.array_contains(e, x)))), F.lit(0))
     return F.when(F.rlike(low, F.lit(ANCHORS)), every).otherwise(F.array().cast("array<string>"))
 
 

@@ -139,19 +139,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _licence_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    known, tags = (", ".join(f"({q(a)}, {q(b)})" for a, b in x.items()) for x in (licenses.known_sentences(), licenses.tagged_names()))
+    known, tags, names = (", ".join(f"({q(a)}, {q(b)})" for a, b in x.items()) for x in (licenses.known_sentences(), licenses.tagged_names(), licenses.phrase_names()))
     rest, n = "'|' || ids || '|'", 0
     ctes = [f"r0 AS (SELECT r, doc_id, ids, {rest} AS rest, []::VARCHAR[] AS found FROM j)"]
     for n, (name, run) in enumerate(licenses.rules(), 1):
         run = q(f"|{'|'.join(run)}|")
         ctes.append(f"r{n} AS (SELECT r, doc_id, ids, replace(rest, {run}, '|') AS rest, CASE WHEN contains(rest, {run}) AND NOT list_contains(found, {q(name)}) THEN list_append(found, {q(name)}) ELSE found END AS found FROM r{n - 1})")
-    norm = "trim(regexp_replace(regexp_replace(x, '[^a-z0-9.]+', ' ', 'g') || ' ', '\\.+ ', ' ', 'g'))"
+    norm = f"regexp_replace(trim(regexp_replace(regexp_replace(x, '[^a-z0-9.]+', ' ', 'g') || ' ', '\\.+ ', ' ', 'g')), {q(licenses.NAMED)}, {q(licenses.SENTENCES['bsd-names'])})"
+    low = f"regexp_replace(regexp_replace(lower(replace(coalesce(text, ''), chr(1), ' ')), {q(licenses.COMMENT)}, '\\1', 'g'), {q(licenses.START)}, chr(10) || chr(10) || '\\1', 'g')"
     cut = lambda p: f"list_transform(string_split(regexp_replace(low, '{p}', chr(1), 'g'), chr(1)), lambda x: {norm})"
     wide, narrow = r"[.!?;:]+(?:\s+|\z)|\n\s*\n", r"[.!?;:]+(?:\s+|\z)|\n\s*\n|\n"
     return f"""
 WITH known(s, id) AS (VALUES {known}),
 tags(s, id) AS (VALUES {tags}),
-d AS (SELECT row_number() OVER () AS r, doc_id, lower(replace(coalesce(text, ''), chr(1), ' ')) AS low FROM documents),
+names(s, id) AS (VALUES {names}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
 c AS (SELECT r, {cut(wide)} AS a, {cut(narrow)} AS b FROM d),
 u AS (SELECT r, 1 AS part, i, a[i] AS s FROM (SELECT r, a, unnest(range(1, len(a) + 1)) AS i FROM c) UNION ALL SELECT r, 2, i, b[i] FROM (SELECT r, b, unnest(range(1, len(b) + 1)) AS i FROM c)),
 h AS (SELECT r, part, i, id FROM u JOIN known USING (s)),
@@ -159,7 +161,10 @@ e AS (SELECT r, es, unnest(range(1, len(es) + 1)) AS i FROM (SELECT r, regexp_ex
 n AS (SELECT r, i, ns, unnest(range(1, len(ns) + 1)) AS j FROM (SELECT r, i, regexp_extract_all(es[i], '{licenses.TAG_NAME}') AS ns FROM e)),
 k AS (SELECT * FROM h WHERE part = 1 OR NOT EXISTS (SELECT 1 FROM h g WHERE g.r = h.r AND g.part = 1 AND g.id = h.id)
   UNION ALL SELECT r, 3, i * 1000000 + j, id FROM (SELECT r, i, j, ns[j] AS s FROM n) JOIN tags USING (s)),
-j AS (SELECT d.r, doc_id, coalesce(string_agg(id, '|' ORDER BY part, i), '') AS ids FROM d LEFT JOIN k USING (r) GROUP BY d.r, doc_id),
+x AS (SELECT r, part, i, v[i] AS x FROM (SELECT r, part, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT r, 4 AS part, regexp_extract_all(low, {q(licenses.FIELD)}, 1) AS v FROM d UNION ALL SELECT r, 5, regexp_extract_all(low, {q(licenses.phrase())}, 1) FROM d))),
+y AS (SELECT r, part, i, id FROM x JOIN tags ON s = regexp_replace(x, {q(licenses.FIELD_END)}, '') WHERE part = 4 UNION ALL SELECT r, part, i, id FROM x JOIN names ON s = {norm} WHERE part = 5),
+z AS (SELECT * FROM k UNION ALL SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.r = y.r AND k.id = y.id)),
+j AS (SELECT d.r, doc_id, coalesce(string_agg(id, '|' ORDER BY part, i), '') AS ids FROM d LEFT JOIN z USING (r) GROUP BY d.r, doc_id),
 {", ".join(ctes)}
 SELECT doc_id, ids AS sentence_ids, array_to_string(found, '|') AS licenses, len(found) AS n_licenses FROM r{n}"""
 
