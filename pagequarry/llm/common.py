@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +121,18 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str
     return bounded(df).mapInArrow(run, schema)
 
 
+def apart(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span touches none of the given ones, by bisection, so that many of either cost no square."""
+    spans = sorted(spans)
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return not k or ends[k - 1] <= start
+
+    return free
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

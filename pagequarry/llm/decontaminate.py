@@ -51,12 +51,35 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
-# Lead bytes of characters that are written without spaces (U+3000 to U+9FFF), each a word.
-_LEAD = np.zeros(256, bool)
-_LEAD[0xE3:0xEA] = True
+# Ranges of code points that are written without spaces, where each character is a word.
+UNSPACED = (
+    (0x0E00, 0x0FFF),  # Thai, Lao, Tibetan
+    (0x1000, 0x109F),  # Myanmar
+    (0x1780, 0x17FF),  # Khmer
+    (0x1950, 0x19FF),  # Tai Le, New Tai Lue, Khmer symbols
+    (0x1A20, 0x1AAF),  # Tai Tham
+    (0x3000, 0x9FFF),  # kana, Han and their signs
+    (0xA000, 0xA4CF),  # Yi
+    (0xA980, 0xA9DF),  # Javanese
+    (0xAA00, 0xAA7F),  # Cham, Myanmar
+    (0xF900, 0xFAFF),  # Han
+    (0x10000, 0x10FFFF),  # Han and others of four bytes
+)
+# By the first two bytes of a character, which tell such ranges to 64 code points, whether each is a word.
+_FIRST = np.zeros(256, bool)
+_PAIR = np.zeros((256, 256), bool)
+for _a, _b in UNSPACED:
+    for _c in range(_a, _b + 1, 64):
+        _raw = chr(_c).encode()
+        _FIRST[_raw[0]] = _PAIR[_raw[0], _raw[1]] = True
 _CJK_PUNCTUATION = (0xE3, 0x80)
 
 
+def folded(raw: bytes) -> bytes:
+    """Lower case by code point; both small forms of sigma are one."""
+    return raw if raw.isascii() else raw.decode().lower().replace("ς", "σ").encode()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M1
     h = (h ^ (h >> np.uint64(27))) * _M2
@@ -81,16 +104,16 @@ _POWERS = _Powers()
 def _borders(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words start and end in a buffer."""
     word = _WORD[raw]
-    lead = _LEAD[raw]
-    if not lead.any():
+    at = np.flatnonzero(_FIRST[raw])
+    at = at[_PAIR[raw[at], raw[np.minimum(at + 1, len(raw) - 1)]]]
+    if not len(at):
         edge = np.diff(word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    at = np.flatnonzero(lead)
     signs = at[(raw[at] == _CJK_PUNCTUATION[0]) & (raw[np.minimum(at + 1, len(raw) - 1)] == _CJK_PUNCTUATION[1])]
     for k in range(3):
         word[np.minimum(signs + k, len(raw) - 1)] = False
     cut = np.zeros(len(raw) + 4, bool)
-    cut[at] = cut[at + 3] = True
+    cut[at] = cut[at + np.where(raw[at] < 0xF0, 3, 4)] = True
     before, after = np.append(False, word[:-1]), np.append(word[1:], False)
     return np.flatnonzero(word & (~before | cut[: len(raw)])), np.flatnonzero(word & (~after | cut[1 : len(raw) + 1])) + 1
 
@@ -104,8 +127,8 @@ def _hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(raws: list[bytes]) -> list[np.ndarray]:
-    """The hash of each word of each text: words are runs of letters and digits, in lower case for
-    ASCII; in scripts without spaces each character is one."""
+    """The hash of each word of each text. Words are runs of ASCII letters, digits and all characters beyond
+    ASCII, in lower case; of the ranges UNSPACED each character is a word by itself, but for CJK signs."""
     out: list[np.ndarray] = []
     held: list[bytes] = []
     size = 0
@@ -119,7 +142,7 @@ def hashes(raws: list[bytes]) -> list[np.ndarray]:
             held.clear()
             size = 0
 
-    for raw in raws:
+    for raw in map(folded, raws):
         if len(raw) > SLICE:
             flush()
             parts, at = [], 0

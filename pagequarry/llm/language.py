@@ -192,14 +192,16 @@ def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as rows of evidence: text without markup, host of the address, declared language."""
+    """Pages as rows of evidence: text without markup, host of the address, declared language.
+
+    What is opened and never closed goes up to the end, so each part of a page is read once."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>|&#?[a-z0-9]+;", " ")
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*(?:>.*?(?:</\1[^>]*(?:>|\z)|\z)|\z)|<(?=[a-z/!?])[^>]*(?:>|\z)|&#?[a-z0-9]+;", " ")
     return pages.select(F.col(id_col).cast("string").alias("key"), text.alias("text"), F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST")).alias("host"), _markup(html).alias("markup"))
 
 
 def _markup(html: Column) -> Column:
-    found = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1)
+    found = F.regexp_extract(html, r"""(?i)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1)
     return F.when(F.substring(F.ltrim(html), 1, 1) == "<", F.lower(found)).otherwise(F.lit(""))
 
 

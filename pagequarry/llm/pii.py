@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_type, keyed, map_batches, texts_of
+from .common import apart, bounded, id_type, keyed, map_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -417,8 +417,6 @@ def stretches(text: str) -> list[tuple[int, int]]:
         end = m.end()
         while d := _DOTS.search(text, end + 1, end + 1 + FAR):  # all of its dots belong to the address
             end = d.end()
-            if d.end() - m.start() > 4 * FAR:
-                break
         marks.append((m.start(), end))
     out: list[tuple[int, int]] = []
     for a, b in sorted(marks):
@@ -513,9 +511,9 @@ def needs(kind: str, found: str) -> bool:
 
 def added_spans(tagger: Tagger, text: str, found: list[tuple[str, int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Of the decoded spans those that touch no base span, hold what they need, and are likely enough."""
-    out = []
+    out, free = [], apart(taken)
     for kind, s, e in found:
-        if not all(e <= a or b <= s for a, b in taken) or not needs(kind, text[s:e]):
+        if not free(s, e) or not needs(kind, text[s:e]):
             continue
         begin = max(0, s - WINDOW)
         part = _codes(text[begin : e + WINDOW])

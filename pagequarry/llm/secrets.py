@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_type, keyed, map_batches, texts_of
+from .common import apart, bounded, id_type, keyed, map_batches, texts_of
 
 KINDS = ("assign", "access", "hex")
 NOVEL = "novel"
@@ -144,7 +144,8 @@ def novel_spans(text: str, learnt: tuple[str, ...] = ()) -> list[tuple[str, int,
 def all_spans(text: str, learnt: tuple[str, ...] = ()) -> tuple[list, list]:
     """The base spans, and these with the novel ones that touch none of them."""
     base = base_spans(text)
-    added = [x for x in novel_spans(text, learnt) if all(x[2] <= s or e <= x[1] for _, s, e in base)]
+    free = apart([(s, e) for _, s, e in base])
+    added = [x for x in novel_spans(text, learnt) if free(*x[1:])]
     return base, sorted(base + added, key=_order) if added else base
 
 
