@@ -18,9 +18,10 @@ from ..select.xpath import XPath, find_xpath, parse_xpath
 
 NODE = (
     "struct<node_id:int,parent_id:int,sibling_ord:int,pre:int,post:int,depth:int,kind:string,name:string,ns:string,"
-    "attrs:array<struct<name:string,ns:string,value:string>>,text:string,target:string,public_id:string,system_id:string>"
+    "attrs:array<struct<name:string,ns:string,value:string>>,text:string,target:string,public_id:string,system_id:string,"
+    "element_ord:int,text_from:int,text_to:int>"
 )
-PARSED = f"struct<nodes:array<{NODE}>,errors:array<string>,quirks:string>"
+PARSED = f"struct<nodes:array<{NODE}>,errors:array<string>,quirks:string,text:string>"
 
 
 @dataclass(frozen=True)
@@ -158,17 +159,21 @@ def css_text(query: Column) -> Column:
 
 
 def node_rows(tree: Tree) -> list[dict]:
-    """Rows of the nodes that the document holds, in document order; pre and post number them for ranges."""
+    """Rows of the nodes that the document holds, in document order; pre and post number them for ranges,
+    element_ord counts the elements among siblings, and text_from and text_to are what of the running text lies below."""
     out: list[dict] = []
     at: dict[int, int] = {}
     stack: list[tuple[int, int, int, bool]] = [(0, 0, 0, False)]
-    post = 0
+    post = chars = 0
+    elements: dict[int | None, int] = {}
     while stack:
         node, order, depth, done = stack.pop()
         if done:
-            out[at[node]]["post"] = post
+            out[at[node]].update(post=post, text_to=chars)
             post += 1
             continue
+        if tree.kind[node] == "element":
+            elements[tree.parent[node]] = elements.get(tree.parent[node], -1) + 1
         kind, ids = tree.kind[node], tree.ids[node] or (None, None)
         at[node] = len(out)
         out.append(
@@ -177,8 +182,11 @@ def node_rows(tree: Tree) -> list[dict]:
                 "name": None if kind == "processing_instruction" else tree.name[node], "ns": tree.ns[node],
                 "attrs": [{"name": n, "ns": ns, "value": v} for n, ns, v in tree.attrs[node]], "text": tree.text[node],
                 "target": tree.name[node] if kind == "processing_instruction" else None, "public_id": ids[0], "system_id": ids[1],
+                "element_ord": elements[tree.parent[node]] if kind == "element" else None, "text_from": chars, "text_to": chars,
             }
         )
+        if kind == "text":
+            chars += len(tree.text[node])
         stack.append((node, order, depth, True))
         own = tree.children[node]
         stack += [(own[k], k, depth + 1, False) for k in range(len(own) - 1, -1, -1)]
@@ -186,18 +194,23 @@ def node_rows(tree: Tree) -> list[dict]:
 
 
 def html_parse(html: Column, checked: bool = False) -> Column:
-    """struct(nodes, errors, quirks) of each document; null for null. checked raises if there are errors."""
+    """struct(nodes, errors, quirks, text) of each document; null for null. text is all its text nodes in order. checked raises if there are errors."""
     arrow = _arrow(PARSED)
 
     @F.arrow_udf(PARSED)
     def run(pages: pa.Array) -> pa.Array:
         read = parse_checked if checked else parse
         trees = [None if p is None else read(p) for p in pages.to_pylist()]
-        return pa.array([None if t is None else {"nodes": node_rows(t), "errors": t.errors, "quirks": t.quirks} for t in trees], arrow)
+        return pa.array([None if t is None else _parsed(t) for t in trees], arrow)
 
     return run(html)
 
 
+def _parsed(tree: Tree) -> dict:
+    nodes = node_rows(tree)
+    return {"nodes": nodes, "errors": tree.errors, "quirks": tree.quirks, "text": "".join(n["text"] for n in nodes if n["kind"] == "text")}
+
+
 def _arrow(ddl: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -23,13 +23,13 @@ SPACE = "[ \t\n\f\r]+"
 
 
 def attr(name: str, attrs: Column | str = "attrs") -> Column:
-    """The first attribute of a name, null without one."""
+    """The first attribute of a name in any ASCII case, null without one."""
     attrs = F.col(attrs) if isinstance(attrs, str) else attrs
-    return F.get(F.filter(attrs, lambda a: a["name"] == name.lower()), F.lit(0))["value"]
+    return F.get(F.filter(attrs, lambda a: ascii_lower(a["name"]) == ascii_lower(F.lit(name))), F.lit(0))["value"]
 
 
 def has_attr(name: str) -> Column:
-    return F.exists("attrs", lambda a: a["name"] == name.lower())
+    return F.exists("attrs", lambda a: ascii_lower(a["name"]) == ascii_lower(F.lit(name)))
 
 
 def attrs_map() -> Column:
@@ -93,9 +93,10 @@ def by_class(nodes: DataFrame, name: str, doc: str = "page_id") -> DataFrame:
     return nodes.where("kind = 'element'").withColumn("c", F.explode(classes())).where(F.col("c") == name).drop("c")
 
 
-def by_id(nodes: DataFrame, value: str, doc: str = "page_id") -> DataFrame:
-    """The first created element of a non-empty id in each document."""
-    own = nodes.where((F.col("kind") == "element") & (attr("id") == value) & F.lit(value != ""))
+def by_id(nodes: DataFrame, value: str | Column, doc: str = "page_id") -> DataFrame:
+    """The first created element of a non-empty id in each document; the id may be a column's value."""
+    value = F.lit(value) if isinstance(value, str) else value
+    own = nodes.where((F.col("kind") == "element") & (attr("id") == value) & (value != ""))
     return own.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("node_id"))).where("n = 1").drop("n")
 
 
@@ -120,8 +121,8 @@ def with_ends(nodes: DataFrame, doc: str = "page_id") -> DataFrame:
 _COLUMNS = ("node_id", "parent_id", "pre", "post", "sibling_ord")
 
 
-def _pairs(above: DataFrame, below: DataFrame, doc: str, with_self: bool, first: bool = False) -> DataFrame:
-    """doc, up and down: ids of each node of below with those of above that it lies in; first: with the nearest only.
+def _pairs(above: DataFrame, below: DataFrame, doc: str, with_self: bool) -> DataFrame:
+    """doc, up and down: ids of each node of below with those of above that it lies in.
 
     Both are sorted by document and place together; a document is read in one task, and only
     the nodes of above that are open at a place are held.
@@ -146,8 +147,7 @@ def _pairs(above: DataFrame, below: DataFrame, doc: str, with_self: bool, first:
                 if not below_:
                     open_.append((pre, post, node))
                     continue
-                fits = [n for p, _, n in (open_[:-3:-1] if first else open_) if with_self or p < pre]
-                for n in fits[:1] if first else fits:
+                for n in [n for p, _, n in open_ if with_self or p < pre]:
                     docs.append(d)
                     up.append(n)
                     down.append(node)
@@ -185,22 +185,21 @@ def axis(nodes: DataFrame, context: DataFrame, name: str, doc: str = "page_id")
     return met.select(F.col("c_node_id").alias("context_id"), *nodes.columns)
 
 
-def on_axis(nodes: DataFrame, context: DataFrame, name: str, doc: str = "page_id") -> DataFrame:
-    """Nodes that are child, descendant or following-sibling of any context node, each once: no pairs are made."""
-    if name == "child":
-        return nodes.join(context.select(doc, F.col("node_id").alias("parent_id")).distinct(), [doc, "parent_id"], "left_semi").select(*nodes.columns)
-    if name == "descendant":
-        found = _pairs(context, nodes, doc, False, first=True).select(doc, F.col("down").alias("node_id"))
-        return nodes.join(found, [doc, "node_id"], "left_semi").select(*nodes.columns)
-    first = context.groupBy(doc, "parent_id").agg(F.min("sibling_ord").alias("from"))
-    return nodes.join(first, [doc, "parent_id"]).where("sibling_ord > `from`").select(*nodes.columns)
+def text_content(nodes: DataFrame, context: DataFrame, doc: str = "page_id", texts: DataFrame | None = None) -> DataFrame:
+    """Text of the subtree of each context node: doc, node_id, text_content.
 
-
-def text_content(nodes: DataFrame, context: DataFrame, doc: str = "page_id") -> DataFrame:
-    """Text of the subtree of each context node: doc, node_id, text_content."""
-    texts = axis(nodes.where("kind = 'text'"), context, "descendant-or-self", doc)
-    joined = texts.groupBy(doc, F.col("context_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("text_content"))
-    return context.select(doc, "node_id").join(joined, [doc, "node_id"], "left").withColumn("text_content", F.coalesce("text_content", F.lit("")))
+    texts: doc and running text of each document, as a NodeStore keeps it, else it is put
+    together from the text nodes. A node's text is its range of that, so nested contexts
+    cost what they tell and no pairs of nodes are made.
+    """
+    if texts is None:
+        own = nodes.where("kind = 'text'").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("t"))
+        texts = own.select(doc, F.array_join(F.transform("t", lambda x: x["text"]), "").alias("running"))
+    else:
+        texts = texts.select(doc, F.col("text").alias("running"))
+    met = context.select(doc, "node_id", "text_from", "text_to").join(texts, doc, "left")
+    part = F.substring("running", F.col("text_from") + 1, F.col("text_to") - F.col("text_from"))
+    return met.select(doc, "node_id", F.coalesce(part, F.lit("")).alias("text_content"))
 
 
 def _test(t: tuple) -> Column:
@@ -228,26 +227,53 @@ def _test(t: tuple) -> Column:
     raise UnsupportedXPath("predicate", f"{t} has no relational form")
 
 
+def twig(nodes: DataFrame, query: str | Selector, doc: str = "page_id") -> DataFrame:
+    """doc and node_id of the elements that a selector matches: all its steps in one ordered pass over each document.
+
+    Tests of steps are column expressions; of the nodes that pass one, only places and a mask
+    of the steps go to the pass, dealt by document. It holds the open nodes of a document
+    and what stood before among siblings, each with the mask of the steps that end there, so
+    no pairs of nodes are made and every node is seen once, whatever the number of steps.
+    """
+    selector = parse_css(query) if isinstance(query, str) else query
+    steps = [(k > 0 and c.combinator, k + 1 == len(alternative), c) for alternative in selector.alternatives for k, c in enumerate(alternative)]
+    if len(steps) > 62:
+        raise UnsupportedXPath("selector", f"{len(steps)} steps in one selector")
+    tests = [reduce(Column.__and__, [F.coalesce(_test(t), F.lit(False)) for t in c.tests]) for *_, c in steps]
+    mask = reduce(Column.__add__, [F.when(t, F.lit(1 << k)).otherwise(0) for k, t in enumerate(tests)]).cast("long")
+    own = nodes.where("kind = 'element'").select(doc, "node_id", "parent_id", "pre", "post", "element_ord", mask.alias("mask")).where("mask > 0")
+    how, last = [h for h, *_ in steps], sum(1 << k for k, (_, end, _) in enumerate(steps) if end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, open_, before, beside = None, [], {}, {}
+        for batch in batches:
+            docs, ids = [], []
+            for d, node, parent, _, post, place, tested in zip(*(c.to_pylist() for c in batch.columns)):
+                if d != here:
+                    here, open_, before, beside = d, [], {}, {}  # open: post, id, ends here, ends here or above
+                while open_ and open_[-1][0] < post:
+                    open_.pop()
+                top = open_[-1] if open_ else (0, None, 0, 0)
+                above, over = top[3], top[2] if top[1] == parent else 0
+                earlier, (at, next_) = before.get(parent, 0), beside.get(parent, (None, 0))
+                ends = 0
+                for k in range(tested.bit_length()):
+                    if tested >> k & 1:
+                        h, bit = how[k], 1 << k >> 1
+                        if not h or (h == " " and above & bit) or (h == ">" and over & bit) or (h == "~" and earlier & bit) or (h == "+" and at == place - 1 and next_ & bit):
+                            ends |= 1 << k
+                if ends:
+                    open_.append((post, node, ends, above | ends))
+                    before[parent], beside[parent] = earlier | ends, (place, ends)
+                    if ends & last:
+                        docs.append(d)
+                        ids.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(ids, pa.int32())], [doc, "node_id"])
+
+    return own.repartition(F.col(doc)).sortWithinPartitions(doc, "pre").mapInArrow(run, T.StructType([T.StructField(doc, nodes.schema[doc].dataType), T.StructField("node_id", T.IntegerType())]))
+
+
 def select(nodes: DataFrame, query: str | Selector, doc: str = "page_id") -> DataFrame:
     """Elements that a selector of types, ids, classes, attributes and combinators matches, for documents
-    that are not in quirks mode. Each combinator is one join."""
-    selector = parse_css(query) if isinstance(query, str) else query
-    elements = nodes.where("kind = 'element'")
-    rank = Window.partitionBy(doc, "parent_id").orderBy("sibling_ord")
-    found = []
-    for compounds in selector.alternatives:
-        have = None
-        for c in compounds:
-            own = elements.where(reduce(Column.__and__, [F.coalesce(_test(t), F.lit(False)) for t in c.tests]))
-            if have is None:
-                have = own
-                continue
-            if c.combinator == "+":
-                ranked = elements.select(doc, "node_id", F.row_number().over(rank).alias("rank"))
-                left = have.join(ranked, [doc, "node_id"]).select(doc, "parent_id", (F.col("rank") + 1).alias("rank")).distinct()
-                have = own.join(ranked, [doc, "node_id"]).join(left, [doc, "parent_id", "rank"], "left_semi").select(*nodes.columns)
-            else:
-                name = {" ": "descendant", ">": "child", "~": "following-sibling"}[c.combinator]
-                have = on_axis(own, have, name, doc)
-        found.append(have)
-    return reduce(DataFrame.unionByName, found).dropDuplicates([doc, "node_id"]) if len(found) > 1 else found[0]
+    that are not in quirks mode: one pass for all steps (twig), and one join for the nodes' columns."""
+    return nodes.join(twig(nodes, query, doc), [doc, "node_id"], "left_semi").select(*nodes.columns)

@@ -12,6 +12,7 @@ from .functions.languages import language_prefix
 from .functions.text import format_input_name, sanitize_component, union_list_agg
 from .functions.urls import check_request, image_extension, is_trusted
 from .operators import nodes as N
+from .operators.node_store import store_nodes
 from .operators.extract import css, extract, html_nodes, xpath
 from .operators.images import name_images
 from .operators.mapping import Mapper, map_column, map_movies, rules_frame
@@ -143,16 +144,16 @@ def nodes_by_tag(spark, sf_dir):
     SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)"""
 )
 def axes_relational(spark, sf_dir):
-    nodes = html_nodes(_t(spark, sf_dir, "pages"), "page_id", "html")
-    navs = N.by_tag(nodes, "nav")
-    links = N.axis(N.by_tag(nodes, "a"), navs, "descendant").groupBy("page_id").agg(F.count("*").alias("links"))
-    return links.join(N.text_content(nodes, navs).select("page_id", F.col("text_content").alias("nav_text")), "page_id")
+    store = store_nodes(_t(spark, sf_dir, "pages"), "page_id", "html")
+    navs = store.by_tag("nav")
+    links = N.axis(store.by_tag("a"), navs, "descendant").groupBy("page_id").agg(F.count("*").alias("links"))
+    return links.join(store.text_content(navs).select("page_id", F.col("text_content").alias("nav_text")), "page_id")
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<li><a href="')) AS n FROM pages""")
 def selector_relational(spark, sf_dir):
-    nodes = html_nodes(_t(spark, sf_dir, "pages"), "page_id", "html")
-    return N.select(nodes, "nav > ul li > a[href^='/']").groupBy("page_id").agg(F.count("*").alias("n"))
+    store = store_nodes(_t(spark, sf_dir, "pages"), "page_id", "html")
+    return N.twig(store.by_tag("nav", "ul", "li", "a"), "nav > ul li > a[href^='/']").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.urls import image_action
 from .operators import nodes as N
+from .operators.node_store import store_nodes
 from .operators.extract import css, css_error, css_text, extract, html_nodes, html_parse, xpath, xpath_error
 from .operators.images import name_images
 from .operators.mapping import Mapper, map_movies
@@ -123,12 +124,13 @@ def node_attributes(spark, sf_dir):
     f"""SELECT p_partkey, 'comment' AS before, 'p' AS after, 'v1' AS first_text, 'v' || {_N} AS last_text, 'div' AS parent, 2 * {_N} AS below, 'html' AS root, 'document' AS top FROM part"""
 )
 def node_neighbours(spark, sf_dir):
-    nodes = html_nodes(_cards(spark, sf_dir), "p_partkey", "html")
+    store = store_nodes(_cards(spark, sf_dir), "p_partkey", "html")
+    nodes = store.nodes
     ul = N.by_tag(nodes, "ul").select("p_partkey", F.col("node_id").alias("ul"))
     near = N.with_ends(N.with_siblings(nodes, "p_partkey"), "p_partkey")
     own = near.join(ul, (near["p_partkey"] == ul["p_partkey"]) & (near["node_id"] == ul["ul"]), "left_semi")
     named = lambda c, by, value: nodes.select("p_partkey", F.col("node_id").alias(by), value.alias(c))
-    told = N.text_content(nodes, N.by_tag(nodes, "li"), "p_partkey").select("p_partkey", "node_id", "text_content")
+    told = store.text_content(store.by_tag("li")).select("p_partkey", "node_id", "text_content")
     side = lambda by, c: told.select("p_partkey", F.col("node_id").alias(by), F.col("text_content").alias(c))
     below = N.axis(nodes, N.by_tag(nodes, "ul"), "descendant", "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("below"))
     root = N.root_element(nodes, "p_partkey").select("p_partkey", F.col("name").alias("root"))
@@ -142,7 +144,7 @@ def node_neighbours(spark, sf_dir):
 @query(f"SELECT p_partkey, {_N} + 4 AS ancestors, {_N} + 5 AS descendants, {_N} AS siblings, 2 AS texts FROM part")
 def node_axes(spark, sf_dir):
     """The axes as joins and ordered passes over the node table."""
-    nodes = html_nodes(_cards(spark, sf_dir), "p_partkey", "html")
+    nodes = store_nodes(_cards(spark, sf_dir), "p_partkey", "html").nodes
     n = lambda df, c: df.groupBy("p_partkey").agg(F.count("*").alias(c))
     elements, li = nodes.where("kind = 'element'"), N.by_tag(nodes, "li")
     up = N.axis(elements, li, "ancestor-or-self", "p_partkey").select("p_partkey", "node_id").distinct()  # li, ul, div, body, html
@@ -154,9 +156,10 @@ def node_axes(spark, sf_dir):
 @query("""SELECT p_partkey, 'div' AS by_id, CASE WHEN p_type = 'PROMO' THEN 2 ELSE 1 END AS mentions, 2 AS paragraphs FROM part""")
 def node_indexes(spark, sf_dir):
     cards = _cards(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<br>"), F.lit('<i class="PROMO"></i><b id=""></b>')))
-    nodes = html_nodes(cards, "p_partkey", "html")
-    first = nodes.where((F.col("kind") == "element") & (N.attr("id") == F.concat(F.lit("d"), F.col("p_partkey").cast("string")))).select("p_partkey", F.col("name").alias("by_id"))
-    mentions = N.by_class(nodes, "PROMO", "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("mentions"))
+    store = store_nodes(cards, "p_partkey", "html")
+    nodes = store.nodes
+    first = N.by_id(nodes, F.concat(F.lit("d"), F.col("p_partkey").cast("string")), "p_partkey").select("p_partkey", F.col("name").alias("by_id"))
+    mentions = store.by_class("PROMO").groupBy("p_partkey").agg(F.count("*").alias("mentions"))
     return first.join(mentions, "p_partkey").join(N.by_tag(nodes, "p").groupBy("p_partkey").agg(F.count("*").alias("paragraphs")), "p_partkey")
 
 
