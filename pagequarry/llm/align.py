@@ -68,13 +68,11 @@ class Pair:
     def __init__(self, path_a: str, path_b: str, quick: bool = True):
         from sentencepiece import SentencePieceProcessor
         from tiktoken import Encoding
-        from tokenizers import Tokenizer
 
         with open(path_a, encoding="utf-8") as f:
             told = json.load(f)
-        own, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
-        own.encode_special_tokens = True
-        byte_of, vocab = _byte_of(), own.get_vocab(with_added_tokens=True)
+        self.b = SentencePieceProcessor(model_file=path_b)
+        byte_of, vocab = _byte_of(), told["model"]["vocab"] | {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
@@ -89,8 +87,14 @@ class Pair:
         special = {t["content"] for t in told.get("added_tokens", [])}
         ranks = {self.bytes_a[i]: i for token, i in vocab.items() if token not in special}
         ordered = plain and all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
-        quickly = Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if quick and ordered else None
-        self.a = quickly or (lambda text: own.encode(text, add_special_tokens=False).ids)
+        if quick and ordered:
+            self.a = Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path_a)
+            own.encode_special_tokens = True
+            self.a = lambda text: own.encode(text, add_special_tokens=False).ids
 
     def words(self, text: str) -> list[str]:
         """Parts of text between single spaces, which with a space before them are encoded alike alone and together."""
@@ -109,32 +113,32 @@ class Pair:
 
     def dictionary(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and of B of the words one after the other, the byte offset where each word ends, and each word's place, -1 for those without tokens."""
-        place, a, b, sizes = np.full(len(words), -1), [], [], []
-
-        def add(at: list[int]) -> None:
-            found = self.encode(" ".join([words[k] for k in at]))
-            if found:
-                place[at] = np.arange(len(sizes), len(sizes) + len(at))
-                a.extend(found[0])
-                b.extend(found[1])
-                sizes.extend([len(words[k].encode()) + 1 for k in at])
-            elif len(at) > 1:
-                for k in at:
-                    add([k])
-
-        part, chars = [], 0
+        alone: list[list[int]] = []
+        parts: list[list[int]] = [[]]
+        chars = 0
         for k, w in enumerate(words):
             if not self.by_words or not w or w[0].isspace() or w[-1] == " ":
-                add([k])
+                alone.append([k])
                 continue
-            part.append(k)
-            chars += len(w)
             if chars > PART_CHARS:
-                add(part)
-                part, chars = [], 0
-        if part:
-            add(part)
-        return np.array(a, "int32"), np.array(b, "int32"), np.cumsum(np.array(sizes, "int64")), place
+                parts.append([])
+                chars = 0
+            parts[-1].append(k)
+            chars += len(w)
+        parts += alone
+        place, a, b, sizes = np.full(len(words), -1), [], [], []
+        while parts:
+            at = parts.pop()
+            found = self.encode(" ".join([words[k] for k in at])) if at else None
+            if found:
+                place[at] = np.arange(len(sizes), len(sizes) + len(at))
+                a.append(np.array(found[0], "int32"))
+                b.append(np.array(found[1], "int32"))
+                sizes += [len(words[k].encode()) + 1 for k in at]
+            elif len(at) > 1:
+                parts += [[k] for k in at]
+        none = np.empty(0, "int32")
+        return np.concatenate([none, *a]), np.concatenate([none, *b]), np.cumsum(np.array(sizes, "int64")), place
 
 
 @lru_cache(maxsize=2)
