@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MappingError
 from ..functions.text import key, trim_u
-from .movie import LISTS, MOVIE, STRINGS, _arrow, _fill, _text
+from .movie import LISTS, MOVIE, STRINGS, _arrow
 
 BROADCAST_BYTES = 64_000_000  # of rules; larger sets are joined by shuffle
 
@@ -127,6 +127,21 @@ class Mapper:
         return out
 
 
+def _text(value: str | None) -> str | None:
+    """How texts compare; blank ones are none."""
+    value = (value or "").strip()
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in value) or None
+
+
+def _fill(into: dict, source: dict, strings: tuple[str, ...], others: tuple[str, ...] = ()) -> None:
+    for k in strings:
+        if _text(into.get(k)) is None and _text(source.get(k)) is not None:
+            into[k] = source[k].strip()
+    for k in others:
+        if into.get(k) is None:
+            into[k] = source.get(k)
+
+
 def map_movies(record: Column, mapper: Mapper) -> Column:
     """Records mapped by the rules, in Arrow batches; unchanged without rules."""
     if not mapper.rules:

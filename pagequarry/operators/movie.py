@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SourceError
-from ..functions.text import blank_to_null, trim_u, union_list
+from ..functions.text import ascii_lower, blank_to_null, trim_u, union_list
 
 _THUMB = "struct<`@aspect`:string,`@preview`:string,`$text`:string>"
 RATINGS = "array<struct<`@name`:string,`@max`:float,`@default`:boolean,value:float,votes:bigint>>"
@@ -44,115 +44,106 @@ def movie(**fields: Column) -> Column:
     return F.struct(*out)
 
 
-# Folds over the lists that sources give. Each takes what there is so far and what comes in, as dicts.
+def _arrow(ddl: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    return to_arrow_type(struct_type(ddl))
 
-def _text(value: str | None) -> str | None:
-    """How texts compare; blank ones are none."""
-    value = (value or "").strip()
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in value) or None
 
+# Folds over the lists that sources give, in order, as expressions: an aggregate over the sources and, inside, over what each
+# gives. Of what there is so far the first that is the same is filled up; what is new goes to the end.
 
-def _fill(into: dict, source: dict, strings: tuple[str, ...], others: tuple[str, ...] = ()) -> None:
-    for k in strings:
-        if _text(into.get(k)) is None and _text(source.get(k)) is not None:
-            into[k] = source[k].strip()
-    for k in others:
-        if into.get(k) is None:
-            into[k] = source.get(k)
 
+def _text(value: Column) -> Column:
+    """How texts compare; blank ones are none."""
+    return ascii_lower(blank_to_null(value))
 
-def merge_ratings(have: list[dict] | None, come: list[dict] | None) -> list[dict] | None:
-    """Ratings of one name are one; without any so far all are taken as they are."""
-    if have is None or come is None:
-        return come if have is None else have
-    for r in come:
-        same = next((x for x in have if _text(x["@name"]) == _text(r["@name"])), None)
-        if same is None:
-            have.append(r)
-        else:
-            _fill(same, r, ("@name",), ("@max", "@default", "value", "votes"))
-    return have
 
+def _fill(into: Column, source: Column, ddl: str, strings: tuple[str, ...], others: tuple[str, ...] = ()) -> Column:
+    def value(k: str) -> Column:
+        if k in strings:
+            return F.when(_text(into[k]).isNull() & _text(source[k]).isNotNull(), trim_u(source[k])).otherwise(into[k])
+        return F.coalesce(into[k], source[k]) if k in others else into[k]
 
-def merge_unique_ids(have: list[dict], come: list[dict] | None) -> list[dict]:
-    for u in come or []:
-        same = next((x for x in have if (_text(x["@type"]), _text(x["$text"])) == (_text(u["@type"]), _text(u["$text"]))), None)
-        if same is None:
-            have.append(u)
-        else:
-            _fill(same, u, ("@type", "$text"), ("@default",))
-    return have
+    return F.struct(*[value(f.name).cast(f.dataType).alias(f.name) for f in struct_type(ddl).elementType.fields])
 
 
-def merge_actors(have: list[dict], come: list[dict] | None) -> list[dict]:
-    """Actors of one name and order are one, else those of one name; then all are numbered anew."""
-    for a in come or []:
-        named = [x for x in have if _text(x["name"]) == _text(a["name"])]
-        same = next((x for x in named if x["order"] == a["order"]), named[0] if named and _text(a["name"]) is not None else None)
-        if same is None:
-            have.append(a)
-        else:
-            _fill(same, a, ("role", "gender", "name"), ("order",))
-    for k, a in enumerate(have, 1):
-        a["order"] = k
-    return have
+def _first_of(have: Column, fits: Callable[[Column], Column]) -> Column:
+    """Place of the first that fits, from 1; 0 if none does."""
+    return F.array_position(F.transform(have, lambda x: F.coalesce(fits(x), F.lit(False))), True)
 
 
-def _filled(t: dict) -> bool:
-    return any(_text(t.get(k)) for k in ("$text", "@preview", "@aspect"))
+def _met(have: Column, come: Column, place: Callable[[Column, Column], Column], fill: Callable[[Column, Column], Column]) -> Column:
+    """What there is with what comes in; place(have, item) tells what an item is the same as."""
 
+    def step(acc: Column, item: Column) -> Column:
+        at = place(acc, item)
+        filled = F.transform(acc, lambda x, k: F.when(k == at - 1, fill(x, item)).otherwise(x))
+        return F.when(at > 0, filled).otherwise(F.concat(acc, F.array(item)))
 
-def merge_fanart(have: list[dict] | None, come: list[dict] | None) -> list[dict] | None:
-    """Thumbs with anything in them; those of one address or preview are one, and an empty place is filled."""
-    come = [t for t in come or [] if _filled(t)]
-    if not come or have is None:
-        return come or have
-    for t in come:
-        value, preview, aspect = (_text(t[k]) for k in ("$text", "@preview", "@aspect"))
+    return F.aggregate(come, have, step)
 
-        def fits(x: dict, value=value, preview=preview, aspect=aspect) -> bool:
-            v, p, a = (_text(x[k]) for k in ("$text", "@preview", "@aspect"))
-            return (value and v == value) or (preview and p == preview) or (not v and not p and (not aspect or a == aspect)) or (not value and not preview and aspect and a == aspect)
 
-        same = next((x for x in have if fits(x)), None)
-        if same is None:
-            have.append(t)
-        else:
-            _fill(same, t, ("@aspect", "@preview", "$text"))
-    return [t for t in have if _filled(t)]
+def _folded(lists: Column, ddl: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    none = F.array().cast(struct_type(ddl))
+    return F.aggregate(F.coalesce(lists, F.array(none)), start.cast(struct_type(ddl)), step)
+
 
+def fold_ratings(lists: Column) -> Column:
+    """Ratings of one name are one; without any so far all are taken as they are."""
+    same = lambda acc, r: _first_of(acc, lambda x: _text(x["@name"]).eqNullSafe(_text(r["@name"])))
+    fill = lambda x, r: _fill(x, r, RATINGS, ("@name",), ("@max", "@default", "value", "votes"))
+    return _folded(lists, RATINGS, F.lit(None), lambda have, come: F.when(have.isNull(), come).when(come.isNull(), have).otherwise(_met(have, come, same, fill)))
 
-def _folded(fold: Callable, start: Callable[[], list | None], ddl: str) -> Callable[[Column], Column]:
-    """The fold as a function of a column with a list for each source, in order; Arrow carries it."""
-    arrow = _arrow(ddl)
 
-    @F.arrow_udf(struct_type(ddl))
-    def run(lists: pa.Array) -> pa.Array:
-        out = []
-        for row in lists.to_pylist():
-            have = start()
-            for come in row or []:
-                have = fold(have, come)
-            out.append(have)
-        return pa.array(out, arrow)
+def fold_unique_ids(lists: Column) -> Column:
+    key = lambda x: (_text(x["@type"]), _text(x["$text"]))
+    same = lambda acc, u: _first_of(acc, lambda x: key(x)[0].eqNullSafe(key(u)[0]) & key(x)[1].eqNullSafe(key(u)[1]))
+    fill = lambda x, u: _fill(x, u, UNIQUE_IDS, ("@type", "$text"), ("@default",))
+    return _folded(lists, UNIQUE_IDS, F.array(), lambda have, come: F.when(come.isNull(), have).otherwise(_met(have, come, same, fill)))
 
-    return run
 
+def fold_actors(lists: Column) -> Column:
+    """Actors of one name and order are one, else those of one name; after each source all are numbered anew."""
 
-def _arrow(ddl: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+    def same(acc: Column, a: Column) -> Column:
+        named = lambda x: _text(x["name"]).eqNullSafe(_text(a["name"]))
+        both = _first_of(acc, lambda x: named(x) & x["order"].eqNullSafe(a["order"]))
+        return F.when(both > 0, both).when(_text(a["name"]).isNotNull(), _first_of(acc, named)).otherwise(F.lit(0).cast("long"))
 
-    return to_arrow_type(struct_type(ddl))
+    fill = lambda x, a: _fill(x, a, ACTORS, ("role", "gender", "name"), ("order",))
+    number = lambda x, k: F.struct(x["name"].alias("name"), x["role"].alias("role"), x["gender"].alias("gender"), (k + 1).cast("long").alias("order"))
+    return _folded(lists, ACTORS, F.array(), lambda have, come: F.transform(F.when(come.isNull(), have).otherwise(_met(have, come, same, fill)), number))
 
 
-def _numbers() -> tuple:
-    return (_folded(merge_ratings, lambda: None, RATINGS), _folded(merge_unique_ids, list, UNIQUE_IDS), _folded(merge_actors, list, ACTORS))
+def _filled(t: Column) -> Column:
+    return _text(t["$text"]).isNotNull() | _text(t["@preview"]).isNotNull() | _text(t["@aspect"]).isNotNull()
 
 
 def fanarts(lists: Column) -> Column:
-    """One list of thumbs from a list for each source, in order; for sources whose images may mix."""
-    return _folded(merge_fanart, lambda: None, f"array<{_THUMB}>")(lists)
+    """One list of thumbs from a list for each source, in order; for sources whose images may mix.
+
+    Thumbs with anything in them; those of one address or preview are one, and an empty place is filled.
+    """
+    kind = f"array<{_THUMB}>"
+
+    def same(acc: Column, t: Column) -> Column:
+        value, preview, aspect = (_text(t[k]) for k in ("$text", "@preview", "@aspect"))
+
+        def fits(x: Column) -> Column:
+            v, p, a = (_text(x[k]) for k in ("$text", "@preview", "@aspect"))
+            one = F.coalesce(v == value, F.lit(False)) | F.coalesce(p == preview, F.lit(False))
+            alike = F.coalesce(a == aspect, F.lit(False))
+            return one | (v.isNull() & p.isNull() & (aspect.isNull() | alike)) | (value.isNull() & preview.isNull() & alike)
+
+        return _first_of(acc, fits)
+
+    def step(have: Column, come: Column) -> Column:
+        come = F.filter(F.coalesce(come, F.array().cast(struct_type(kind))), _filled)
+        more = F.filter(_met(have, come, same, lambda x, t: _fill(x, t, kind, ("@aspect", "@preview", "$text"))), _filled)
+        return F.when(F.size(come) == 0, have).when(have.isNull(), come).otherwise(more)
+
+    return _folded(lists, kind, F.lit(None), step)
 
 
 def _first(values: Column, ok: Callable[[Column], Column]) -> Column:
@@ -178,10 +169,9 @@ def merge_details(movies: Column) -> dict[str, Column]:
         return F.when(_nonblank(one[name]), one[name]).otherwise(F.coalesce(blank_to_null(later), one[name]))
 
     out["set"] = F.when(F.size(sets) > 0, F.struct(filled("name").alias("name"), filled("overview").alias("overview")))
-    ratings, ids, actors = _numbers()
-    folded = ratings(F.transform(of("ratings"), lambda r: r["rating"]))
+    folded = fold_ratings(F.transform(of("ratings"), lambda r: r["rating"]))
     out["ratings"] = F.when(F.exists(of("ratings"), lambda r: r.isNotNull()), F.struct(folded.alias("rating")))
-    out["uniqueid"], out["actor"] = ids(of("uniqueid")), actors(of("actor"))
+    out["uniqueid"], out["actor"] = fold_unique_ids(of("uniqueid")), fold_actors(of("actor"))
     return out
 
 

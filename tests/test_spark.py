@@ -190,8 +190,6 @@ def test_merge(spark):
     twice = merged(spark, ("a", b), ("b", b))
     assert twice == merged(spark, ("a", b), ("b", record()))
     assert (M.success_limit(False, 5), M.success_limit(True, 0), M.success_limit(False, 1, True), M.success_limit(True)) == (1, None, None, 2)
-    have = [{"$text": None, "@preview": None, "@aspect": "wide"}]
-    assert M.merge_fanart(have, [{"$text": "v", "@preview": None, "@aspect": "wide"}, {"$text": "w", "@preview": None, "@aspect": None}]) == [{"$text": "v", "@preview": None, "@aspect": "wide"}, {"$text": "w", "@preview": None, "@aspect": None}]
     assert M.resolve_priority([], [" x ", "", "x", "y"]) == ["x", "y"]
 
 
