@@ -99,13 +99,11 @@ def _run(args: dict) -> int:
         preflight(done.actions, existing)
         trusted = trusted_union(SOURCES)
         results = carry_out(done.actions, args["apply"], done.records, lambda url: fetch(url, trusted), keep_going=False)
-        done.release()
         for group, steps, error in results:
             print(json.dumps({"group": group, "steps": steps, "error": error}))
         return int(any(error for _, _, error in results))
     for r in done.actions.orderBy("group_id", "step").toJSON().toLocalIterator():
         print(r)
-    done.release()
     return 0
 
 

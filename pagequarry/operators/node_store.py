@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming.watch import shared_folder
+from ..sources.tables import shared_folder
 from . import nodes as N
 from .extract import html_parse
 

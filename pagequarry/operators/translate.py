@@ -6,10 +6,13 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import TranslationError
 from ..functions.languages import language_code
+from ..functions.text import trim_u
+from ..sources.tables import stored
 from .movie import LISTS, STRINGS
 
 CONFIDENCE = 0.6
@@ -58,62 +61,104 @@ def needs(text: str | None, target: str, detect: Detect) -> bool:
     return not (lang == target and sure >= CONFIDENCE)
 
 
-def _slots(record: dict, keys: list[str]) -> Iterator[tuple[dict | list, str | int]]:
-    """Places of the texts that keys name, in order."""
+MAX_TEXTS, MAX_BYTES = 50, 20_000  # of one request
+
+
+def _values(movie: Column, keys: list[str]) -> Column:
+    """The texts that keys name, trimmed, in one array."""
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    parts = [F.array().cast("array<string>")]
     for key in keys:
         if key in STRINGS:
-            yield record, key
+            parts.append(F.array(movie[key]))
         elif key in LISTS:
-            yield from ((record[key], k) for k in range(len(record[key] or [])))
+            parts.append(some(movie[key]))
         elif key.startswith("set."):
-            if record["set"]:
-                yield record["set"], key[4:]
+            parts.append(F.array(movie["set"][key[4:]]))
         else:
-            yield from ((a, key[6:]) for a in record["actor"] or [])
-
-
-def translate_records(records: list[dict], keys: list[str], target: str, detect: Detect, translate: Translate) -> list[bool]:
-    """Translates in place; every distinct text of the batch goes out once. Returns which records changed."""
-    wanted = {p[i].strip(): "" for r in records for p, i in _slots(r, keys) if needs(p[i], target, detect)}
-    if not wanted:
-        return [False] * len(records)
-    answers = translate(list(wanted))
-    if len(answers) != len(wanted):
-        raise TranslationError(f"{len(wanted)} texts went out, {len(answers)} came back")
-    wanted = dict(zip(wanted, answers))
-    changed = []
-    for r in records:
-        hit = False
-        for p, i in _slots(r, keys):
-            if needs(p[i], target, detect):
-                new = (wanted[p[i].strip()] or "").strip()
-                if new and new != p[i].strip():
-                    p[i], hit = new, True
-        changed.append(hit)
-    return changed
-
-
-def translate_movies(df: DataFrame, keys: list[str], target: str, translate: Translate, detect: Detect = detect_words, movie_col: str = "movie") -> DataFrame:
-    """df with its records translated and a column changed; untouched but for that without keys."""
+            parts.append(some(_of_actors(movie, key[6:])))
+    return F.transform(F.filter(F.concat(*parts), lambda x: x.isNotNull()), lambda x: trim_u(x))
+
+
+def _of_actors(movie: Column, name: str) -> Column:
+    return F.transform(movie["actor"], lambda a: a[name])
+
+
+def _replaced(movie: Column, keys: list[str], new: Callable[[Column], Column]) -> Column:
+    """The record with new(text) in the places that keys name."""
+    for key in (k for k in keys if k in STRINGS):
+        movie = movie.withField(key, new(movie[key]))
+    for key in (k for k in keys if k in LISTS):
+        movie = movie.withField(key, F.transform(movie[key], new))
+    for name in (k[4:] for k in keys if k.startswith("set.")):
+        movie = movie.withField("set", F.when(movie["set"].isNotNull(), movie["set"].withField(name, new(movie["set"][name]))))
+    if actor := [k[6:] for k in keys if k.startswith("actor.")]:
+
+        def one(a: Column) -> Column:
+            for name in actor:
+                a = a.withField(name, new(a[name]))
+            return a
+
+        movie = movie.withField("actor", F.transform(movie["actor"], one))
+    return movie
+
+
+def requests(texts: Iterator[str], max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> Iterator[list[str]]:
+    """Texts in lists of at most so many texts and bytes; a longer text goes alone."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        n = len(t.encode())
+        if held and (len(held) >= max_texts or size + n > max_bytes):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += n
+    if held:
+        yield held
+
+
+def answered(texts: DataFrame, target: str, translate: Translate, detect: Detect = detect_words, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """text and answer of each different text that is to be translated; texts: one column, repeats and nulls allowed.
+
+    Texts are made distinct before they are looked at, so each goes out once, in requests
+    bounded in texts and bytes. A request is made again if its task is.
+    """
     import pyarrow as pa
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    fields, code = resolve_keys(keys), language_code(target)
-    schema = T.StructType([*df.schema.fields, T.StructField("changed", T.BooleanType())])
 
     def run(batches):
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            at = batch.schema.get_field_index(movie_col)
-            records = batch.column(at).to_pylist()
-            live = [r for r in records if r is not None]
-            done = iter(translate_records(live, fields, code, detect, translate) if fields else [False] * len(live))
-            changed = [r is not None and next(done) for r in records]
-            cols = [pa.array(records, arrow.field(k).type) if k == at else batch.column(k).cast(arrow.field(k).type) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(changed)], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+        wanted = (t for batch in batches for t in batch.column(0).to_pylist() if needs(t, target, detect))
+        for sent in requests(wanted, max_texts, max_bytes):
+            answers = translate(sent)
+            if len(answers) != len(sent):
+                raise TranslationError(f"{len(sent)} texts went out, {len(answers)} came back")
+            yield pa.RecordBatch.from_arrays([pa.array(sent, pa.string()), pa.array([(x or "").strip() for x in answers], pa.string())], ["text", "answer"])
+
+    return texts.toDF("text").where("text <> ''").distinct().mapInArrow(run, "text string, answer string")
+
+
+def translate_movies(
+    df: DataFrame, keys: list[str], target: str, translate: Translate, detect: Detect = detect_words, movie_col: str = "movie", max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """df with its records translated and a column changed; untouched but for that without keys.
+
+    Rows and answers are written to the shared folder, so that services are asked once
+    however often the result is read; answers return by a join on the text, and the places
+    of a record take theirs from a map of its own texts. Null records stay null.
+    """
+    fields, code = resolve_keys(keys), language_code(target)
+    if not fields:
+        return df.withColumn("changed", F.lit(False))
+    row, found = (next(n for n in (base + "_" * k for k in range(99)) if n not in df.columns) for base in ("row", "found"))
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(row, F.explode(F.array_distinct(_values(F.col(movie_col), fields))).alias("text"))
+    answers = stored(answered(texts.select("text"), code, translate, detect, max_texts, max_bytes))
+    maps = texts.join(answers, "text").where("answer <> '' and answer <> text").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("text", "answer"))).alias(found))
+    new = lambda t: F.coalesce(F.try_element_at(F.col(found), trim_u(t)), t)
+    changed = F.col(found).isNotNull()
+    return rows.join(maps, row, "left").select(
+        *[F.when(changed, _replaced(F.col(n), fields, new)).otherwise(F.col(n)).alias(n) if n == movie_col else F.col(n) for n in df.columns], changed.alias("changed")
+    )
 
 
 # Answers of translation services

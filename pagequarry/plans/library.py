@@ -17,35 +17,28 @@ from ..operators.parts import group_of, group_video_inputs
 from ..operators.subtitles import match_subtitles
 from ..operators.translate import Translate, endpoint, resolve_keys, translate_movies
 from ..sources.registry import Source, run_sources
+from ..sources.tables import stored
 from .output import actions, outputs, targets, without_present
 
 
 @dataclass
 class Planned:
-    """groups, records (group_id, movie, nfo), failures (group_id, error) and the steps. held: what is kept in
-    memory for them until release()."""
+    """groups, records (group_id, movie, nfo), failures (group_id, error) and the steps."""
 
     groups: DataFrame
     records: DataFrame
     failures: DataFrame
     actions: DataFrame
-    held: tuple[DataFrame, ...] = ()
-
-    def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
 
 
 def resolve_records(names: DataFrame, sources: list[Source], settings: Settings, translate: Translate | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs the sources on names (entity_id, name, path), then merges, maps and translates: (entity_id, movie, nfo), failures, attempts.
 
-    Sources run once: the attempts are kept in memory, as runs may fetch, until the caller unpersists them.
+    Sources run once: the attempts are written to the shared folder, as runs may fetch.
     """
     configured = bool(settings.priority_details or settings.priority_images)
     limit = success_limit(settings.multi_source, settings.multi_source_max_sources, configured)
-    width = settings.fetch_threads
-    spread = names.repartition(width) if width > 1 else names
-    tried = run_sources(spread, sources, limit, settings.throttle_ms if settings.throttle else 0).persist()
+    tried = stored(run_sources(names, sources, limit, settings.throttle_ms if settings.throttle else 0, workers=settings.fetch_threads))
     good = limit_sources(tried, limit)
     good = good.withColumn("movie", F.coalesce("movie", from_nfo(F.col("raw_xml"))))
     merged = merge_sources(good, settings.priority_details, settings.priority_images, settings.multi_source)
@@ -89,4 +82,4 @@ def plan_library(
     steps = actions(targets(places, groups, match_subtitles(groups, files if listed is None else listed), images), settings.multi_folder)
     if existing is not None:
         steps = without_present(steps, existing)
-    return Planned(groups, records, failed.withColumnRenamed("entity_id", "group_id"), steps, (tried,))
+    return Planned(groups, records, failed.withColumnRenamed("entity_id", "group_id"), steps)

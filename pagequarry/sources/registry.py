@@ -8,6 +8,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from ..functions.urls import UrlRule, refuse, why_refused
 from ..operators.extract import Spec, extract
 from ..operators.movie import MOVIE
 from .tasklog import task
-from .throttle import Throttle
+from .throttle import Slots
 
 USER_AGENT = "pagequarry/0.1"
 
@@ -83,16 +84,14 @@ def counts(listed: DataFrame) -> DataFrame:
 ATTEMPT = f"source_ord int, alias string, ok boolean, error string, raw_xml string, movie {MOVIE}"
 
 
-_THROTTLES: dict[int, Throttle] = {}  # of each pause, in this worker
-
-
-def run_sources(names: DataFrame, sources: list[Source], limit: int | None, throttle_ms: int = 0, kind: str = "batch") -> DataFrame:
+def run_sources(names: DataFrame, sources: list[Source], limit: int | None, throttle_ms: int = 0, kind: str = "batch", workers: int = 1) -> DataFrame:
     """Runs function sources on every name (entity_id, name, path), in order, until the limit of successes.
 
     One row for each attempt: entity_id and ATTEMPT. A failure is a row with its error, so
     one entity never stops another. A record or XML text is a success; None is an error.
-    throttle_ms: the pause between runs of one source in a worker, about; 0 for none. What a
-    source logs names its entity and the kind of task.
+    throttle_ms: the pause between runs of one source, however many workers there are, about; 0
+    for none. workers: how many names are worked on at a time; with a pause or several workers the
+    names are dealt to so many partitions. What a source logs names its entity and the kind of task.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -109,7 +108,7 @@ def run_sources(names: DataFrame, sources: list[Source], limit: int | None, thro
     empty = {f.name: [] if isinstance(f.dataType, T.ArrayType) else None for f in T.DataType.fromDDL(MOVIE).fields}
 
     def run(batches):
-        arrow = to_arrow_schema(schema)
+        arrow, slots = to_arrow_schema(schema), Slots(throttle_ms, TaskContext.get().partitionId() % workers, workers)
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
@@ -121,7 +120,7 @@ def run_sources(names: DataFrame, sources: list[Source], limit: int | None, thro
                     try:
                         args = (row["name"], row["path"]) if row.get("path") else (row["name"],)
                         with task(row["entity_id"], kind):
-                            got = decode_output(s.alias, _THROTTLES.setdefault(throttle_ms, Throttle(throttle_ms)).run(s.alias, s.run, *args))
+                            got = decode_output(s.alias, slots.run(s.alias, s.run, *args))
                         out |= {"raw_xml": got} if isinstance(got, str) else {"movie": empty | got}
                         done += 1
                     except Exception as e:
@@ -129,7 +128,8 @@ def run_sources(names: DataFrame, sources: list[Source], limit: int | None, thro
                     rows.append(out)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return names.select("entity_id", "name", "path").mapInArrow(run, schema)
+    rows = names.select("entity_id", "name", "path")
+    return (rows.repartition(workers) if workers > 1 or throttle_ms else rows).mapInArrow(run, schema)
 
 
 def run_selections(pages: DataFrame, s: Source, id_col: str, html_col: str) -> DataFrame:

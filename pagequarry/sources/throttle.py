@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+import math
 import random
-import threading
 import time
 from collections.abc import Callable
 
 JITTER_MS = 100
 
 
-def pause_ms(base: int, draw: Callable[[float, float], float] = random.uniform) -> int:
-    """Base give or take JITTER_MS; none for 0, the size of what is drawn for a base below the jitter."""
-    return 0 if base == 0 else abs(round(base + draw(-JITTER_MS, JITTER_MS)))
+class Slots:
+    """Start times of a source's runs on one of several workers: each owns every so many-th slot of the clock.
 
+    Slots are base_ms and JITTER_MS apart, counted from the epoch, and a slot is one worker's alone, so
+    runs on different workers are never nearer than base_ms less the jitter and what their clocks
+    differ; no worker asks another. A run that takes longer gives up the slots that pass.
+    """
 
-class Throttle:
-    """Lets one run of a source go at a time in a process, and waits after each; different sources do not wait."""
+    def __init__(self, base_ms: int, worker: int, workers: int, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time):
+        self.step, self.worker, self.workers, self.sleep, self.now = (base_ms + JITTER_MS) / 1000, worker, workers, sleep, now
+        self.base_ms, self._last = base_ms, {}
 
-    def __init__(self, base_ms: int = 1000, sleep: Callable[[float], None] = time.sleep):
-        self.base_ms, self.sleep = base_ms, sleep
-        self._guard, self._locks, self._next = threading.Lock(), {}, {}
+    def take(self, alias: str) -> float:
+        """The start of the next slot."""
+        cycle, offset = self.step * self.workers, self.step * self.worker
+        at = max(self._last.get(alias, -1) + 1, math.ceil((self.now() - offset) / cycle))
+        self._last[alias] = at
+        return at * cycle + offset
 
     def run(self, alias: str, f: Callable, *args):
-        with self._guard:
-            lock = self._locks.setdefault(alias, threading.Lock())
-        with lock:
-            wait = self._next.get(alias, 0.0) - time.monotonic()
-            if self.base_ms and wait > 0:
+        if self.base_ms:
+            start = self.take(alias) + random.uniform(0, JITTER_MS / 1000)
+            if (wait := start - self.now()) > 0:
                 self.sleep(wait)
-            try:
-                return f(*args)
-            finally:
-                self._next[alias] = time.monotonic() + pause_ms(self.base_ms) / 1000
+        return f(*args)

@@ -25,7 +25,8 @@ from ..errors import ConfigError
 from ..plans.library import plan_library
 from ..sources.files import existing_below, scan_files
 from ..sources.registry import Source, fetch, trusted_union
-from .watch import TICK_MS, ready_groups, relevant, shared_folder, start, watch
+from ..sources.tables import shared_folder
+from .watch import TICK_MS, ready_groups, relevant, start, watch
 
 log = logging.getLogger("pagequarry.watch")
 EVENT = "path string, kind string, length long, at_ms long"
@@ -156,7 +157,6 @@ def watch_directory(spark: SparkSession, root: str, sources: list[Source], setti
                     print(r)
         except Exception as e:  # a plan that cannot be begun fails all its groups
             failed |= {g: failed.get(g, str(e)) for g in parts}
-        done.release()
         for group, error in failed.items():
             print(f"{group}: {error}")
         events.append([(p, "failed" if g in failed else "done", None, now()) for g, paths in parts.items() for p in paths])

@@ -7,8 +7,6 @@ once, and never again until they are removed; failures wait before they are retr
 
 from __future__ import annotations
 
-import re
-import tempfile
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -22,6 +20,7 @@ from ..errors import ConfigError
 from ..functions.text import is_video
 from ..operators.parts import group_of
 from ..sources.files import depth_under
+from ..sources.tables import shared_folder
 
 STABLE_MS = 3000
 TICK_MS = 1000
@@ -137,17 +136,6 @@ def start(statuses: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int
     return statuses.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": f"{TICK_MS} milliseconds"})).start()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Without one a temporary folder if all of Spark runs in one process; on
-    a cluster, whose executors would not share it, an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ConfigError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="pagequarry-")
-
-
 def settled(gap_ms: Column) -> Column:
     """Whether a gap to the next event is long enough for a file to count as stable."""
     return F.coalesce(gap_ms >= STABLE_MS, F.lit(False))

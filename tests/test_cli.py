@@ -189,6 +189,10 @@ def test_throttle_and_task_in_runs(spark, tmp_path):
     rows = registry.run_sources(names, [registry.Source("slow", (), run)], None, throttle_ms=700, kind="dir").collect()
     at = sorted(float(r.movie.plot) for r in rows)
     assert sorted(r.movie.title for r in rows) == [f"[dir e{k}] at work" for k in range(3)] and all(b - a > 0.55 for a, b in zip(at, at[1:]))
+    names = spark.createDataFrame([(f"e{k}", f"n{k}", None) for k in range(8)], "entity_id string, name string, path string").repartition(8)
+    rows = registry.run_sources(names, [registry.Source("slow", (), run)], None, throttle_ms=400, workers=4).collect()
+    at = sorted(float(r.movie.plot) for r in rows)  # of four workers, as near as of one
+    assert len(at) == 8 and all(b - a > 0.38 for a, b in zip(at, at[1:]))
     with tasklog.task(7, "name"):
         assert tasklog.log.process("x", {}) == ("[name 7] x", {"extra": {"task_id": "7", "task_type": "name"}})
     began = time.monotonic()

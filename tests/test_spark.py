@@ -20,7 +20,7 @@ from pagequarry.operators.mapping import Mapper, parse_line, parse_rules
 from pagequarry.operators.parts import group_of, group_video_inputs
 from pagequarry.operators.subtitles import match_subtitles, subtitle_suffix
 from pagequarry.operators.template import output_paths, parse_template, render, template_fields
-from pagequarry.operators.translate import chat_answer, cloud_answer, detect_words, endpoint, resolve_keys, segment_answer, texts_answer, translate_movies, translate_records
+from pagequarry.operators.translate import chat_answer, cloud_answer, endpoint, requests, resolve_keys, segment_answer, texts_answer, translate_movies
 from pagequarry.plans.effects import carry_out
 from pagequarry.plans.library import plan_library
 from pagequarry.plans.output import conflicts, preflight
@@ -236,19 +236,32 @@ def test_images(spark):
     assert [r.file_name for r in images_to_fetch(name_images(images).withColumn("dir", F.lit("d")), present).collect()] == ["B-poster.jpg"]
 
 
-def test_translation(spark):
-    calls = []
+def test_translation(spark, tmp_path):
+    one = record(title="the cat of the house", plot=" el gato de la casa ", genre=["una casa por la noche", "the of"], actor=[{"name": "el de la", "role": None, "gender": None, "order": 1}])
+    two = record(plot="el gato de la casa", set={"name": None, "overview": "una casa por la noche"})
+    calls = str(tmp_path)
 
     def stub(texts):
-        calls.append(texts)
+        import uuid
+
+        with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+            json.dump(texts, f)
         return ["T:" + t for t in texts]
 
-    one = record(title="the cat of the house", plot=" el gato de la casa ", genre=["una casa por la noche", "the of"], actor=[{"name": "el de la", "role": None, "gender": None, "order": 1}])
-    assert translate_records([one, json.loads(json.dumps(one))], ["title", "plot", "genre"], "eng", detect_words, stub) == [True, True]
-    assert one["title"] == "the cat of the house" and one["plot"] == "T:el gato de la casa" and one["genre"] == ["T:una casa por la noche", "the of"] and len(calls) == 1
+    told = lambda: sorted(t for name in os.listdir(calls) for t in json.load(open(f"{calls}/{name}")))
+    df = translate_movies(movies(spark, one, one, two, record()).withColumn("row", F.lit(1)), ["title", "plot", "genre", "set_overview"], "eng", stub)
+    got = df.orderBy(F.col("movie.plot"), F.col("movie.title")).collect()
+    assert df.columns[-2:] == ["row", "changed"] and [r.changed for r in got] == [False, True, True, True]
+    assert got[0].movie == df.where("not changed").first().movie and [r.movie.plot for r in got[1:]] == ["T:el gato de la casa"] * 3
+    assert {(r.movie.title, tuple(r.movie.genre)) for r in got if r.movie.title} == {("the cat of the house", ("T:una casa por la noche", "the of"))}
+    assert [r.movie.set.overview for r in got if r.movie.set] == ["T:una casa por la noche"]
+    assert told() == ["el gato de la casa", "una casa por la noche"]  # once each, however often the result is read
+    assert list(requests(iter(["aa", "b" * 9, "c", "d"]), 2, 8)) == [["aa"], ["b" * 9], ["c", "d"]] and list(requests(iter([]))) == []
+    with pytest.raises(Exception, match="went out"):
+        translate_movies(movies(spark, two), ["plot"], "eng", lambda t: []).collect()
     assert resolve_keys(["Set", "actor", "ACTOR_ROLE", "title"]) == ["set.name", "actor.name", "actor.role", "title"]
     assert [language_code(x) for x in ("eng", "en-US", "zh_CN", "pt-por") if x != "pt-por"] == ["eng", "eng", "cmn"]
-    for bad in (lambda: resolve_keys(["nope"]), lambda: language_code("xx"), lambda: translate_records([record(plot="el la de")], ["plot"], "eng", detect_words, lambda t: [])):
+    for bad in (lambda: resolve_keys(["nope"]), lambda: language_code("xx")):
         with pytest.raises(TranslationError):
             bad()
     with pytest.raises(NotEnabled):
@@ -373,15 +386,16 @@ def test_watch_timer(spark, tmp_path):
 
 
 def test_throttle():
-    from pagequarry.sources.throttle import Throttle, pause_ms
-
-    assert pause_ms(0) == 0 and pause_ms(1000, lambda a, b: a) == 900 and pause_ms(1000, lambda a, b: b) == 1100 and pause_ms(50, lambda a, b: a) == 50
-    waits = []
-    t = Throttle(1000, waits.append)
-    assert [t.run("a", lambda x: x + 1, 1), t.run("b", len, "xy"), t.run("a", lambda: 5)] == [2, 2, 5]
-    assert len(waits) == 1 and 0.8 < waits[0] < 1.2
+    from pagequarry.sources.throttle import Slots
+
+    clock = [1000.03]
+    workers = [Slots(900, k, 3, lambda s: clock.__setitem__(0, clock[0] + s), lambda: clock[0]) for k in range(3)]
+    starts = [w.take("a") for w in workers for _ in range(4)]
+    assert len(set(starts)) == 12 and all(x >= 1000 for x in starts)
+    gaps = sorted(round(b - a, 6) for a, b in zip(sorted(starts), sorted(starts)[1:]))
+    assert gaps[0] >= 1.0 - 1e-6 and gaps[0] < 1.01
+    assert workers[0].run("b", lambda x: x + 1, 1) == 2 and clock[0] > 1000.03
     with pytest.raises(ZeroDivisionError):
-        t.run("c", lambda: 1 / 0)
-    off = Throttle(0, waits.append)
-    off.run("a", int), off.run("a", int)
-    assert len(waits) == 1
+        workers[0].run("c", lambda: 1 / 0)
+    clock[0] = 5.0
+    assert Slots(0, 0, 1, lambda s: 1 / 0).run("a", int) == 0
