@@ -170,7 +170,11 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row; null and empty texts have no ids."""
+    """doc_id and ids (array of int) of every row; null and empty texts have no ids.
+
+    Repeated rows and null ids are rows like any other; very long texts are encoded in full,
+    in one worker's memory; an empty table gives no rows. Other columns are not read.
+    """
 
     def run(batch):
         c = codec(path, pattern)
@@ -181,7 +185,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and decoded (the bytes) of rows with ids; null ids are none."""
+    """doc_id and decoded (the bytes) of rows with ids; null ids are none.
+
+    Repeated rows are rows like any other, long arrays are decoded by halves, an empty table
+    gives no rows, and an id that is not of the vocabulary is an error. Other columns are not read.
+    """
 
     def run(batch):
         c = codec(path, pattern)

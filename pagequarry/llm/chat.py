@@ -55,7 +55,8 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
     turns: conv_id, turn, role, text. Turns go by number, ties by role and text, and
     repeated rows all count. Null roles and texts are empty; null ids are one
-    conversation; an empty table gives none. Invalid conversations are formatted too.
+    conversation; an empty table gives none. Invalid conversations are formatted too. A
+    conversation, however long its texts, is one row; other columns are not read, whatever they are called.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -88,7 +89,7 @@ def read_back(formatted: Column, template: Template = TEMPLATE) -> Column:
 
 
 def digest(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Counts and digests of each conversation, read back from its formatted text and its flagged segments."""
+    """Counts and digests of each conversation, read back from its formatted text and its flagged segments; odd rows are as in format_chats()."""
     chats = format_chats(turns, template).withColumn("back", read_back(F.col("formatted"), template))
     lost = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescape(s["text"])), "")
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -134,7 +134,11 @@ def _told(said: np.ndarray, right: float, names: list[str]) -> np.ndarray:
 
 def evidence(rows: DataFrame, profile: Profile) -> DataFrame:
     """rows: key, text, host, markup. Returns key, host, letters, own (log chances of each class by all
-    but the prior) and share (the same as chances that sum to 1)."""
+    but the prior) and share (the same as chances that sum to 1).
+
+    Null texts, hosts and markup are empty and tell nothing; repeated rows are rows like any
+    other; very long texts are read whole, in slices; an empty table gives no rows. Other columns are not read.
+    """
     names = profile.languages
 
     def score(batch):
@@ -186,7 +190,10 @@ def fuse(found: DataFrame, profile: Profile) -> DataFrame:
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Documents as rows of evidence: the source stands for the host; markup only if the text is a page."""
+    """Documents as rows of evidence: the source stands for the host; markup only if the text is a page.
+
+    Null ids give null keys, null texts are empty, null sources are one host; each row gives one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("string").alias("key"), text.alias("text"), F.col(source_col).cast("string").alias("host"), _markup(text).alias("markup"))
 
@@ -194,7 +201,8 @@ def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages as rows of evidence: text without markup, host of the address, declared language.
 
-    What is opened and never closed goes up to the end, so each part of a page is read once."""
+    What is opened and never closed goes up to the end, so each part of a page is read once. Null pages
+    are empty texts; addresses that are null or cannot be read have no host; each row gives one."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*(?:>.*?(?:</\1[^>]*(?:>|\z)|\z)|\z)|<(?=[a-z/!?])[^>]*(?:>|\z)|&#?[a-z0-9]+;", " ")
     return pages.select(F.col(id_col).cast("string").alias("key"), text.alias("text"), F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST")).alias("host"), _markup(html).alias("markup"))
@@ -206,6 +214,6 @@ def _markup(html: Column) -> Column:
 
 
 def identify(docs: DataFrame, profile: Profile | None = None, id_col: str = "doc_id") -> DataFrame:
-    """key (the id as text), lang, posterior and accepted of every document, as fuse() gives them."""
+    """key (the id as text), lang, posterior and accepted of every document, as fuse() gives them; odd rows are as in document_rows() and evidence()."""
     profile = profile or train(docs)
     return fuse(evidence(document_rows(docs, id_col), profile), profile)

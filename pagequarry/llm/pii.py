@@ -555,7 +555,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, and all spans as text, of every row as find() gives them."""
+    """Counts and digest of the base spans, and all spans as text, of every row; odd rows are as in find()."""
     found = find(docs)
     told_ = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
@@ -574,7 +574,8 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The table with spans masked in its text column; all other columns, and null texts, stay.
-    Repeated rows and null ids are rows like any other; an empty table stays empty."""
+    Repeated rows and null ids are rows like any other; an empty table stays empty; very long texts are read
+    in full, in parts of bounded size; columns of any name are carried along."""
     tagger, schema = trained(), docs.schema
     at = docs.columns.index(text_col)
 

@@ -63,7 +63,12 @@ def stats_of(raw: bytes) -> tuple:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and STATS of every row, from its whole text; null is the empty text."""
+    """doc_id and STATS of every row, from its whole text; null is the empty text.
+
+    Repeated rows and null ids are rows like any other; of words that are equally frequent it
+    does not matter which is counted; very long texts are read whole in one worker; an empty
+    table gives no rows. Other columns are not read, whatever they are called.
+    """
 
     def stats(batch):
         rows = np.array([stats_of(x) for x in bytes_of(batch.column(1))], float)
@@ -179,12 +184,17 @@ def _lasso(held: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, fl
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ensemble:
-    """Fits on at most ``sample`` of the labelled ids, those of smallest hash, and their texts' statistics."""
+    """Fits on at most ``sample`` of the labelled ids, those of smallest hash, and their texts' statistics.
+
+    An id that is labelled more than once has the largest label. Of rows that share an id the
+    one whose statistics have the smallest hash is fitted, so that what is fitted is a text that there
+    is. Labels of null, or for no row, are left out; with no rows left the ensemble has no rules.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(target).cast("double").alias("y")).dropna()
     chosen = materialize(known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # At most `sample` rows of two numbers, so it can be broadcast at any size of the corpus.
     near = keyed(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = statistics(near).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in (*STATS, "y")]).orderBy("doc_id").collect()
+    rows = statistics(near).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*STATS, "y"), F.struct(F.xxhash64(*STATS), *STATS)).alias("s")).orderBy("doc_id").select("s.*").collect()
     x = np.array([[r[c] for c in STATS] for r in rows], float).reshape(len(rows), len(STATS))
     return fit(x, np.array([r.y for r in rows], float))
 

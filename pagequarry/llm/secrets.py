@@ -81,7 +81,8 @@ def _order(span: tuple[str, int, int]) -> tuple:
 
 def identifiers(docs: DataFrame, text_col: str = "text") -> tuple[str, ...]:
     """The LEARNT most frequent identifiers of letters in all texts, counted in the workers before they are
-    shuffled; ties by name. Strings with digits, or of more than 24 letters, are never learnt."""
+    shuffled; ties by name. Strings with digits, or of more than 24 letters, are never learnt. Null texts
+    hold none, repeated rows count each, and an empty table teaches none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -168,7 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, and all spans as text."""
+    """Counts and digest of the base spans, and all spans as text; odd rows are as in scan()."""
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return scan(docs).select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))

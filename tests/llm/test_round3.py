@@ -230,3 +230,17 @@ def test_long_addresses_are_read_to_their_end():
     address = "jane at " + " dot ".join(["department"] * 40 + ["org"])
     text = f"write to {address} today"
     assert any(a <= text.index("jane") and b >= text.index(" today") for a, b in pii.stretches(text))
+
+
+def test_rows_of_one_id_are_not_mixed(spark, monkeypatch):
+    """What is fitted of rows that share an id is one of them."""
+    from pagequarry.llm import rule_ensemble
+
+    seen = []
+    monkeypatch.setattr(rule_ensemble, "fit", lambda x, y: seen.append((x, y)))
+    docs = [(1, "short words"), (1, "a much longer text " * 40 + "!"), (2, "other"), (2, "other"), (None, "no id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rule_ensemble.train(df, spark.createDataFrame([(1, 1), (2, 0), (2, 1), (9, 1), (1, None)], "doc_id long, quality int"))
+    x, y = seen[0]
+    own = {tuple(r)[1:] for r in rule_ensemble.statistics(df.where("doc_id = 1")).collect()}
+    assert x.shape == (2, len(rule_ensemble.STATS)) and tuple(x[0]) in own and list(y) == [1.0, 1.0]
