@@ -93,15 +93,14 @@ def _run(args: dict) -> int:
     existing = existing_below(spark, args["apply"]) if args["apply"] else None
     done = plan_library(files, SOURCES, settings, only=root if mode == "file" else None, existing=existing)
     if args["apply"]:
-        from .plans.effects import carry_out
-        from .plans.output import preflight
+        from .plans.writer import carry_out_groups
 
-        preflight(done.actions, existing)
-        trusted = trusted_union(SOURCES)
-        results = carry_out(done.actions, args["apply"], done.records, lambda url: fetch(url, trusted), keep_going=False)
-        for group, steps, error in results:
+        trusted, wrong = trusted_union(SOURCES), False
+        done = carry_out_groups(done.actions, args["apply"], existing, done.records, lambda url: fetch(url, trusted), keep_going=False, workers=settings.fetch_threads)
+        for group, steps, error in done.orderBy("group_id").toLocalIterator():
             print(json.dumps({"group": group, "steps": steps, "error": error}))
-        return int(any(error for _, _, error in results))
+            wrong = wrong or error is not None
+        return int(wrong)
     for r in done.actions.orderBy("group_id", "step").toJSON().toLocalIterator():
         print(r)
     return 0

@@ -146,15 +146,21 @@ def test_first_failure_ends_a_batch(spark, tmp_path):
 def test_images_are_not_fetched_twice(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.mkv").write_text("v")
-    asked = []
-    monkeypatch.setattr(cli, "fetch", lambda url, trusted: asked.append((url, tuple(trusted))) or b"image")
+    asked = str(tmp_path / "asked")
+
+    def image(url, trusted):  # runs in a worker
+        with open(asked, "a") as f:
+            f.write(f"{url} {trusted}\n")
+        return b"image"
+
+    monkeypatch.setattr(cli, "fetch", image)
     monkeypatch.setattr(cli, "SOURCES", [registry.Source("s", ("https://i.example/",), lambda name, path=None: {"title": "T", "thumb": {"@aspect": None, "@preview": "https://i.example/p.png", "$text": "https://i.example/a.jpg"}})])
     monkeypatch.chdir(tmp_path)
     (tmp_path / "pagequarry.toml").write_text("save-images = true\noutput = '{title}'\npriority-details = ['s', 'nobody']\n")
     (tmp_path / "out").mkdir()
     (tmp_path / "out/T-poster.jpg").write_text("old")
     assert cli.main(["dir", "--apply", str(tmp_path / "out"), str(tmp_path / "in")]) == 0
-    assert asked == [("https://i.example/p.png", ("https://i.example/",))]
+    assert open(asked).read().splitlines() == ["https://i.example/p.png ['https://i.example/']"]
     assert (tmp_path / "out/T-poster.jpg").read_text() == "old" and (tmp_path / "out/T-poster-preview.png").read_text() == "image"
 
 
