@@ -19,9 +19,9 @@ from ..select.xpath import XPath, find_xpath, parse_xpath
 NODE = (
     "struct<node_id:int,parent_id:int,sibling_ord:int,pre:int,post:int,depth:int,kind:string,name:string,ns:string,"
     "attrs:array<struct<name:string,ns:string,value:string>>,text:string,target:string,public_id:string,system_id:string,"
-    "element_ord:int,text_from:int,text_to:int>"
+    "element_ord:int,text_from:int,text_to:int,running:string>"
 )
-PARSED = f"struct<nodes:array<{NODE}>,errors:array<string>,quirks:string,text:string>"
+PARSED = f"struct<nodes:array<{NODE}>,errors:array<string>,quirks:string>"
 
 
 @dataclass(frozen=True)
@@ -182,7 +182,7 @@ def node_rows(tree: Tree) -> list[dict]:
                 "name": None if kind == "processing_instruction" else tree.name[node], "ns": tree.ns[node],
                 "attrs": [{"name": n, "ns": ns, "value": v} for n, ns, v in tree.attrs[node]], "text": tree.text[node],
                 "target": tree.name[node] if kind == "processing_instruction" else None, "public_id": ids[0], "system_id": ids[1],
-                "element_ord": elements[tree.parent[node]] if kind == "element" else None, "text_from": chars, "text_to": chars,
+                "element_ord": elements[tree.parent[node]] if kind == "element" else None, "text_from": chars, "text_to": chars, "running": None,
             }
         )
         if kind == "text":
@@ -194,7 +194,7 @@ def node_rows(tree: Tree) -> list[dict]:
 
 
 def html_parse(html: Column, checked: bool = False) -> Column:
-    """struct(nodes, errors, quirks, text) of each document; null for null. text is all its text nodes in order. checked raises if there are errors."""
+    """struct(nodes, errors, quirks) of each document; null for null. running, of the document's node, is all its text nodes in order. checked raises if there are errors."""
     arrow = _arrow(PARSED)
 
     @F.arrow_udf(PARSED)
@@ -208,7 +208,8 @@ def html_parse(html: Column, checked: bool = False) -> Column:
 
 def _parsed(tree: Tree) -> dict:
     nodes = node_rows(tree)
-    return {"nodes": nodes, "errors": tree.errors, "quirks": tree.quirks, "text": "".join(n["text"] for n in nodes if n["kind"] == "text")}
+    nodes[0]["running"] = "".join(n["text"] for n in nodes if n["kind"] == "text")
+    return {"nodes": nodes, "errors": tree.errors, "quirks": tree.quirks}
 
 
 def _arrow(ddl: str) -> pa.DataType:

@@ -1,8 +1,7 @@
 """A node table that is parsed and written once, and read by tag or class.
 
-Documents are written with their running text and nodes; from there the nodes go, without a
-shuffle, to Parquet files sorted by tag, and the mentions of classes to files sorted by
-class. Readers' filters on name or class reach the files, whose statistics skip what
+Nodes go, without a shuffle, to Parquet files sorted by tag, each document's running text with
+its document node. The mentions of classes go to files sorted by class when a class is first asked for. Readers' filters on name or class reach the files, whose statistics skip what
 has other tags; columns that are not named are not read. Tables stand in the shared folder
 until discard(), so every use of the store shares one parse, and lost executors read
 again instead of parsing again.
@@ -13,14 +12,16 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
 from . import nodes as N
-from .extract import html_parse
+from .extract import html_nodes
 
 _PLACES = ("node_id", "parent_id", "sibling_ord", "element_ord", "pre", "post", "depth", "name", "ns", "text_from", "text_to")
+SMALL_BYTES = 4 << 20  # for each core
 GROUP_BYTES = 8 << 20  # of a row group, so that tags lie in groups of their own
 
 
@@ -41,7 +42,7 @@ class NodeStore:
     @property
     def texts(self) -> DataFrame:
         """doc and text: all text nodes of each document, in order."""
-        return self._read("documents").select(self.doc, "text")
+        return self.nodes.where("kind = 'document'").select(self.doc, F.col("running").alias("text"))
 
     def by_tag(self, *names: str) -> DataFrame:
         wanted = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in n) for n in names]
@@ -49,7 +50,13 @@ class NodeStore:
 
     def by_class(self, name: str) -> DataFrame:
         """Places of the elements of a class, once for each mention of it."""
-        return self._read("classes").where(F.col("class") == name).drop("class")
+        try:
+            mentions = self._read("classes")
+        except AnalysisException:  # not asked for before
+            mentions = self.nodes.where("kind = 'element'").select(F.explode(N.classes()).alias("class"), self.doc, *_PLACES)
+            _write(mentions.sortWithinPartitions("class", self.doc, "pre"), f"{self.path}/classes")
+            mentions = self._read("classes")
+        return mentions.where(F.col("class") == name).drop("class")
 
     def text_content(self, context: DataFrame) -> DataFrame:
         return N.text_content(self.nodes, context, self.doc, self.texts)
@@ -59,16 +66,22 @@ class NodeStore:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """A table too small to fill the cores by its files is dealt to all of them, as parsing costs far more than moving it."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.repartition(cores) if size < cores * SMALL_BYTES else pages
+
+
 def store_nodes(pages: DataFrame, id_col: str, html_col: str) -> NodeStore:
     """Parses pages once. Null pages have no nodes and no text; an empty table gives empty tables; rows that
     share an id share a document's name, so ids must differ where axes are used."""
     spark = pages.sparkSession
     store = NodeStore(spark, f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}", id_col)
-    parsed = pages.select(id_col, html_parse(F.col(html_col)).alias("p")).where("p is not null").select(id_col, "p.text", "p.nodes")
-    parsed.write.parquet(f"{store.path}/documents")
-    nodes = store._read("documents").select(id_col, F.explode("nodes").alias("n")).select(id_col, "n.*")
-    write = lambda df, table: df.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{store.path}/{table}")
-    write(nodes.sortWithinPartitions("name", "kind", id_col, "pre"), "nodes")
-    mentions = store.nodes.where("kind = 'element'").select(F.explode(N.classes()).alias("class"), id_col, *_PLACES)
-    write(mentions.sortWithinPartitions("class", id_col, "pre"), "classes")
+    nodes = html_nodes(_spread(pages.select(id_col, html_col)), id_col, html_col)
+    _write(nodes.sortWithinPartitions("name", "kind", id_col, "pre"), f"{store.path}/nodes")
     return store
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
