@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -207,31 +207,36 @@ def _computed(values: Column, out: Column) -> Column:
 
 def _runs(values: Column, x: Column, before: Column) -> Column:
     """The values after index before, up to index x."""
-    return F.slice(values, before + 2, x - before)
+    return F.when(x - before == 1, F.array(F.get(values, x))).otherwise(F.slice(values, before + 2, x - before))  # slice makes a copy by steps
 
 
 def groups(blocks: DataFrame, ids_b: int) -> DataFrame:
     """doc_id, n_a, n_b, groups (written out) and links (a * ids_b + b for each pair) of each text of the blocks."""
     c, factor = F.col, F.lit(ids_b).cast("long")
     at = lambda ends, held: _computed(held, F.transform(ends, lambda e: F.get(held, e - 1)))
-    before = lambda last, k: F.coalesce(F.get(last, k - 1), F.lit(-1))
+    from_start = lambda last: F.concat(F.array(F.lit(-1)), last)
     out = blocks.withColumn("common", F.array_intersect("ends_a", "ends_b"))
     out = out.withColumns({"held_a": _holder(c("ends_a")), "held_b": _holder(c("ends_b")), "held": _holder(c("common"))})
     out = out.select("docs", "ids_a", "ids_b", at(c("common"), c("held_a")).alias("last_a"), at(c("common"), c("held_b")).alias("last_b"), at(c("word_ends"), c("held")).alias("last"))
+    out = out.withColumns({f"before{n}": from_start(c(f"last{n}")) for n in ("_a", "_b", "")})
 
-    def group(x: Column, k: Column) -> Column:
-        return F.struct(_runs(c("ids_a"), x, before("last_a", k)).alias("a"), _runs(c("ids_b"), F.get("last_b", k), before("last_b", k)).alias("b"))
+    def of_group(one: Callable[[Column, Column], Column], more: Callable[[Column, Column], Column]) -> Column:
+        """For each group what one makes of its ids, if it holds one token of each side, else what more makes of its arrays of ids."""
 
-    out = out.select("docs", "last", F.transform("last_a", group).alias("group"))
-    # written as [{[1, 2], [3]}, {[4], [5]}] by the cast
-    said = F.replace(F.replace(F.replace(c("group").cast("string"), F.lit("]}, {["), F.lit(";")), F.lit("], ["), F.lit("|")), F.lit(", "), F.lit(","))
-    links = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: x * factor + y)))
-    alone = lambda g: F.array(g["a"][0] * factor + g["b"][0])
-    pairs = F.transform("group", lambda g: F.when((F.size(g["a"]) + F.size(g["b"])) == 2, alone(g)).otherwise(links(g)))
-    out = out.select("docs", "last", F.split(F.btrim(said, F.lit("[]{}")), ";").alias("said"), pairs.alias("pairs"))
+        def of(x: Column, k: Column) -> Column:
+            y, a, b = F.get("last_b", k), F.get("before_a", k), F.get("before_b", k)
+            whole = more(_runs(c("ids_a"), x, a), _runs(c("ids_b"), y, b))
+            return F.when((x - a == 1) & (y - b == 1), one(F.get("ids_a", x), F.get("ids_b", y))).otherwise(whole)
 
-    by_word = lambda f: F.transform("last", lambda x, k: f(x, before("last", k)))
-    out = out.select("docs", _computed(c("said"), by_word(lambda x, b: F.array_join(_runs(c("said"), x, b), ";"))).alias("said"), _computed(c("pairs"), by_word(lambda x, b: F.flatten(_runs(c("pairs"), x, b)))).alias("pairs"))
+        return _computed(c("before_a"), _computed(c("before_b"), F.transform("last_a", of)))
+
+    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    said = of_group(lambda a, b: F.concat_ws("|", a.cast("string"), b.cast("string")), lambda a, b: F.concat_ws("|", text(a), text(b)))
+    pairs = of_group(lambda a, b: F.array(a * factor + b), lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * factor + y))))
+    out = out.select("docs", "last", "before", said.alias("said"), pairs.alias("pairs"))
+
+    by_word = lambda v, join: _computed(v, _computed(c("before"), F.transform("last", lambda x, k: F.when(x - F.get("before", k) == 1, F.get(v, x)).otherwise(join(F.slice(v, F.get("before", k) + 2, x - F.get("before", k)))))))
+    out = out.select("docs", by_word(c("said"), lambda v: F.array_join(v, ";")).alias("said"), by_word(c("pairs"), F.flatten).alias("pairs"))
     of = lambda d, v: F.transform(d["words"], lambda w: F.get(v, w))
     each = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(of(d, "said"), ";").alias("groups"), F.flatten(of(d, "pairs")).alias("links")))
     return out.select(F.inline(each))
