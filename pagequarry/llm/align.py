@@ -274,12 +274,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     counts = materialize(link_counts(linked, size_b))
     least = _frequent(counts)
     frequent, rare = F.broadcast(counts.where(c("n") >= least)), counts.where(c("n") < least)
-    own = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     total = lambda v, name: F.sum(F.coalesce(v, F.lit(0))).alias(name)
-    out = linked.select(*own, F.explode_outer("links").alias("link")).join(frequent, "link", "left").groupBy(*own).agg(total("best", "n_best"), total("n", "count_sum"))
+    sums = linked.select("row", F.explode("links").alias("link")).join(frequent, "link", "left").groupBy("row").agg(total("best", "n_best"), total("n", "count_sum"))
     if not rare.isEmpty():
         rest = linked.select("row", F.explode("links").alias("link")).join(frequent, "link", "left_anti").join(rare, "link")
-        rest = rest.groupBy("row").agg(F.sum("best").alias("more_best"), F.sum("n").alias("more_sum"))
-        more = lambda a, b: (c(a) + F.coalesce(b, F.lit(0))).alias(a)
-        out = out.join(rest, "row", "left").select("doc_id", *own[2:], more("n_best", "more_best"), more("count_sum", "more_sum"))
+        sums = sums.unionByName(rest.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")))
+        sums = sums.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    out = linked.drop("links").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
