@@ -22,6 +22,7 @@ from .plans.output import conflicts, targets, without_present
 from .queries import _FILES, _files, _subtitles, _t, query
 from .sources.files import depth_under
 from .sources.registry import Source, run_sources
+from .sources.tables import dealt
 from .streaming.watch import relevant, shared_folder, watch
 
 # A page for each part; every part of it is known to SQL by construction.
@@ -29,18 +30,19 @@ from .streaming.watch import relevant, shared_folder, watch
 _N = "(p_partkey % 4 + 1)"
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cards(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     items = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("p_partkey") % 4 + 1).cast("int")), lambda i: F.concat(F.lit('<li n="'), i.cast("string"), F.lit('">v'), i.cast("string"), F.lit("</li>"))), "")
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>"), "p_name", F.lit('</title></head><body id="b'), k, F.lit('"><div id="d'), k, F.lit('" class="card  '), "p_type", F.lit(' big" data-size="'), F.col("p_size").cast("string"),
         F.lit('" aria-label="'), "p_brand", F.lit('"><h2>A &amp; &lt;'), "p_name", F.lit("></h2>text<!--c"), k, F.lit("--><ul>"), items, F.lit('</ul><p>one</p><p title="a &quot;b&quot;">two</p><br></div></body></html>'),
     )
-    return _t(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+    part = _t(spark, sf_dir, "part")
+    return (dealt(part) if deal else part).select("p_partkey", html.alias("html"))
 
 
 def _counted(spark: SparkSession, sf_dir: str, fields: dict) -> DataFrame:
-    x = _cards(spark, sf_dir).select("p_partkey", extract(F.col("html"), {n: s.node_id() for n, s in fields.items()}).alias("x"))
+    x = _cards(spark, sf_dir, True).select("p_partkey", extract(F.col("html"), {n: s.node_id() for n, s in fields.items()}).alias("x"))
     return x.select("p_partkey", *[F.size(F.col(f"x.{n}")).cast("long").alias(n) for n in fields])
 
 
