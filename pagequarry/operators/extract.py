@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -15,12 +16,15 @@ from ..html.serialize import inner_html, outer_html
 from ..html.tree import Tree, ascii_lower, tokens
 from ..select.css import Selector, find_css, parse_css
 from ..select.xpath import XPath, find_xpath, parse_xpath
+from ..sources.tables import dealt
 
 NODE = (
     "struct<node_id:int,parent_id:int,sibling_ord:int,pre:int,post:int,depth:int,kind:string,name:string,ns:string,"
     "attrs:array<struct<name:string,ns:string,value:string>>,text:string,target:string,public_id:string,system_id:string,"
     "element_ord:int,text_from:int,text_to:int,running:string>"
 )
+SLICE_PAGES = 128  # that are held as nodes at once
+SLICE_NODES = 8192  # of a batch of the node table, a document more at most
 PARSED = f"struct<nodes:array<{NODE}>,errors:array<string>,quirks:string>"
 
 
@@ -200,8 +204,13 @@ def html_parse(html: Column, checked: bool = False) -> Column:
     @F.arrow_udf(PARSED)
     def run(pages: pa.Array) -> pa.Array:
         read = parse_checked if checked else parse
-        trees = [None if p is None else read(p) for p in pages.to_pylist()]
-        return pa.array([None if t is None else _parsed(t) for t in trees], arrow)
+
+        def told(part: pa.Array) -> pa.Array:
+            return pa.array([None if p is None else _parsed(read(p)) for p in part.to_pylist()], arrow)
+
+        # Rows of nodes as Python values take many times their size in Arrow, so a batch is told in parts.
+        parts = [told(pages.slice(k, SLICE_PAGES)) for k in range(0, len(pages), SLICE_PAGES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
     return run(html)
 
@@ -218,7 +227,81 @@ def _arrow(ddl: str) -> pa.DataType:
     return to_arrow_type(T.DataType.fromDDL(ddl))
 
 
+class _Nodes:
+    """Columns of NODE for the nodes of several documents, as node_rows() tells them."""
+
+    def __init__(self):
+        self.pages: list[int] = []
+        self.cols: dict[str, list] = {n: [] for n in ("node_id", "parent_id", "sibling_ord", "pre", "post", "depth", "kind", "name", "ns", "text", "target", "public_id", "system_id", "element_ord", "text_from", "text_to", "running")}
+        self.offsets, self.attrs = [0], ([], [], [])
+
+    def add(self, page: int, tree: Tree) -> None:
+        c, base = self.cols, len(self.pages)
+        names, spaces, values = self.attrs
+        post, text_to, pre = c["post"], c["text_to"], 0
+        out = [c[n].append for n in c]
+        stack: list[tuple[int, int, int, bool]] = [(0, 0, 0, False)]
+        left = chars = 0
+        elements: dict[int | None, int] = {}
+        texts: list[str] = []
+        while stack:
+            node, order, depth, done = stack.pop()
+            if done:  # node is its place here
+                post[node], text_to[node] = left, chars
+                left += 1
+                continue
+            kind, parent, ids, at = tree.kind[node], tree.parent[node], tree.ids[node] or (None, None), None
+            if kind == "element":
+                at = elements[parent] = elements.get(parent, -1) + 1
+            instruction, text = kind == "processing_instruction", tree.text[node]
+            row = (node, parent, order, pre, 0, depth, kind, None if instruction else tree.name[node], tree.ns[node], text, tree.name[node] if instruction else None, *ids, at, chars, chars, None)
+            for put, value in zip(out, row):
+                put(value)
+            for n, ns, v in tree.attrs[node]:
+                names.append(n)
+                spaces.append(ns)
+                values.append(v)
+            self.offsets.append(len(names))
+            self.pages.append(page)
+            if kind == "text":
+                texts.append(text)
+                chars += len(text)
+            own = tree.children[node]
+            if own:
+                stack.append((base + pre, 0, 0, True))
+                stack += [(own[k], k, depth + 1, False) for k in range(len(own) - 1, -1, -1)]
+            else:
+                post[base + pre], text_to[base + pre] = left, chars
+                left += 1
+            pre += 1
+        c["running"][base] = "".join(texts)
+
+    def batch(self, ids: pa.Array, id_name: str, kind: pa.StructType) -> pa.RecordBatch:
+        own = kind.field("attrs").type
+        attrs = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in self.attrs], fields=list(own.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), attrs, type=own)
+        cols = [lists if f.name == "attrs" else pa.array(self.cols[f.name], f.type) for f in kind]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(self.pages, pa.int64())), *cols], [id_name, *[f.name for f in kind]])
+
+
+def node_batches(batches: Iterator[pa.RecordBatch], kind: pa.StructType) -> Iterator[pa.RecordBatch]:
+    """The node table of batches of an id and a page, in batches of SLICE_NODES and the rest of a document at most."""
+    for batch in batches:
+        held = _Nodes()
+        for k, page in enumerate(batch.column(1)):
+            if page.is_valid:
+                held.add(k, parse(page.as_py()))
+            if len(held.pages) >= SLICE_NODES:
+                yield held.batch(batch.column(0), batch.schema.names[0], kind)
+                held = _Nodes()
+        if held.pages:
+            yield held.batch(batch.column(0), batch.schema.names[0], kind)
+
+
 def html_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """The node table: the id and the fields of NODE for every node of every page; null pages have none."""
-    parsed = pages.select(id_col, F.explode(html_parse(F.col(html_col))["nodes"]).alias("n"))
-    return parsed.select(id_col, "n.*")
+    """The node table: the id and the fields of NODE for every node of every page; null pages have none.
+
+    Pages are dealt to all cores, and a task holds few documents' nodes at a time, however many pages it has (node_batches)."""
+    kind = _arrow(NODE)
+    pages = pages.select(id_col, html_col)
+    return dealt(pages).mapInArrow(lambda batches: node_batches(batches, kind), T.StructType([pages.schema[id_col], *T.DataType.fromDDL(NODE).fields]))
