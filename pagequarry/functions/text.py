@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,11 @@ VIDEO_EXTENSIONS = ("mkv", "mp4", "avi", "mov", "m4v", "wmv", "flv", "webm", "ts
 SUBTITLE_EXTENSIONS = ("srt", "ass", "ssa", "vtt", "sub", "idx", "sup")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once for each row however often it is used: it is the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-cases A to Z only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

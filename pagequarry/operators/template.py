@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import TemplateError, UnknownFieldError
-from ..functions.text import ascii_lower, blank_to_null, number_text, sanitize_component, trim_u
+from ..functions.text import ascii_lower, blank_to_null, number_text, once, sanitize_component, trim_u
 
 SCALARS = ("title", "originaltitle", "sorttitle", "year", "premiered", "runtime", "director", "studio", "tagline", "plot", "outline", "fileinfo", "trailer", "dateadded")
 LISTS = ("genre", "tag", "country", "credits")  # in the order in which their values are tried
@@ -134,15 +134,18 @@ ACTORS = "array<struct<name:string,role:string,gender:string,order:bigint>>"
 def resolve_path(rendered: Column, template: str) -> Column:
     """The rendered text as a path: absolute if it begins with /, each segment made safe; raises if one cannot be."""
     bad = lambda why: F.raise_error(F.lit(f"template {template!r}: {why}"))
-    text = trim_u(rendered)
-    parts = F.transform(F.filter(F.split(text, "/"), lambda s: s != ""), sanitize_component)
-    joined = F.concat(F.when(F.startswith(text, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
-    return (
-        F.when((text == "") | (F.size(parts) == 0), bad("empty path"))
-        .when(F.array_contains(parts, ""), bad("empty segment"))
-        .when(F.array_contains(parts, ".") | F.array_contains(parts, ".."), bad("relative segment"))
-        .otherwise(joined)
-    )
+
+    def joined(x: Column) -> Column:
+        text, parts = x["text"], x["parts"]
+        return (
+            F.when((text == "") | (F.size(parts) == 0), bad("empty path"))
+            .when(F.array_contains(parts, ""), bad("empty segment"))
+            .when(F.array_contains(parts, ".") | F.array_contains(parts, ".."), bad("relative segment"))
+            .otherwise(F.concat(F.when(F.startswith(text, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/")))
+        )
+
+    cut = lambda text: F.struct(text.alias("text"), F.transform(F.filter(F.split(text, "/"), lambda s: s != ""), sanitize_component).alias("parts"))
+    return once(once(trim_u(rendered), cut), joined)
 
 
 def output_paths(template: str, movie: Column, fallback: Column) -> Column:
@@ -168,9 +171,8 @@ def output_paths(template: str, movie: Column, fallback: Column) -> Column:
         every = over(lists, None, {})
     kept = F.filter(every, lambda r: r.isNotNull() & (trim_u(r) != ""))
     paths = F.array_distinct(F.transform(kept, lambda r: resolve_path(r, template)))
-    whole = render(template, movie)
-    plain = F.when(whole.isNull() | (trim_u(whole) == ""), fallback).otherwise(whole)
-    return F.when(F.size(paths) > 0, paths).otherwise(F.array(resolve_path(plain, template)))
+    plain = once(render(template, movie), lambda whole: F.when(whole.isNull() | (trim_u(whole) == ""), fallback).otherwise(whole))
+    return once(paths, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(resolve_path(plain, template))))
 
 
 def build_name(base: Column, extension: Column) -> Column:

@@ -22,6 +22,7 @@ from .operators.subtitles import match_subtitles
 from .operators.template import output_paths
 from .operators.translate import translate_movies
 from .plans.output import actions, outputs, targets
+from .sources.tables import dealt
 from .streaming.watch import shared_folder, watch
 
 QUERIES: dict = {}
@@ -376,7 +377,7 @@ def record_mapping(spark, sf_dir):
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array(F.struct(F.lit("local").alias("@type"), F.lit(True).alias("@default"), F.col("p_partkey").cast("string").alias("$text")))
     record = movie(title=F.concat("p_name", F.lit("/"), "p_brand"), year=F.col("p_size") + 1950, genre=F.array("p_type", F.lit("All")), userrating=(F.col("p_size") / 10), uniqueid=ids)
-    return _t(spark, sf_dir, "part").select("p_partkey", record.alias("movie"))
+    return dealt(_t(spark, sf_dir, "part")).select("p_partkey", record.alias("movie"))
 
 
 @query(
@@ -385,7 +386,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def template_paths(spark, sf_dir):
     paths = output_paths("{genre}/{title} ({year})/{uniqueid.local}", F.col("movie"), F.lit("x"))
-    return _records(spark, sf_dir).select("p_partkey", F.posexplode(paths).alias("ord", "path"))
+    return _records(spark, sf_dir).select("p_partkey", F.posexplode_outer(paths).alias("ord", "path"))  # there is always one
 
 
 @query(
