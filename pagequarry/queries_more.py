@@ -255,8 +255,8 @@ def actor_template(spark, sf_dir):
     """An actor who passes all filters stands for all actor fields of a path."""
     record = movie(title=F.col("p_name"), actor=_actors(("Ann", "lead", "f"), ("Bob", None, "m"), ("Cy", "x", "F")))
     both, one = (output_paths(t, record, F.lit("none")) for t in ("{actor.name[gender='f']} - {title}", "{actor.name[gender='f']} - {title}/{actor.gender[name=ann]}"))
-    part = _t(spark, sf_dir, "part")
-    return part.select("p_partkey", F.lit("both").alias("template"), F.posexplode(both).alias("ord", "path")).unionByName(part.select("p_partkey", F.lit("one").alias("template"), F.posexplode(one).alias("ord", "path")))
+    part = dealt(_t(spark, sf_dir, "part"))
+    return part.select("p_partkey", F.lit("both").alias("template"), F.posexplode_outer(both).alias("ord", "path")).unionByName(part.select("p_partkey", F.lit("one").alias("template"), F.posexplode_outer(one).alias("ord", "path")))
 
 
 @query(
