@@ -18,7 +18,8 @@ def outputs(movies: DataFrame, template: str, strategy: str = "first", id_col: s
         raise PlanError(f"unknown strategy {strategy!r}; expected one of {', '.join(STRATEGIES)}")
     paths = output_paths(template, F.col(movie_col), F.col(fallback_col))
     paths = F.slice(paths, 1, 1) if strategy == "first" else paths
-    rows = movies.select(id_col, F.posexplode(paths).alias("output_ord", "path"))
+    # There is always a path; from an inner explode Spark would infer a filter, which works out all paths once more.
+    rows = movies.select(id_col, F.posexplode_outer(paths).alias("output_ord", "path"))
     return rows.select(id_col, "output_ord", parent_dir(F.col("path")).alias("dir"), file_name(F.col("path")).alias("file_base"))
 
 
