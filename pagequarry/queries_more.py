@@ -75,7 +75,7 @@ def xpath_nearest(spark, sf_dir):
         "nearest": xpath("//br/preceding-sibling::*[1]").text().first(), "first": xpath("//ul/li[1]").text().first(), "kind_text": xpath("//div/text()").text().first(), "tag": xpath("//li/parent::*").tag().first(), "classes": css("div").classes().first(),
         "comment": xpath("//div/comment()").text().first(),
     }
-    return _cards(spark, sf_dir).select("p_partkey", extract(F.col("html"), fields).alias("x")).select("p_partkey", "x.*")
+    return _cards(spark, sf_dir, True).select("p_partkey", extract(F.col("html"), fields).alias("x")).select("p_partkey", "x.*")
 
 
 @query(
