@@ -370,7 +370,7 @@ def value_mapping(spark, sf_dir):
 )
 def record_mapping(spark, sf_dir):
     record = movie(genre=F.array("p_type", F.lit(" Extra"), F.lower("p_type")), studio=F.concat("p_brand", F.lit(" ")))
-    part = _t(spark, sf_dir, "part").select("p_partkey", map_movies(record, Mapper([_MAPPING])).alias("m"))
+    part = dealt(_t(spark, sf_dir, "part")).select("p_partkey", map_movies(record, Mapper([_MAPPING])).alias("m"))
     return part.select("p_partkey", F.array_join("m.genre", "|").alias("genre"), F.col("m.studio").alias("studio"))
 
 

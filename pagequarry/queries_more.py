@@ -241,7 +241,7 @@ def _actors(*rows):
 def actor_mapping(spark, sf_dir):
     rules = "node,to,from\nactor,Bob,bobby,robert\nactor.role,Hero,lead\nactor.gender,m,male\n"
     record = movie(title=F.lit("t"), tag=F.array(F.lit("a"), F.lit("b")), actor=_actors(("Bobby", "lead", None), (F.col("p_brand"), None, None), (" ROBERT ", "other", "male"), (None, "LEAD", None), (" ", "x", None)))
-    mapped = _t(spark, sf_dir, "part").select("p_partkey", map_movies(record, Mapper([rules])).alias("m"), map_movies(record, Mapper([])).alias("same"))
+    mapped = dealt(_t(spark, sf_dir, "part")).select("p_partkey", map_movies(record, Mapper([rules])).alias("m"), map_movies(record, Mapper([])).alias("same"))
     told = lambda c: F.coalesce(c, F.lit("null"))
     shown = F.transform("m.actor", lambda a: F.concat_ws(":", a["order"].cast("string"), told(a["name"]), told(a["role"]), told(a["gender"])))
     return mapped.select("p_partkey", F.array_join(shown, "|").alias("actors"), F.array_join("same.tag", "|").alias("untouched"))
