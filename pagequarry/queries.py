@@ -413,8 +413,8 @@ def output_plan(spark, sf_dir):
     SELECT page_id, ord, 'p-fanart' || CASE WHEN f = 0 THEN '' ELSE '-' || (f + 1) END || '.jpg' AS file_name FROM (SELECT *, min(ord) OVER (PARTITION BY page_id, url) AS f FROM l)"""
 )
 def image_names(spark, sf_dir):
-    found = _t(spark, sf_dir, "pages").select("page_id", extract(F.col("html"), {"u": css("nav a").attr("href").all()})["u"].alias("u"))
-    images = found.select("page_id", F.posexplode("u").alias("ord", "href"), F.lit("p").alias("base"))
+    found = dealt(_t(spark, sf_dir, "pages")).select("page_id", extract(F.col("html"), {"u": css("nav a").attr("href").all()})["u"].alias("u"))
+    images = found.select("page_id", F.posexplode_outer("u").alias("ord", "href"), F.lit("p").alias("base")).where("ord is not null")
     role = F.when(F.col("ord") == 0, "fanart").otherwise(F.concat(F.lit("fanart-"), (F.col("ord") + 1).cast("string")))
     images = images.select("page_id", F.col("ord").cast("long").alias("ord"), role.alias("role"), F.concat(F.lit("https://h"), "href").alias("url"), "base")
     return name_images(images, id_col="page_id").select("page_id", "ord", "file_name")
