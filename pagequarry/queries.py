@@ -56,7 +56,7 @@ def _plain(sql: str) -> str:
 
 
 def _page_field(name: str, spec, spark: SparkSession, sf_dir: str, table_cols=("page_id",)) -> DataFrame:
-    pages = _t(spark, sf_dir, "pages")
+    pages = dealt(_t(spark, sf_dir, "pages"))
     return pages.select(*table_cols, extract(F.col("html"), {name: spec})[name].alias(name))
 
 
@@ -77,8 +77,8 @@ def page_headings(spark, sf_dir):
 )
 def page_links(spark, sf_dir):
     links = css("nav ul li a[href]")
-    pages = _t(spark, sf_dir, "pages").select("page_id", extract(F.col("html"), {"href": links.attr("href").all(), "label": links.text().all()}).alias("x"))
-    return pages.select("page_id", F.posexplode(F.arrays_zip("x.href", "x.label")).alias("pos", "l")).select("page_id", F.col("pos").cast("long").alias("pos"), "l.href", "l.label")
+    pages = dealt(_t(spark, sf_dir, "pages")).select("page_id", extract(F.col("html"), {"href": links.attr("href").all(), "label": links.text().all()}).alias("x"))
+    return pages.select("page_id", F.posexplode_outer(F.arrays_zip("x.href", "x.label")).alias("pos", "l")).where("pos is not null").select("page_id", F.col("pos").cast("long").alias("pos"), "l.href", "l.label")
 
 
 @query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""")
@@ -101,7 +101,7 @@ def page_ads_xpath(spark, sf_dir):
 
 @query("SELECT page_id, c AS comment FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS c FROM pages)")
 def page_comments(spark, sf_dir):
-    return _page_field("comment", xpath("//comment()").text().all(), spark, sf_dir).select("page_id", F.explode("comment").alias("comment"))
+    return _page_field("comment", xpath("//comment()").text().all(), spark, sf_dir).select("page_id", F.posexplode_outer("comment").alias("pos", "comment")).where("pos is not null").select("page_id", "comment")
 
 
 @query(f"SELECT page_id, {_plain("regexp_replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '<[^>]*>', '', 'g')")} AS footer FROM pages")
@@ -117,7 +117,7 @@ def page_scripts(spark, sf_dir):
 @query(f"""SELECT page_id, {_plain("regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)[2]")} AS by_path, by_path AS by_selector FROM pages""")
 def nth_nav_item(spark, sf_dir):
     fields = {"by_path": xpath("//nav/ul/li[2]/a").text().first(), "by_selector": css("nav li:nth-child(2) > a").text().first()}
-    return _t(spark, sf_dir, "pages").select("page_id", extract(F.col("html"), fields).alias("x")).select("page_id", "x.*")
+    return dealt(_t(spark, sf_dir, "pages")).select("page_id", extract(F.col("html"), fields).alias("x")).select("page_id", "x.*")
 
 
 @query(
@@ -126,7 +126,7 @@ def nth_nav_item(spark, sf_dir):
 )
 def attr_predicates(spark, sf_dir):
     fields = {"rooted": xpath("//nav//a[starts-with(@href, '/')]").node_id(), "ads": xpath("//div[@class = 'ad']").node_id(), "charsets": xpath("//meta[@charset]").node_id()}
-    x = _t(spark, sf_dir, "pages").select("page_id", extract(F.col("html"), fields).alias("x"))
+    x = dealt(_t(spark, sf_dir, "pages")).select("page_id", extract(F.col("html"), fields).alias("x"))
     return x.select("page_id", *[F.size(F.col(f"x.{n}")).cast("long").alias(n) for n in fields])
 
 
