@@ -376,7 +376,7 @@ def watch_retries(spark, sf_dir):
     """Files that are there at the start are ready at once; one that fails waits, is ready again, and is done until it goes."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     where = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(_t(spark, sf_dir, "customer").schema).parquet(f"{sf_dir}/custome[r].parquet")  # a pattern, as a stream of a lone file is refused
+    stream = spark.readStream.schema(_t(spark, sf_dir, "customer").schema).parquet(f"{sf_dir}/custome[r].parquet").repartition(spark.sparkContext.defaultParallelism)  # a pattern, as a stream of a lone file is refused
     moments = (("startup", 0), ("modify", 1000), ("failed", 2000), ("access", 3000), ("modify", 4000), ("modify", 9000), ("done", 9500), ("modify", 20000), ("remove", 21000))
     event = lambda path, kind, at: F.struct(path.alias("path"), F.lit(kind).alias("kind"), F.col("c_custkey").alias("length"), (F.col("c_custkey") * 1000000 + at).alias("at_ms"))
     path = lambda before, after: F.concat(F.lit(before), F.col("c_custkey").cast("string"), F.lit(after))

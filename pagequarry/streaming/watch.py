@@ -10,9 +10,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -71,20 +69,17 @@ class _Watch(StatefulProcessor):
         self.handle = handle
         self.file = handle.getValueState("file", _STATE)
 
-    def _rows(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=["path", "status", "length", "at_ms"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         path, out = key[0], []
-        # Of a path's events in a batch only three short numbers each are held, as chunks come in any order.
+        # Of a path's events in a batch only three short numbers each are held, as they come in any order.
         at_ms, kinds, lengths = array("q"), array("b"), array("q")
-        for chunk in rows:
-            at_ms.extend(chunk["at_ms"].astype("int64"))
-            kinds.extend(chunk["kind"].map(_KINDS.index))
-            lengths.extend(chunk["length"].fillna(-1).astype("int64"))
-        state = tuple(self.file.get()) if self.file.exists() else None
-        for k in np.argsort(np.frombuffer(at_ms, np.int64), kind="stable"):
+        for row in rows:
+            at_ms.append(row["at_ms"])
+            kinds.append(_KINDS.index(row["kind"]))
+            lengths.append(-1 if row["length"] is None else row["length"])
+        had = self.file.get()  # None without one; each question to the state is a message, so it is asked once
+        state = tuple(had) if had is not None else None
+        for k in sorted(range(len(at_ms)), key=at_ms.__getitem__):
             at, kind, length = at_ms[k], _KINDS[kinds[k]], None if lengths[k] < 0 else lengths[k]
             if self.tick_by_events and state and not state[3] and due(state) <= at:
                 out.append((path, "ready", state[0], due(state)))
@@ -93,21 +88,23 @@ class _Watch(StatefulProcessor):
             if told:
                 out.append((path, told, state[0] if state else 0, at))
         if state is None:
-            self.file.clear()
+            if had is not None:
+                self.file.clear()
         else:
-            self.file.update(state)
+            if had is None or state != tuple(had):
+                self.file.update(state)
             if not self.tick_by_events and not state[3]:
                 now = int(timerValues.getCurrentProcessingTimeInMs())
                 self.handle.registerTimer(max(now + 1, due(state)))
-        yield from self._rows(out)
+        yield from (Row(path=p, status=s, length=n, at_ms=at) for p, s, n, at in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.file.exists():
             state = tuple(self.file.get())
             now = int(expiredTimerInfo.getExpiryTimeInMs())
             if not state[3] and due(state) <= now:
                 self.file.update((*state[:3], True))
-                yield from self._rows([(key[0], "ready", state[0], now)])
+                yield Row(path=key[0], status="ready", length=state[0], at_ms=now)
 
     def close(self) -> None:
         pass
@@ -121,7 +118,7 @@ def watch(events: DataFrame, tick_by_events: bool = False) -> DataFrame:
     first later event of its own, so a replay gives the same rows each time. Otherwise a
     processing-time timer fires. Needs the RocksDB state store.
     """
-    return events.groupBy("path").transformWithStateInPandas(
+    return events.groupBy("path").transformWithState(
         statefulProcessor=_Watch(tick_by_events), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if tick_by_events else "ProcessingTime"
     )
 
