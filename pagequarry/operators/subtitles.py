@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.languages import language_prefix
-from ..functions.text import ascii_lower, file_name, file_stem, is_subtitle, parent_dir
+from ..functions.text import ascii_lower, file_name, file_stem, is_subtitle, once, parent_dir
 from .parts import has_split_marker
 
 # Words of encodings, which names may leave out.
@@ -69,12 +69,13 @@ def subtitle_suffix(video_stem: Column, subtitle_stem: Column) -> Column:
 
 
 def _meeting(stem: Column, words: Column, video: bool) -> Column:
-    """Keys that two names share if suffix_of() can relate them: all words of one are the first of the other's."""
+    """Keys that two names share if suffix_of() can relate them: all words of one are the first of the other's. Names without words share their stem."""
     lower = F.transform(words, lambda v: F.transform(v, F.lower))
     full = F.transform(lower, lambda v: F.array_join(v, " "))
     firsts = F.flatten(F.transform(lower, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda k: F.array_join(F.slice(v, 1, k), " "))))
     tagged = lambda sign, of: F.transform(of, lambda x: F.concat(F.lit(sign), x))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), stem)), tagged("v", full if video else firsts), tagged("s", firsts if video else full)))
+    plain = F.when(F.size(words) == 0, F.array(F.concat(F.lit("="), stem))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(plain, tagged("v", full if video else firsts), tagged("s", firsts if video else full)))
 
 
 def match_subtitles(groups: DataFrame, files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -86,18 +87,21 @@ def match_subtitles(groups: DataFrame, files: DataFrame, path_col: str = "path")
     related names share, so a directory of many files costs its matches, not its pairs.
     """
     path = F.col(path_col)
-    subs = files.where(is_subtitle(path)).select(parent_dir(path).alias("dir"), path.alias("path"), file_stem(path).alias("sub_stem"), ascii_lower(file_name(path)).alias("low")).distinct()
-    subs = subs.withColumn("sub_words", variants(F.col("sub_stem"))).withColumn("marked", has_split_marker(F.col("sub_stem")))
+    subs = files.where(is_subtitle(path)).select(parent_dir(path).alias("dir"), path.alias("path"), file_stem(path).alias("sub_stem")).distinct().withColumn("marked", has_split_marker(F.col("sub_stem")))
     split = F.size("parts") > 1
     part = groups.select("group_id", split.alias("split"), F.posexplode("parts").alias("rank", "p"))
     part = part.select("group_id", "split", F.col("rank"), F.lit(0).alias("level"), parent_dir(F.col("p.path")).alias("dir"), F.col("p.input_stem").alias("stem"), F.col("p.output_suffix").alias("part_base"))
     whole = groups.select("group_id", split.alias("split"), F.lit(0).alias("rank"), F.lit(1).alias("level"), parent_dir(F.col("group_id")).alias("dir"), F.col("input_stem").alias("stem"), F.lit("").alias("part_base"))
-    sides = part.unionByName(whole).withColumn("words", variants(F.col("stem")))
+    # A name has many keys, so a key goes as its hash and without lists of words; directory and words are compared in full where hashes meet.
+    keys = lambda df, stem, video: df.withColumn("word", F.explode_outer(once(variants(F.col(stem)), lambda words: _meeting(F.col(stem), words, video)))).withColumn("key", F.xxhash64("dir", "word")).drop("word")
     fits = F.when(F.col("level") == 0, ~F.col("split") | F.col("marked")).otherwise(~F.col("marked"))
-    keys = lambda df, name, video: df.withColumn("key", F.explode_outer(_meeting(F.col(name), F.col("words" if video else "sub_words"), video)))
-    met = keys(sides, "stem", True).join(keys(subs, "sub_stem", False), ["dir", "key"]).where(fits).withColumn("suffix", F.when(F.col("stem") == F.col("sub_stem"), "").otherwise(suffix_of(F.col("words"), F.col("sub_words")))).where("suffix is not null")
-    # A pair that meets by several keys counts once, too.
-    first = Window.partitionBy("group_id", "path").orderBy("level", "rank")
-    met = met.withColumn("n", F.row_number().over(first)).where("n = 1")
-    key = F.when(F.col("level") == 0, F.concat(F.lit("0:"), "low", F.lit(":"), "part_base")).otherwise(F.concat(F.lit("1:"), "low"))
+    name = file_name(F.col("path"))
+    here = (F.concat("dir", F.lit("/"), name) == F.col("path")) | ((F.col("dir") == "") & (name == F.col("path")))
+    met = keys(part.unionByName(whole), "stem", True).join(keys(subs, "sub_stem", False).drop("dir"), "key").where(here & fits)
+    met = met.select("group_id", "path", "level", "rank", "part_base", subtitle_suffix(F.col("stem"), F.col("sub_stem")).alias("suffix"))
+    # A pair that meets by several keys counts once, too; pairs that are none come last, as a filter before would work out suffixes once more.
+    first = Window.partitionBy("group_id", "path").orderBy(F.col("suffix").isNull(), "level", "rank")
+    met = met.withColumn("n", F.row_number().over(first)).where("n = 1 and suffix is not null")
+    low = ascii_lower(file_name(F.col("path")))
+    key = F.when(F.col("level") == 0, F.concat(F.lit("0:"), low, F.lit(":"), "part_base")).otherwise(F.concat(F.lit("1:"), low))
     return met.select("group_id", "path", F.concat("part_base", "suffix").alias("target_base"), key.alias("sort_key"))

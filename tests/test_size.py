@@ -62,6 +62,8 @@ def test_subtitles_meet_by_hashes(spark):
     files = spark.createDataFrame([(p,) for p in ("/a/One 1999.mkv", "/a/One.zh.srt", "/b/One.zh.srt", "/a/one.1080p.srt", "/a/On.srt")], "path string")
     met = match_subtitles(group_video_inputs(files), files)
     assert sorted((r.path, r.target_base) for r in met.collect()) == [("/a/One.zh.srt", ".zh-CN"), ("/a/one.1080p.srt", "")]
+    odd = spark.createDataFrame([(p,) for p in ("/a/!!.mkv", "/a/!!.srt", "/a/--.srt", "/b/!!.srt")], "path string")
+    assert [(r.path, r.target_base) for r in match_subtitles(group_video_inputs(odd), odd).collect()] == [("/a/!!.srt", "")]  # no words at all
     assert "words#" not in met._jdf.queryExecution().executedPlan().toString()  # no lists of words are moved
 
 
