@@ -6,6 +6,7 @@ from collections.abc import Callable
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -312,10 +313,25 @@ def _plain(v) -> str:
     return v if isinstance(v, str) else _number(v)
 
 
+def _told(values: pa.Array) -> bool:
+    """Whether any row has a value that is neither null nor an empty list."""
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        return bool(pc.sum(pc.list_value_length(values)).as_py())
+    return values.null_count < len(values)
+
+
+def nfo_texts(rows: pa.StructArray) -> pa.Array:
+    """nfo_text of each record; fields that no row tells are left out before they become Python values, as most are of most records."""
+    told = [(f.name, values.to_pylist()) for f, values in zip(rows.type, rows.flatten()) if _told(values)]
+    names, columns = [n for n, _ in told], [v for _, v in told]
+    records = zip(*columns) if columns else [()] * len(rows)
+    return pa.array([nfo_text(dict(zip(names, r))) if ok else None for ok, r in zip(rows.is_valid().to_pylist(), records)], pa.string())
+
+
 def to_nfo(record: Column) -> Column:
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else nfo_text(r) for r in rows.to_pylist()], pa.string())
+        return nfo_texts(rows)
 
     return run(record)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pagequarry.html.parser import parse
 from pagequarry.operators import extract as E
+from pagequarry.operators import movie as M
 from pagequarry.operators.parts import group_video_inputs
 from pagequarry.operators.subtitles import match_subtitles
 from pagequarry.sources.tables import dealt
@@ -74,3 +75,17 @@ def test_parser_reads_plain_and_odd_tags_alike():
         text = "<!DOCTYPE html>" + "".join(rnd.choice(bits) for _ in range(8))
         tree, slow = parse(text), parse(text.replace("<", "<", 1).replace('="1"', "='1'").replace('="2"', "='2'"))
         assert (tree.kind, tree.name, tree.attrs, tree.children, tree.errors) == (slow.kind, slow.name, slow.attrs, slow.children, slow.errors)
+
+
+def test_xml_texts_read_only_fields_that_are_told(spark, monkeypatch):
+    thumb = {"@aspect": None, "@preview": 'p"', "$text": "a & b"}
+    some = {"title": "A <b>", "year": 1999, "userrating": 7.25, "genre": ["x", None, "y"], "uniqueid": [{"@type": "t", "@default": True, "$text": "1"}], "ratings": {"rating": []}, "fanart": {"thumb": [thumb]}}
+    rows = [some, None, {}, {"genre": [], "thumb": {}}, {"title": "", "tag": [None]}, {"set": {"name": None, "overview": "o"}, "thumb": thumb, "votes": 1}]
+    kind = M._arrow(M.MOVIE)
+    for part in (rows, rows[1:4], rows[1:2], rows[:1], []):
+        values = pa.array(part, kind)
+        assert M.nfo_texts(values).to_pylist() == [None if r is None else M.nfo_text(r) for r in values.to_pylist()]
+    seen = []
+    monkeypatch.setattr(M, "nfo_text", lambda r: seen.append(set(r)) or "")
+    M.nfo_texts(pa.array(rows[2:5], kind))
+    assert seen == [{"title", "tag", "thumb"}] * 3
