@@ -1,12 +1,11 @@
 """Which tokens of one tokenizer stand for which of another, in texts and over the corpus.
 
 Tokenizer A is a byte-level BPE of the tokenizers library, B a sentencepiece model, which
-puts a space before each text; A gets that space from here. The Python step only tokenises:
-it gives ids and the byte offsets where tokens end. From there on Spark's higher-order
-functions work: array_intersect of the two arrays of ends gives the offsets where both end,
-which cut the tokens into groups; what holds a byte is looked up in an array that transform,
-array_repeat and flatten make, so that a group's tokens are slices and the cost is
-linear; links are all pairs inside a group.
+puts a space before each text; A gets that space from here. One Arrow step tokenises and aligns:
+the byte offsets where tokens of both end cut the tokens into groups, so that a group's tokens are
+slices and the cost is linear; links are all pairs inside a group. All of that is operations on
+whole arrays: Spark's higher-order functions, which go value by value and box each, took several times
+as long. Counts of links are Spark's aggregates, shuffles and joins.
 
 Blocks: texts are taken in blocks of BLOCK_BYTES, and a block's different words are
 tokenised and aligned once; a text is the sequence of its words. That changes nothing, as no
@@ -34,19 +33,21 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, bounded, id_type, keyed, materialize, texts_of
 
-BLOCK_BYTES = 2_000_000  # of texts whose words are tokenised once; a task's JVM holds some fifty times as much
+BLOCK_BYTES = 2_000_000  # of texts whose words are tokenised once
 PART_CHARS = 50_000  # given to a tokenizer at once
+SENT_LINKS = 100_000  # of texts that are sent back at once, about
 
 # Fixed: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -146,102 +147,82 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-_INTS = T.ArrayType(T.IntegerType(), False)
-_SIDES = ("ids_a", "ends_a", "ids_b", "ends_b", "word_ends")
+def _from_zero(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
 
 
-def _block(pair: Pair, ids: list, texts: list[str]) -> dict:
-    """One row: a block's words tokenised one after the other, and each text as places of words."""
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts, "int32"), values)
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and where each range starts among them."""
+    starts = _from_zero(sizes)
+    return np.repeat(first - starts[:-1], sizes) + np.arange(starts[-1]), starts
+
+
+def _links(a: np.ndarray, starts_a: np.ndarray, b: np.ndarray, starts_b: np.ndarray, ids_b: int) -> pa.ListArray:
+    """For each group all pairs of its slices of ids: every token of A with the slice of B of its group."""
+    n_a, n_b = np.diff(starts_a), np.diff(starts_b)
+    of_b = np.repeat(n_b, n_a)
+    at_b, _ = _ranges(np.repeat(starts_b[:-1], n_a), of_b)
+    return _lists(_from_zero(n_a * n_b), pa.array(np.repeat(a.astype("int64") * ids_b, of_b) + b[at_b]))
+
+
+def _block(pair: Pair, texts: list[str]) -> dict:
+    """n_a, n_b, n_groups, groups and links of each text: the block's words are tokenised and aligned one after the other, and a text is put together from the groups of its words."""
     index: dict[str, int] = {}
     own = [[index.setdefault(w, len(index)) for w in pair.words(t)] for t in texts]
     a, b, word_ends, place = pair.dictionary(list(index))
     ends_a, ends_b = np.cumsum(pair.len_a[a]), np.cumsum(pair.len_b[b])
-    n_a, n_b = (np.diff(np.searchsorted(e, word_ends), prepend=-1) for e in (ends_a, ends_b))
-    docs = []
-    for i, words in zip(ids, own):
-        at = place[words] if words else place[:0]
-        at = at[:0] if len(at) and at.min() < 0 else at
-        docs.append({"doc_id": i, "n_a": int(n_a[at].sum()), "n_b": int(n_b[at].sum()), "words": at})
-    return {"docs": docs} | dict(zip(_SIDES, (a, ends_a, b, ends_b, word_ends)))
-
-
-def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks: docs (doc_id, n_a, n_b, words), and ids and ends of the tokens of the block's words, with each word's end."""
-    doc = T.StructType([T.StructField("doc_id", T.DataType.fromDDL(id_type(docs, id_col))), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("words", _INTS, False)])
-    schema = T.StructType([T.StructField("docs", T.ArrayType(doc, False), False)] + [T.StructField(n, _INTS, False) for n in _SIDES])
+    common = np.intersect1d(ends_a, ends_b)  # where groups end; a word's end is one of them
+    starts_a, starts_b, starts = (_from_zero(np.diff(np.searchsorted(e, x), prepend=-1)) for e, x in ((ends_a, common), (ends_b, common), (common, word_ends)))
+    said = pc.binary_join_element_wise(*[pc.binary_join(_lists(x, pa.array(ids).cast("string")), ",") for x, ids in ((starts_a, a), (starts_b, b))], "|")
+
+    at = [place[w] if w else place[:0] for w in own]
+    at = [x[:0] if len(x) and x.min() < 0 else x for x in at]
+    words, bounds = np.concatenate([place[:0], *at]), _from_zero(np.array([len(x) for x in at], "int64"))
+    held, group_bounds = _ranges(starts[words], np.diff(starts)[words])
+    n_a, n_b = (np.diff(_from_zero(np.diff(x[starts])[words])[bounds]) for x in (starts_a, starts_b))
+    bounds, held = group_bounds[bounds], pa.array(held)
+    links = _links(a, starts_a, b, starts_b, len(pair.bytes_b)).take(held)
+    link_bounds = _from_zero(links.value_lengths().to_numpy())[bounds]
+    groups = pc.binary_join(_lists(bounds, said.take(held)), ";")
+    return {"n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(np.diff(bounds)), "groups": groups, "links": _lists(link_bounds, links.flatten())}
+
+
+def groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups (written out) and links (a * B's size + b for each pair) of each text."""
+    fields = [T.StructField("doc_id", T.DataType.fromDDL(id_type(docs, id_col))), *[T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups")]]
+    schema = T.StructType([*fields, T.StructField("groups", T.StringType()), T.StructField("links", T.ArrayType(T.LongType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, pair = to_arrow_schema(schema), _pair(path_a, path_b)
 
-        def made(ids: list, texts: list[str]) -> pa.RecordBatch:
-            row = _block(pair, ids, texts)
-            return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
+        def made(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            out = _block(pair, texts) | {"doc_id": pa.array(ids, arrow.field("doc_id").type)}
+            block = pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in arrow], schema=arrow)
+            rows = max(1, SENT_LINKS * len(ids) // max(1, len(out["links"].values)))
+            for k in range(0, len(ids), rows):
+                yield block.slice(k, rows)
 
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
                 if ids and size + len(text) > BLOCK_BYTES:
-                    yield made(ids, texts)
+                    yield from made(ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(i)
                 texts.append(text)
                 size += len(text)
         if ids:
-            yield made(ids, texts)
+            yield from made(ids, texts)
 
     return bounded(keyed(docs, id_col, text_col)).mapInArrow(run, schema)
 
 
-def _holder(ends: Column) -> Column:
-    """For each byte the index of what holds it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
-
-
-def _computed(values: Column, out: Column) -> Column:
-    """out, which looks into values inside a function. Values that are named twice are computed once, in the projection before;
-    named once, they would be put in their place by the optimizer, and computed again for each element."""
-    return F.when(F.size(values) >= 0, out)
-
-
-def _runs(values: Column, x: Column, before: Column) -> Column:
-    """The values after index before, up to index x."""
-    return F.when(x - before == 1, F.array(F.get(values, x))).otherwise(F.slice(values, before + 2, x - before))  # slice makes a copy by steps
-
-
-def groups(blocks: DataFrame, ids_b: int) -> DataFrame:
-    """doc_id, n_a, n_b, groups (written out) and links (a * ids_b + b for each pair) of each text of the blocks."""
-    c, factor = F.col, F.lit(ids_b).cast("long")
-    at = lambda ends, held: _computed(held, F.transform(ends, lambda e: F.get(held, e - 1)))
-    from_start = lambda last: F.concat(F.array(F.lit(-1)), last)
-    out = blocks.withColumn("common", F.array_intersect("ends_a", "ends_b"))
-    out = out.withColumns({"held_a": _holder(c("ends_a")), "held_b": _holder(c("ends_b")), "held": _holder(c("common"))})
-    out = out.select("docs", "ids_a", "ids_b", at(c("common"), c("held_a")).alias("last_a"), at(c("common"), c("held_b")).alias("last_b"), at(c("word_ends"), c("held")).alias("last"))
-    out = out.withColumns({f"before{n}": from_start(c(f"last{n}")) for n in ("_a", "_b", "")})
-
-    def of_group(one: Callable[[Column, Column], Column], more: Callable[[Column, Column], Column]) -> Column:
-        """For each group what one makes of its ids, if it holds one token of each side, else what more makes of its arrays of ids."""
-
-        def of(x: Column, k: Column) -> Column:
-            y, a, b = F.get("last_b", k), F.get("before_a", k), F.get("before_b", k)
-            whole = more(_runs(c("ids_a"), x, a), _runs(c("ids_b"), y, b))
-            return F.when((x - a == 1) & (y - b == 1), one(F.get("ids_a", x), F.get("ids_b", y))).otherwise(whole)
-
-        return _computed(c("before_a"), _computed(c("before_b"), F.transform("last_a", of)))
-
-    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    said = of_group(lambda a, b: F.concat_ws("|", a.cast("string"), b.cast("string")), lambda a, b: F.concat_ws("|", text(a), text(b)))
-    pairs = of_group(lambda a, b: F.array(a * factor + b), lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * factor + y))))
-    out = out.select("docs", "last", "before", said.alias("said"), pairs.alias("pairs"))
-
-    by_word = lambda v, join: _computed(v, _computed(c("before"), F.transform("last", lambda x, k: F.when(x - F.get("before", k) == 1, F.get(v, x)).otherwise(join(F.slice(v, F.get("before", k) + 2, x - F.get("before", k)))))))
-    out = out.select("docs", by_word(c("said"), lambda v: F.array_join(v, ";")).alias("said"), by_word(c("pairs"), F.flatten).alias("pairs"))
-    of = lambda d, v: F.transform(d["words"], lambda w: F.get(v, w))
-    each = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(of(d, "said"), ";").alias("groups"), F.flatten(of(d, "pairs")).alias("links")))
-    return out.select(F.inline(each))
-
-
 def link_counts(linked: DataFrame, ids_b: int) -> DataFrame:
     """link, n (rows that hold it) and whether no link of its A id has more (best)."""
     counts = materialize(linked.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n")))
@@ -265,11 +246,10 @@ def _frequent(counts: DataFrame) -> int:
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row; the method stands at the module's head."""
     size_b, c = len(_pair(path_a, path_b).bytes_b), F.col
-    found = groups(tokens(docs, path_a, path_b, id_col, text_col), size_b)
+    found = groups(docs, path_a, path_b, id_col, text_col)
     some = c("n_a") > 0
-    n_groups = F.when(some, F.octet_length("groups") - F.octet_length(F.replace("groups", F.lit(";"), F.lit(""))) + 1).otherwise(0).cast("long")
     sha = F.when(some, F.sha2("groups", 256)).otherwise(F.lit(""))
-    found = found.select("doc_id", "n_a", "n_b", n_groups.alias("n_groups"), F.size("links").cast("long").alias("n_links"), sha.alias("groups_sha256"), "links", F.monotonically_increasing_id().alias("row"))
+    found = found.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), sha.alias("groups_sha256"), "links", F.monotonically_increasing_id().alias("row"))
     linked = materialize(found)
     counts = materialize(link_counts(linked, size_b))
     least = _frequent(counts)

@@ -63,6 +63,22 @@ def test_alignment_matches_plain(spark, monkeypatch, bound):
     assert align.align(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
 
 
+def test_links_and_texts_are_made_by_whole_arrays(spark, monkeypatch):
+    monkeypatch.setattr(align, "SENT_LINKS", 3)  # so a block's texts come in many batches
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    ids_b = len(align.Pair(A, B).bytes_b)
+    found = align.groups(df, A, B)
+    told = found._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("MapInArrow") == 1 and "lambda" not in told  # none that goes value by value
+    got = {r.doc_id: r for r in found.collect()}
+    for i, (n_a, n_b, n_groups, n_links, _, _, sha) in enumerate(plain_alignment(TEXTS * 3)):
+        r = got[i]
+        assert (r.n_a, r.n_b, r.n_groups, len(r.links), hashlib.sha256(r.groups.encode()).hexdigest() if n_a else r.groups) == (n_a, n_b, n_groups, n_links, sha)
+        said = [[[int(x) for x in side.split(",")] for side in g.split("|")] for g in r.groups.split(";") if g]
+        assert r.links == [x * ids_b + y for u, v in said for x in u for y in v]
+
+
 def test_quick_encoder_and_words_equal_the_library():
     from tokenizers import Tokenizer
 
