@@ -97,7 +97,8 @@ def match_subtitles(groups: DataFrame, files: DataFrame, path_col: str = "path")
     fits = F.when(F.col("level") == 0, ~F.col("split") | F.col("marked")).otherwise(~F.col("marked"))
     name = file_name(F.col("path"))
     here = (F.concat("dir", F.lit("/"), name) == F.col("path")) | ((F.col("dir") == "") & (name == F.col("path")))
-    met = keys(part.unionByName(whole), "stem", True).join(keys(subs, "sub_stem", False).drop("dir"), "key").where(here & fits)
+    # Spark takes the keys of a name for one row of a small file and would broadcast them all, through the driver.
+    met = keys(part.unionByName(whole), "stem", True).join(keys(subs, "sub_stem", False).drop("dir").hint("merge"), "key").where(here & fits)
     met = met.select("group_id", "path", "level", "rank", "part_base", subtitle_suffix(F.col("stem"), F.col("sub_stem")).alias("suffix"))
     # A pair that meets by several keys counts once, too; pairs that are none come last, as a filter before would work out suffixes once more.
     first = Window.partitionBy("group_id", "path").orderBy(F.col("suffix").isNull(), "level", "rank")

@@ -68,6 +68,12 @@ def test_subtitles_meet_by_hashes(spark):
     assert "words#" not in met._jdf.queryExecution().executedPlan().toString()  # no lists of words are moved
 
 
+@pytest.mark.parametrize("name", ("subtitle_matches",))
+def test_groups_and_keys_of_names_are_not_broadcast(spark, name):
+    found = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in found and "SortMergeJoin" in found  # both sides grow with the files
+
+
 def test_parser_reads_plain_and_odd_tags_alike():
     bits = ["<a b=\"1\" c='2'>", '<a b="1" B="2">', '<a b="&amp;"c="d">', '<P Q="1">', "</p>", "</P >", "<svg><linearGradient id='x'/>", "<ul><li>a</ul>", "x"]
     rnd = random.Random(1)
