@@ -31,13 +31,15 @@ def targets(places: DataFrame, groups: DataFrame, subtitles: DataFrame, images:
     """Target files of each place: id, output_ord, kind (video, subtitle, image, nfo), ord, source, target."""
     base = F.col("file_base")
     parts = groups.select(id_col, F.posexplode("parts").alias("ord", "p"))
-    video = places.join(parts, id_col).select(id_col, "output_ord", F.lit("video").alias("kind"), "ord", F.col("p.path").alias("source"), _in(F.concat(base, "p.output_suffix"), file_extension(F.col("p.path"))).alias("target"))
+    # There is a place for each group, which Spark may take for few rows and broadcast, through the driver.
+    all_places = places.hint("merge")
+    video = all_places.join(parts, id_col).select(id_col, "output_ord", F.lit("video").alias("kind"), "ord", F.col("p.path").alias("source"), _in(F.concat(base, "p.output_suffix"), file_extension(F.col("p.path"))).alias("target"))
     ranked = subtitles.withColumn("ord", F.row_number().over(Window.partitionBy(id_col).orderBy("sort_key", F.split("path", "/"))) - 1)
-    subtitle = places.join(ranked, id_col).select(id_col, "output_ord", F.lit("subtitle").alias("kind"), "ord", F.col("path").alias("source"), _in(F.concat(base, "target_base"), file_extension(F.col("path"))).alias("target"))
+    subtitle = all_places.join(ranked, id_col).select(id_col, "output_ord", F.lit("subtitle").alias("kind"), "ord", F.col("path").alias("source"), _in(F.concat(base, "target_base"), file_extension(F.col("path"))).alias("target"))
     nfo = places.select(id_col, "output_ord", F.lit("nfo").alias("kind"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("source"), _in(base, F.lit("nfo")).alias("target"))
     out = video.unionByName(subtitle).unionByName(nfo)
     if images is not None:
-        image = places.join(images.where("is_first and action = 'fetch'").select(id_col, "ord", "url", "file_name"), id_col)
+        image = all_places.join(images.where("is_first and action = 'fetch'").select(id_col, "ord", "url", "file_name"), id_col)
         out = out.unionByName(image.select(id_col, "output_ord", F.lit("image").alias("kind"), "ord", F.col("url").alias("source"), join_path(F.col("dir"), F.col("file_name")).alias("target")))
     return out
 

@@ -68,7 +68,7 @@ def test_subtitles_meet_by_hashes(spark):
     assert "words#" not in met._jdf.queryExecution().executedPlan().toString()  # no lists of words are moved
 
 
-@pytest.mark.parametrize("name", ("subtitle_matches",))
+@pytest.mark.parametrize("name", ("subtitle_matches", "subtitle_targets", "output_plan"))
 def test_groups_and_keys_of_names_are_not_broadcast(spark, name):
     found = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in found and "SortMergeJoin" in found  # both sides grow with the files
